@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.functions.text import strip
+from vibralake.session import computed_once
 
 
 def clean_label(label: Column) -> Column:
@@ -41,10 +42,11 @@ def with_category(df: DataFrame, label: str = "fault", **rules) -> DataFrame:
     """Add ``fault_category`` and ``is_problem``.
 
     The cleaned label is its own projection, so the rule chain reads it instead
-    of cleaning the text again in every branch.
+    of cleaning the text again in every branch, and the category is computed
+    once however often it is filtered or grouped by.
     """
     cleaned = df.withColumn("_clean", clean_label(F.col(label)))
-    mapped = cleaned.withColumn("fault_category", category_of(F.col("_clean"), **rules))
+    mapped = computed_once(cleaned, fault_category=category_of(F.col("_clean"), **rules))
     return mapped.drop("_clean").withColumn("is_problem", is_problem(F.col("fault_category")))
 
 

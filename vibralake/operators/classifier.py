@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -17,6 +18,9 @@ from vibralake.functions import arrays
 from vibralake.operators import evaluation, scaling, split
 
 
+ROWS_PER_PARTITION = 20_000
+
+
 class Forest(NamedTuple):
     """Forest settings."""
 
@@ -50,6 +54,9 @@ def train(
 ) -> PipelineModel:
     """Fit label index, scale and forest on the train rows only."""
     weighted = split.with_class_weight(train_rows, label, "_weight")
+    # Statistics of every tree node are kept per partition, so few rows in many
+    # partitions would mostly move empty statistics.
+    weighted = weighted.coalesce(max(1, math.ceil(train_rows.count() / ROWS_PER_PARTITION)))
     stages = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         scaling_stage(features, scaling.fit_columns(train_rows, features)),

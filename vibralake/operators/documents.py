@@ -72,10 +72,25 @@ def with_chunks(
     return held.withColumn("chunks", _join_spans(F.col("_parts"), F.col(text), size, overlap, separator)).drop("_parts")
 
 
-def match_categories(documents: DataFrame, document_map: DataFrame, name: str = "doc_name") -> DataFrame:
-    """One row per document and category that names it; unnamed documents drop out."""
-    mapped = document_map.filter("doc_id is not null").select("fault_category", F.col("doc_id").alias("_manual"), "title")
-    return documents.join(small_side(mapped), F.col(name) == F.col("_manual")).drop("_manual")
+def categories_by_document(document_map: DataFrame) -> DataFrame:
+    """``(_manual, _named)``: per manual the categories and titles that name it."""
+    entries = F.array_sort(F.collect_list(F.struct("fault_category", "title")))
+    return document_map.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_manual")).agg(entries.alias("_named"))
+
+
+def named_documents(documents: DataFrame, document_map: DataFrame, name: str = "doc_name") -> DataFrame:
+    """Documents that some category names, with these categories as an array.
+
+    One row per document, so that the text is chunked once and not once per
+    category; ``fan_out`` unfolds the categories afterwards.
+    """
+    named = small_side(categories_by_document(document_map))
+    return documents.join(named, F.col(name) == F.col("_manual")).drop("_manual")
+
+
+def fan_out(named: DataFrame) -> DataFrame:
+    """One row per document and category that names it."""
+    return named.select(*[c for c in named.columns if c != "_named"], F.inline("_named"))
 
 
 def chunk_id(name: Column, category: Column, index: Column) -> Column:
@@ -114,15 +129,11 @@ def document_summary(documents: DataFrame, document_map: DataFrame, name: str =
     Categories are gathered on the small map first, so documents are not
     multiplied and not grouped. ``key`` is the column that the map refers to.
     """
-    listed = (
-        document_map.filter("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("_manual"))
-        .agg(F.array_sort(F.collect_list("fault_category")).alias("categories"))
-    )
-    joined = documents.join(small_side(listed), F.col(key or name) == F.col("_manual"), "left")
+    named = small_side(categories_by_document(document_map))
+    joined = documents.join(named, F.col(key or name) == F.col("_manual"), "left")
     return joined.select(
         name,
-        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+        F.coalesce(F.transform("_named", lambda n: n["fault_category"]), F.array().cast("array<string>")).alias("categories"),
         F.size("chunks").alias("chunks"),
         F.length("text").alias("text_length"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vibralake import domain
 from vibralake.functions import numeric
 from vibralake.functions.text import strip
+from vibralake.session import computed_once
 
 # Fields kept as they are; everything else known is numeric.
 TEXT_FIELDS = ("id", "created_at", "fault")
@@ -21,11 +22,10 @@ def parse(df: DataFrame, payload: str = "payload") -> DataFrame:
     A map of texts keeps quoted and bare numbers alike, and null-valued keys
     stay visible in ``keys``.
     """
-    return df.withColumns(
-        {
-            "fields": F.from_json(F.col(payload), "map<string,string>"),
-            "keys": F.json_object_keys(F.col(payload)),
-        }
+    return computed_once(
+        df,
+        fields=F.from_json(F.col(payload), "map<string,string>"),
+        keys=F.json_object_keys(F.col(payload)),
     )
 
 
@@ -56,11 +56,8 @@ def errors(
 
 def validate(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Parsed events with ``errors`` and ``is_valid``."""
-    return (
-        parse(df, payload)
-        .withColumn("errors", errors())
-        .withColumn("is_valid", F.size("errors") == 0)
-    )
+    checked = computed_once(parse(df, payload), errors=errors())
+    return checked.withColumn("is_valid", F.size("errors") == 0)
 
 
 def accepted(validated: DataFrame) -> DataFrame:

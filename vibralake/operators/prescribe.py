@@ -64,10 +64,9 @@ def retrieval_text(category: Column) -> Column:
 def excerpts(
     categories: DataFrame,
     chunks: DataFrame,
-    index: DataFrame,
-    idf: DataFrame,
+    index: search.Index,
     n: int = domain.CONTEXT_CHUNKS,
-    pattern: str = r"[^\p{L}]+",
+    pattern: str = search.WORDS,
 ) -> DataFrame:
     """``(fault_category, excerpts)``: the best chunk texts of each category.
 
@@ -77,7 +76,7 @@ def excerpts(
     asked = categories.select("fault_category").distinct().withColumns(
         {"query_text": retrieval_text(F.col("fault_category")), "group": F.col("fault_category")}
     )
-    found = search.search(asked, index, idf, n, query_id="fault_category", group="group", pattern=pattern)
+    found = search.search(asked, index, n, query_id="fault_category", group="group", pattern=pattern)
     hits = search.with_chunk_text(found.withColumnRenamed("query_id", "_asked"), chunks)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return hits.groupBy(F.col("_asked").alias("fault_category")).agg(

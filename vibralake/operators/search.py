@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,156 +12,141 @@ from pyspark.sql import functions as F
 from vibralake import domain
 from vibralake.functions import text as tx
 from vibralake.operators import topk
-from vibralake.session import durable, fits
+from vibralake.session import durable, fits, small_side, written
 
 # Terms are hashed into this many buckets (four hexadecimal digits), so every
 # per-term table has a fixed size however large the vocabulary grows.
 BUCKET_DIGITS = 4
 BUCKETS = 16**BUCKET_DIGITS
+WORDS = r"[^\p{L}]+"
+EVERY = "\x00all"
+
+
+class Index(NamedTuple):
+    """Terms per chunk and one weight per bucket."""
+
+    terms: DataFrame
+    idf: np.ndarray
 
 
 def bucket(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, BUCKET_DIGITS), 16, 10).cast("int")
 
 
-def postings(texts: DataFrame, key: str, text: str = "text", pattern: str = r"[^\p{L}]+") -> DataFrame:
-    """``(key, bucket, tf)``; a text without words keeps one row with a null bucket.
+def terms(texts: DataFrame, key: str, text: str = "text", group: str | None = None, pattern: str = WORDS) -> DataFrame:
+    """``(key, buckets[, group])``: the bucket of every word, in place.
 
-    Rows are spread by key once. The grouping by (key, bucket) then needs no
-    further shuffle, and neither does any later grouping by key.
+    A projection of each row on its own: no word leaves its row, so building
+    an index moves nothing between tasks.
     """
-    words = texts.select(key, text).repartition(key).select(key, F.explode_outer(tx.tokens(F.col(text), pattern)).alias("token"))
-    return words.groupBy(key, bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("tf"))
+    grouped = [F.col(group).alias("group")] if group is not None else []
+    return texts.select(key, F.transform(tx.tokens(F.col(text), pattern), bucket).alias("buckets"), *grouped)
 
 
-def inverse_frequencies(rows: DataFrame, key: str) -> DataFrame:
-    """``(bucket, idf)`` with idf = ln((n + 1) / (df + 1)); at most BUCKETS rows.
+def inverse_frequencies(rows: DataFrame) -> np.ndarray:
+    """idf = ln((n + 1) / (df + 1)) per bucket, also for unseen buckets.
 
-    The null bucket row carries the weight of a bucket nothing contains.
+    At most BUCKETS rows come back, whatever the size of the table.
     """
-    total = rows.agg(F.count_distinct(key).alias("n"))
-    seen = rows.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("df"))
-    unseen = seen.sparkSession.range(1).select(F.lit(None).cast("int").alias("bucket"), F.lit(0).cast("long").alias("df"))
-    n = total.first()["n"]
-    return seen.unionByName(unseen).select("bucket", F.log((F.lit(float(n)) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
-
-
-def vectors(rows: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``(key, buckets, weights, norm)``: tf-idf weights and their length per text."""
-    # The idf table has at most BUCKETS rows by construction.
-    known = F.broadcast(idf.filter("bucket is not null").select("bucket", "idf"))
-    rare = idf.filter("bucket is null").first()["idf"]
-    weight = F.col("tf") * F.coalesce("idf", F.lit(rare))
-    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))
-    return (
-        rows.join(known, "bucket", "left")
-        .withColumn("weight", weight)
-        .groupBy(key)
-        .agg(
-            F.array_sort(F.collect_list(entry)).alias("entries"),
-            F.sqrt(F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("weight") * F.col("weight"))), F.lit(0.0))).alias("norm"),
-        )
-        .select(
-            key,
-            F.transform("entries", lambda e: e["bucket"]).alias("buckets"),
-            F.transform("entries", lambda e: e["weight"]).alias("weights"),
-            "norm",
-        )
+    n = rows.count()
+    seen = (
+        rows.select(F.explode(F.array_distinct("buckets")).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias("df"))
+        .toArrow()
     )
+    df = np.zeros(BUCKETS)
+    df[seen["bucket"].to_numpy()] = seen["df"].to_numpy()
+    return np.log((n + 1.0) / (df + 1.0))
 
 
 def build_index(
-    chunks: DataFrame, key: str = "chunk_id", text: str = "text", group: str | None = None, pattern: str = r"[^\p{L}]+"
-) -> tuple[DataFrame, DataFrame]:
-    """Vectors of all chunks, with ``group`` when chunks are filtered by it, and idf."""
-    rows = postings(chunks, key, text, pattern)
-    idf = durable(inverse_frequencies(rows, key))
-    index = vectors(rows, idf, key)
-    if group is not None:
-        index = index.join(chunks.select(key, F.col(group).alias("group")), key)
-    return index, idf
-
-
-def _coordinates(table: pa.Table, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and weight of the entries whose bucket has a slot."""
-    buckets, weights = table["buckets"].combine_chunks(), table["weights"].combine_chunks()
-    rows = np.repeat(np.arange(len(buckets)), np.diff(buckets.offsets.to_numpy()))
-    columns = slot[buckets.flatten().to_numpy()]
-    kept = columns >= 0
-    return rows[kept], columns[kept], weights.flatten().to_numpy()[kept]
+    chunks: DataFrame, key: str = "chunk_id", text: str = "text", group: str | None = None, pattern: str = WORDS
+) -> Index:
+    """Index of all chunks, written once; ``group`` is what searches filter by."""
+    rows = written(terms(chunks, key, text, group, pattern), "index")
+    return Index(rows, inverse_frequencies(rows))
 
 
-def _inverse(norm: np.ndarray) -> np.ndarray:
-    return np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)
+def _entries(table: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and unit-length weight of every distinct term of a block."""
+    buckets = table["buckets"].combine_chunks()
+    rows = np.repeat(np.arange(len(buckets), dtype=np.int64), np.diff(buckets.offsets.to_numpy()))
+    pair, count = np.unique(rows * BUCKETS + buckets.flatten().to_numpy(), return_counts=True)
+    row, term = pair // BUCKETS, pair % BUCKETS
+    weight = count * idf[term]
+    norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(buckets)))
+    return row, term, np.divide(weight, norm[row], out=np.zeros_like(weight), where=norm[row] > 0)
 
 
-def _scorer(queries: pa.Table):
+def _scorer(idf: np.ndarray):
     """Cosine of sparse vectors, dense only over the buckets the queries use."""
-    used = np.unique(queries["buckets"].combine_chunks().flatten().to_numpy())
-    slot = np.full(BUCKETS, -1, dtype=np.int64)
-    slot[used] = np.arange(len(used))
 
-    def dense(table: pa.Table) -> np.ndarray:
-        out = np.zeros((table.num_rows, max(len(used), 1)))
-        rows, columns, weights = _coordinates(table, slot)
-        out[rows, columns] = weights
-        return out * _inverse(table["norm"].to_numpy())[:, None]
-
-    turned = dense(queries).T
-    wanted = np.array(queries["group"].to_pylist(), dtype=object) if "group" in queries.column_names else None
-
-    def score(items: pa.Table) -> np.ndarray:
-        out = dense(items) @ turned
-        if wanted is not None and "group" in items.column_names:
-            have = np.array(items["group"].to_pylist(), dtype=object)
-            other = (have[:, None] != wanted[None, :]) & np.array([w is not None for w in wanted])[None, :]
-            out[other] = -np.inf
-        return out
-
-    return score
+    def prepare(queries: pa.Table):
+        row, term, weight = _entries(queries, idf)
+        used = np.unique(term)
+        slot = np.full(BUCKETS, -1, dtype=np.int64)
+        slot[used] = np.arange(len(used))
+        turned = np.zeros((max(len(used), 1), queries.num_rows))
+        turned[slot[term], row] = weight
+        wanted = queries["group"].to_pylist() if "group" in queries.column_names else None
+
+        def score(items: pa.Table) -> np.ndarray:
+            row, term, weight = _entries(items, idf)
+            kept = slot[term] >= 0
+            dense = np.zeros((items.num_rows, len(turned)))
+            dense[row[kept], slot[term[kept]]] = weight[kept]
+            out = dense @ turned
+            if wanted is not None and "group" in items.column_names:
+                have = np.array(items["group"].to_pylist(), dtype=object)
+                for at, group in enumerate(wanted):
+                    if group is not None:
+                        out[have != group, at] = -np.inf
+            return out
+
+        return score
+
+    return prepare
 
 
 def search(
     queries: DataFrame,
-    index: DataFrame,
-    idf: DataFrame,
+    index: Index,
     n: int = domain.CONTEXT_CHUNKS,
     query_id: str = "query_id",
     text: str = "query_text",
     chunk: str = "chunk_id",
     group: str | None = None,
-    pattern: str = r"[^\p{L}]+",
+    pattern: str = WORDS,
     few: int = topk.FEW_QUERIES,
 ) -> DataFrame:
     """``(query_id, item_id, score, rank)``: the n best chunks of each query.
 
     With ``group`` a query sees only chunks of its group; a null group sees
-    all. The filter is applied before anything is ranked.
+    all. The filter applies before anything is ranked.
     """
-    asked = vectors(postings(queries, query_id, text, pattern), idf, query_id)
-    if group is not None:
-        asked = asked.join(queries.select(query_id, F.col(group).alias("group")), query_id)
-    asked = durable(asked)
+    asked = durable(terms(queries, query_id, text, group, pattern))
+    scorer = _scorer(index.idf)
     if fits(asked, few):
-        return topk.rank(topk.scan(asked, index, n, _scorer, query_id, chunk), n)
-    every = "\x00all"
-    if group is not None:
-        asked = asked.withColumn("cell", F.coalesce("group", F.lit(every)))
-        wants_all = not asked.filter("group is null").isEmpty()
-        cells = F.array("group", F.lit(every)) if wants_all else F.array("group")
-        stored = index.withColumn("cell", F.explode(cells)).filter("cell is not null")
+        return topk.rank(topk.scan(asked, index.terms, n, scorer, query_id, chunk), n)
+    stored = index.terms
+    if group is None:
+        asked, stored = asked.withColumn("cell", F.lit(EVERY)), stored.withColumn("cell", F.lit(EVERY))
     else:
-        asked = asked.withColumn("cell", F.lit(every))
-        stored = index.withColumn("cell", F.lit(every))
-    stored = durable(stored)
-    counts = lambda df: df.groupBy("cell").agg(F.count("*").alias("n"))
+        # Items meet the queries of their group and those that ask everything.
+        asks_all = not asked.filter("group is null").isEmpty()
+        cells = F.array("group", F.lit(EVERY)) if asks_all else F.array("group")
+        asked = asked.withColumn("cell", F.coalesce("group", F.lit(EVERY)))
+        stored = stored.withColumn("cell", F.explode(cells)).filter("cell is not null")
+
+    def counts(df: DataFrame) -> DataFrame:
+        return df.groupBy("cell").agg(F.count("*").alias("n"))
+
     pieces = durable(topk.piece_plan(counts(asked), counts(stored), "cell"))
-    return topk.rank(topk.grid(asked, stored, n, _scorer, query_id, chunk, "cell", pieces), n)
+    return topk.rank(topk.grid(asked, stored, n, scorer, query_id, chunk, "cell", pieces), n)
 
 
 def with_chunk_text(found: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Search hits with text and metadata; the score has three decimals."""
-    from vibralake.session import small_side
-
     hits = durable(found).withColumnRenamed("item_id", key).withColumn("score", F.round("score", 3))
     return chunks.join(small_side(hits), key)

@@ -23,7 +23,7 @@ QUERIES_PER_PIECE = 4_096
 ITEMS_PER_PIECE = 65_536
 # Rows scored at once inside a task.
 BLOCK = 4_096
-SCORE_DIGITS = 6
+SCORE_DIGITS = 9
 
 RESULT = "query_id {q}, item_id {i}, score double"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibralake import domain
@@ -40,6 +40,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _day(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd")
+
+
 # --- labels and dashboard -------------------------------------------------
 
 
@@ -74,7 +78,8 @@ def kpi_summary(spark, d):
 
 @query
 def daily_fault_timeline(spark, d):
-    return dashboard.daily_timeline(t.readings(t.table(spark, d, "events")))
+    found = dashboard.daily_timeline(t.readings(t.table(spark, d, "events")))
+    return found.withColumn("date", _day("date"))
 
 
 @query
@@ -86,7 +91,8 @@ def category_recurrence(spark, d):
 @query
 def category_date_histogram(spark, d):
     found = dashboard.date_histogram(dashboard.daily_counts(t.readings(t.table(spark, d, "events"))))
-    return found.select("fault_category", F.explode("time_distribution").alias("date", "occurrences"))
+    days = found.select("fault_category", F.explode("time_distribution").alias("date", "occurrences"))
+    return days.withColumn("date", _day("date"))
 
 
 # --- cleaning and features ------------------------------------------------
@@ -103,7 +109,7 @@ def numeric_coercion(spark, d):
 @query
 def ratio_energy_features(spark, d):
     found = features.add_features(features.clean_sensors(t.line_sensors(t.table(spark, d, "lineitem"))))
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 4).alias(c) for c in domain.ENGINEERED])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 6).alias(c) for c in domain.ENGINEERED])
 
 
 def _line_features(spark, d) -> DataFrame:
@@ -123,7 +129,7 @@ def standardized_features(spark, d):
     # Means come from the table itself, so the columns are read twice: once for
     # the statistics, once for the projection that uses them as constants.
     scaled = scaling.standardise(rows, shown, scaling.fit_columns(rows, shown))
-    return scaled.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 4).alias(c) for c in shown])
+    return scaled.select("l_orderkey", "l_linenumber", "l_partkey", *[(F.round(c, 4) + 0.0).alias(c) for c in shown])
 
 
 @query
@@ -184,7 +190,7 @@ def _neighbours(spark, d) -> DataFrame:
 
 @query
 def similarity_topk(spark, d):
-    return _neighbours(spark, d).withColumn("score", F.round("score", 5))
+    return _neighbours(spark, d)
 
 
 @query
@@ -350,9 +356,9 @@ def latest_upsert(spark, d):
 def chunk_search(spark, d):
     """Every benchmark passage as a query against all chunks of all documents."""
     chunks = t.document_chunks(t.table(spark, d, "documents"))
-    index, idf = search.build_index(chunks)
+    index = search.build_index(chunks)
     asked = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = search.search(asked, index, idf)
+    found = search.search(asked, index)
     return found.select("query_id", "rank", F.col("item_id").alias("chunk_id"), F.round("score", 3).alias("score"))
 
 
@@ -360,12 +366,12 @@ def chunk_search(spark, d):
 def chunk_search_by_language(spark, d):
     """The same with a metadata filter: each passage asks one language only."""
     chunks = t.document_chunks(t.table(spark, d, "documents"))
-    index, idf = search.build_index(chunks, group="lang")
+    index = search.build_index(chunks, group="lang")
     pick = F.element_at(F.array(*[F.lit(x) for x in t.LANGUAGES]), (F.col("item_id") % len(t.LANGUAGES) + 1).cast("int"))
     asked = t.table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), pick.alias("lang")
     )
-    found = search.search(asked, index, idf, group="lang")
+    found = search.search(asked, index, group="lang")
     return found.select("query_id", "rank", F.col("item_id").alias("chunk_id"), F.round("score", 3).alias("score"))
 
 
@@ -389,9 +395,9 @@ def guardrail_route(spark, d):
 def _manual_texts(spark, d) -> DataFrame:
     """Best excerpts per documented category."""
     chunks = documents.index_rows(t.matched_manuals(t.table(spark, d, "documents"), t.manual_map(spark)))
-    index, idf = search.build_index(chunks, group="fault_category")
+    index = search.build_index(chunks, group="fault_category")
     categories = chunks.select("fault_category").distinct()
-    return durable(prescribe.excerpts(categories, chunks, index, idf))
+    return durable(prescribe.excerpts(categories, chunks, index))
 
 
 SHOWN_SENSORS = (
@@ -460,7 +466,7 @@ def chat_prompts(spark, d):
 @query
 def chat_log_rows(spark, d):
     """Turns with their answers as two log rows each."""
-    pairs = _messages(spark, d).filter("role = 'user'").withColumns({"response": F.upper("message"), "event_context": F.lit(None).cast("string")})
+    pairs = _messages(spark, d).filter("role = 'user'").withColumns({"response": F.concat(F.lit("Re: "), "message"), "event_context": F.lit(None).cast("string")})
     return chat.log_rows(pairs).drop("timestamp", "event_context")
 
 
@@ -507,7 +513,7 @@ def stream_daily_counts(spark, d):
         .option("checkpointLocation", scratch_dir(spark, "daily-state")).trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("date", _day("date"))
 
 
 @query

@@ -43,7 +43,7 @@ LANGUAGES = ("en", "fr", "de", "es")
 
 def sensor_formula(position: int, value: str, k: str, user: str) -> str:
     """Reading of the n-th sensor; zero for some k, so that ratios meet zeros."""
-    a, b, c = 0.01 * (position % 7 + 1), 0.125 * (position % 3 + 1), 0.5 * (position % 2)
+    a, b, c = 0.0137113 * (position % 7 + 1), 0.1251719 * (position % 3 + 1), 0.5037 * (position % 2)
     m, p, z = position % 5 + 2, position % 4 + 3, position + 29
     return (
         f"CASE WHEN {k} % {z} = 7 THEN 0e0 ELSE {value} * {a:e} + ({k} % {m}) * {b:e} + ({user} % {p}) * {c:e} END"
@@ -148,16 +148,20 @@ def manual_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MANUAL_SOURCES), "fault_category string, doc_id string, title string, has_document boolean")
 
 
-def manuals(documents: DataFrame) -> DataFrame:
-    """Documents as manuals with their chunks; paragraphs are single lines here."""
-    named = documents.select(
+def named(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.concat(F.lit("Doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("doc_name"), "doc_id", "source", "lang", "text"
     )
-    return docs.with_chunks(named, separator="\n")
+
+
+def manuals(documents: DataFrame) -> DataFrame:
+    """Documents as manuals with their chunks; paragraphs are single lines here."""
+    return docs.with_chunks(named(documents), separator="\n")
 
 
 def matched_manuals(documents: DataFrame, mapping: DataFrame) -> DataFrame:
-    return docs.match_categories(manuals(documents), mapping, name="source")
+    matched = docs.named_documents(named(documents), mapping, name="source")
+    return docs.fan_out(docs.with_chunks(matched, separator="\n"))
 
 
 def registry(documents: DataFrame, mapping: DataFrame) -> DataFrame:

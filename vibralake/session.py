@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table may be broadcast only after a count has shown it at or below this.
@@ -72,3 +72,28 @@ def fits(df: DataFrame, rows: int) -> bool:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when a count proves it small, else leave it alone."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a bulk intermediate as parquet in the shared folder and read it back.
+
+    For tables that are read several times: columns can be pruned when reading,
+    and the files outlive any executor.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A filter on a projected column is pushed below the projection together
+    with the column's whole expression, which repeats costly work for every
+    use. Filters are not pushed into an unfolded array, so the columns are
+    wrapped in a one-element array and unfolded.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(packed))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vibralake import domain
 from vibralake.functions import text as tx
 from vibralake.operators import upsert as up
-from vibralake.session import small_side
+from vibralake.session import computed_once, small_side
 
 
 def route_pages(pages: DataFrame) -> DataFrame:
@@ -68,8 +68,9 @@ def with_chunks(
     of white space only is cut into windows instead. Paragraphs are a column of
     their own, so they are split once per document.
     """
-    held = documents.withColumn("_parts", tx.paragraphs(F.col(text), separator))
-    return held.withColumn("chunks", _join_spans(F.col("_parts"), F.col(text), size, overlap, separator)).drop("_parts")
+    held = computed_once(documents, _parts=tx.paragraphs(F.col(text), separator))
+    joined = _join_spans(F.col("_parts"), F.col(text), size, overlap, separator)
+    return computed_once(held, chunks=joined).drop("_parts")
 
 
 def categories_by_document(document_map: DataFrame) -> DataFrame:

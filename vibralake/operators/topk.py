@@ -17,17 +17,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Queries up to this many are sent to the items.
-FEW_QUERIES = 1_024
+FEW_QUERIES = 4_096
 # Upper bounds of one grid piece.
 QUERIES_PER_PIECE = 4_096
 ITEMS_PER_PIECE = 65_536
-# Rows scored at once inside a task.
-BLOCK = 4_096
+# Scores held at once inside a task.
+BLOCK_SCORES = 4_000_000
 SCORE_DIGITS = 9
 
 RESULT = "query_id {q}, item_id {i}, score double"
 
 
+def block_rows(queries: int) -> int:
+    return max(64, BLOCK_SCORES // max(queries, 1))
+
+
 class Best:
     """The k best (score, id) per query seen so far; equal scores go to the lower id."""
 
@@ -73,8 +77,9 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _frame(best: Best, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    item = best.item if best.item is not None else np.empty(0)
-    columns = [query_ids[best.query] if len(best.query) else [], item, best.score]
+    if best.item is None or len(best.query) == 0:
+        return pa.RecordBatch.from_arrays([pa.array([], type=f.type) for f in schema], schema=schema)
+    columns = [query_ids[best.query], best.item, best.score]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
     )
@@ -113,11 +118,11 @@ def scan(
     def run(batches):
         held = shared.value
         score = scorer(held)
-        best = Best(held.num_rows, k)
+        best, step = Best(held.num_rows, k), block_rows(held.num_rows)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for at in range(0, table.num_rows, BLOCK):
-                block = table.slice(at, BLOCK)
+            for at in range(0, table.num_rows, step):
+                block = table.slice(at, step)
                 best.offer(_array(block[item_id]), np.round(score(block), SCORE_DIGITS))
         yield _frame(best, _array(held[query_id]), schema)
 
@@ -156,11 +161,11 @@ def grid(
     right = spread(items, item_id, "item_pieces", "query_pieces").withColumnsRenamed({"_own": "_ip", "_other": "_qp"})
 
     def run(held: pa.Table, found: pa.Table) -> pa.Table:
-        best = Best(held.num_rows, k)
+        best, step = Best(held.num_rows, k), block_rows(held.num_rows)
         if held.num_rows and found.num_rows:
             score = scorer(held)
-            for at in range(0, found.num_rows, BLOCK):
-                block = found.slice(at, BLOCK)
+            for at in range(0, found.num_rows, step):
+                block = found.slice(at, step)
                 best.offer(_array(block[item_id]), np.round(score(block), SCORE_DIGITS))
         return pa.Table.from_batches([_frame(best, _array(held[query_id]), schema)])
 

@@ -70,7 +70,7 @@ def problem_ranking(spark, d):
 
 @query
 def kpi_summary(spark, d):
-    registry = t.registry(t.table(spark, d, "documents"), t.manual_map(spark))
+    registry = t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark))
     answered = t.table(spark, d, "conversations").filter("role = 'assistant'")
     found = dashboard.kpis(t.readings(t.table(spark, d, "events")), registry, answered)
     return found.withColumn("normal_ratio", F.round("normal_ratio", 4))
@@ -108,12 +108,12 @@ def numeric_coercion(spark, d):
 
 @query
 def ratio_energy_features(spark, d):
-    found = features.add_features(features.clean_sensors(t.line_sensors(t.table(spark, d, "lineitem"))))
+    found = features.add_features(features.clean_sensors(t.line_sensors(t.spread_table(spark, d, "lineitem"))))
     return found.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 6).alias(c) for c in domain.ENGINEERED])
 
 
 def _line_features(spark, d) -> DataFrame:
-    return features.add_features(t.line_sensors(t.table(spark, d, "lineitem")))
+    return features.add_features(t.line_sensors(t.spread_table(spark, d, "lineitem")))
 
 
 @query
@@ -163,14 +163,14 @@ def display_formats(spark, d):
 
 @query
 def event_validation(spark, d):
-    checked = t.validated_payloads(t.table(spark, d, "events"))
+    checked = t.validated_payloads(t.spread_table(spark, d, "events"))
     return checked.select("event_id", "is_valid", F.array_join("errors", ",").alias("errors"))
 
 
 @query
 def event_json_fields(spark, d):
     shown = ("rpm", "temperature_c", "temperature_f", "z_peak_velocity_mm_s", "z_kurtosis")
-    checked = event_json.accepted(t.validated_payloads(t.table(spark, d, "events")))
+    checked = event_json.accepted(t.validated_payloads(t.spread_table(spark, d, "events")))
     api = event_json.sensor_columns(checked, "api").select("event_id", "id", *shown)
     zero = event_json.sensor_columns(checked, "zero").select("event_id", "id", *shown)
     return api.withColumn("mode", F.lit("api")).unionByName(zero.withColumn("mode", F.lit("zero")))
@@ -184,7 +184,7 @@ def _history(spark, d) -> DataFrame:
 
 
 def _neighbours(spark, d) -> DataFrame:
-    vectors = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    vectors = t.spread_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
     return similarity.nearest(vectors, vectors)
 
 
@@ -303,31 +303,31 @@ def document_assembly(spark, d):
 
 @query
 def document_chunks(spark, d):
-    return t.document_chunks(t.table(spark, d, "documents")).select("doc_id", "chunk_index", "text")
+    return t.document_chunks(t.spread_table(spark, d, "documents")).select("doc_id", "chunk_index", "text")
 
 
 @query
 def document_summary(spark, d):
-    found = documents.document_summary(t.manuals(t.table(spark, d, "documents")), t.manual_map(spark), key="source")
+    found = documents.document_summary(t.manuals(t.spread_table(spark, d, "documents")), t.manual_map(spark), key="source")
     return found.withColumn("categories", F.array_join("categories", ","))
 
 
 @query
 def chunk_index(spark, d):
-    matched = t.matched_manuals(t.table(spark, d, "documents"), t.manual_map(spark))
+    matched = t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark))
     return documents.index_rows(matched)
 
 
 @query
 def document_registry(spark, d):
-    found = t.registry(t.table(spark, d, "documents"), t.manual_map(spark))
+    found = t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark))
     return found.select("fault_category", "document_name", "title", "text_content", "chunk_count")
 
 
 @query
 def chunk_upsert(spark, d):
     """Chunks in lower case put over the collection, for every second manual as a re-upload."""
-    rows = documents.index_rows(t.matched_manuals(t.table(spark, d, "documents"), t.manual_map(spark)))
+    rows = documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
     renewed = rows.filter("chunk_index % 2 = 0").withColumn("text", F.lower("text"))
     return documents.upsert_chunks(rows, renewed).select("chunk_id", "text")
 
@@ -355,7 +355,7 @@ def latest_upsert(spark, d):
 @query
 def chunk_search(spark, d):
     """Every benchmark passage as a query against all chunks of all documents."""
-    chunks = t.document_chunks(t.table(spark, d, "documents"))
+    chunks = t.document_chunks(t.spread_table(spark, d, "documents"))
     index = search.build_index(chunks)
     asked = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     found = search.search(asked, index)
@@ -365,7 +365,7 @@ def chunk_search(spark, d):
 @query
 def chunk_search_by_language(spark, d):
     """The same with a metadata filter: each passage asks one language only."""
-    chunks = t.document_chunks(t.table(spark, d, "documents"))
+    chunks = t.document_chunks(t.spread_table(spark, d, "documents"))
     index = search.build_index(chunks, group="lang")
     pick = F.element_at(F.array(*[F.lit(x) for x in t.LANGUAGES]), (F.col("item_id") % len(t.LANGUAGES) + 1).cast("int"))
     asked = t.table(spark, d, "benchmark").select(
@@ -382,7 +382,7 @@ def chunk_search_by_language(spark, d):
 def document_availability(spark, d):
     rows = t.scored(t.table(spark, d, "embeddings")).select("vec_id", "fault_category")
     mapping = prescribe.document_map(spark)
-    found = prescribe.availability(rows, t.registry(t.table(spark, d, "documents"), t.manual_map(spark)), mapping)
+    found = prescribe.availability(rows, t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)), mapping)
     return found.select("vec_id", "fault_category", "has_document", "document_name", "title", "chunk_count")
 
 
@@ -394,7 +394,7 @@ def guardrail_route(spark, d):
 
 def _manual_texts(spark, d) -> DataFrame:
     """Best excerpts per documented category."""
-    chunks = documents.index_rows(t.matched_manuals(t.table(spark, d, "documents"), t.manual_map(spark)))
+    chunks = documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
     index = search.build_index(chunks, group="fault_category")
     categories = chunks.select("fault_category").distinct()
     return durable(prescribe.excerpts(categories, chunks, index))
@@ -418,7 +418,7 @@ def _scored_events(spark, d) -> DataFrame:
 
 def _prescriptions(spark, d, events: DataFrame) -> DataFrame:
     mapping = prescribe.document_map(spark)
-    registry = t.registry(t.table(spark, d, "documents"), t.manual_map(spark))
+    registry = t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark))
     return prescribe.prescribe(events, registry, mapping, _manual_texts(spark, d), prompts=True)
 
 
@@ -531,7 +531,7 @@ def stream_validated_events(spark, d):
 def stream_prescriptions(spark, d):
     """Prescription log as written by the prescribing stream."""
     events = _event_stream(spark, d)
-    registry = durable(t.registry(t.table(spark, d, "documents"), t.manual_map(spark)))
+    registry = durable(t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
     mapping, texts = prescribe.document_map(spark), _manual_texts(spark, d)
 
     def answer(batch: DataFrame) -> DataFrame:

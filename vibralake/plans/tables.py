@@ -14,6 +14,7 @@ from vibralake import domain
 from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
 from vibralake.operators import event_json, features
+from vibralake.session import spread
 
 # Raw labels that stand behind the numeric property of an event.
 RAW_LABELS = (
@@ -73,6 +74,11 @@ def readings(events: DataFrame) -> DataFrame:
     return labels.with_category(raw_readings(events))
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is costly per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def line_sensors(lineitem: DataFrame) -> DataFrame:
     """Order lines as readings, for the numeric operators."""
     value, k, user = "(l_extendedprice / 1e3)", "(l_linenumber + cast(l_quantity as int))", "l_suppkey"

@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+# Settings that can change on a running session. Wide projections compile to
+# methods the JVM will not optimise beyond 8000 bytes of code; under this limit
+# Spark compiles the columns in separate methods instead, which runs far faster.
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the library is meant to run with."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "vibralake", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC timestamps, adaptive execution and Arrow transfer."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **conf,
-    }
+    settings = {**RUNTIME_CONF, "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -97,3 +109,14 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(packed))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores.
+
+    For costly work per row on a table that sits in few file splits. Large
+    tables come in many splits and are returned as they are. Only for plain
+    scans: anything with a shuffle would run to find its partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vibralake.functions.text import strip
-
 # What counts as a number in text. Casting alone is too lenient: it also takes
 # a trailing type letter and hexadecimal floats.
-NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+# The same, or the word for a missing number.
+NUMBER_OR_NAN = NUMBER.replace("[iI][nN][fF]", "[nN][aA][nN]|[iI][nN][fF]")
 
 
 def number_or_zero(text: Column) -> Column:
     """Text to double; anything unreadable, missing or NaN is 0.0, infinity stays."""
-    bare = strip(text)
-    return F.coalesce(F.nanvl(F.when(bare.rlike(NUMBER), bare.try_cast("double")), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.nanvl(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(0.0)), F.lit(0.0))
 
 
 def double_or_zero(number: Column) -> Column:

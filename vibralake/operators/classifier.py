@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -54,9 +53,11 @@ def train(
 ) -> PipelineModel:
     """Fit label index, scale and forest on the train rows only."""
     weighted = split.with_class_weight(train_rows, label, "_weight")
-    # Statistics of every tree node are kept per partition, so few rows in many
-    # partitions would mostly move empty statistics.
-    weighted = weighted.coalesce(max(1, math.ceil(train_rows.count() / ROWS_PER_PARTITION)))
+    # Best splits are searched with as many tasks as the rows have partitions,
+    # so a small table is spread over all cores first.
+    cores = train_rows.sparkSession.sparkContext.defaultParallelism
+    if train_rows.count() <= cores * ROWS_PER_PARTITION:
+        weighted = weighted.repartition(cores)
     stages = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         scaling_stage(features, scaling.fit_columns(train_rows, features)),

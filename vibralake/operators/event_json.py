@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.functions import numeric
-from vibralake.functions.text import strip
 from vibralake.session import computed_once
 
 # Fields kept as they are; everything else known is numeric.
@@ -34,8 +33,7 @@ def field(name: str) -> Column:
 
 
 def _is_number(text: Column) -> Column:
-    bare = strip(text)
-    return F.coalesce(bare.rlike(numeric.NUMBER) | (F.lower(bare) == "nan"), F.lit(False))
+    return F.coalesce(text.rlike(numeric.NUMBER_OR_NAN), F.lit(False))
 
 
 def errors(

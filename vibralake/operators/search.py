@@ -20,6 +20,8 @@ BUCKET_DIGITS = 4
 BUCKETS = 16**BUCKET_DIGITS
 WORDS = r"[^\p{L}]+"
 EVERY = "\x00all"
+# Words of a typical chunk, for the size of the blocks that are scored at once.
+CHUNK_WORDS = 64
 
 
 class Index(NamedTuple):
@@ -80,23 +82,26 @@ def _entries(table: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _scorer(idf: np.ndarray):
-    """Cosine of sparse vectors, dense only over the buckets the queries use."""
+    """Cosine of sparse vectors: every term of an item that some query uses adds
+    its share to all queries at once."""
 
     def prepare(queries: pa.Table):
         row, term, weight = _entries(queries, idf)
         used = np.unique(term)
         slot = np.full(BUCKETS, -1, dtype=np.int64)
         slot[used] = np.arange(len(used))
-        turned = np.zeros((max(len(used), 1), queries.num_rows))
-        turned[slot[term], row] = weight
+        shares = np.zeros((max(len(used), 1), queries.num_rows))
+        shares[slot[term], row] = weight
         wanted = queries["group"].to_pylist() if "group" in queries.column_names else None
 
         def score(items: pa.Table) -> np.ndarray:
             row, term, weight = _entries(items, idf)
             kept = slot[term] >= 0
-            dense = np.zeros((items.num_rows, len(turned)))
-            dense[row[kept], slot[term[kept]]] = weight[kept]
-            out = dense @ turned
+            row, share = row[kept], shares[slot[term[kept]]] * weight[kept, None]
+            out = np.zeros((items.num_rows, queries.num_rows))
+            if len(row):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                out[row[first]] = np.add.reduceat(share, first, axis=0)
             if wanted is not None and "group" in items.column_names:
                 have = np.array(items["group"].to_pylist(), dtype=object)
                 for at, group in enumerate(wanted):
@@ -128,7 +133,7 @@ def search(
     asked = durable(terms(queries, query_id, text, group, pattern))
     scorer = _scorer(index.idf)
     if fits(asked, few):
-        return topk.rank(topk.scan(asked, index.terms, n, scorer, query_id, chunk), n)
+        return topk.rank(topk.scan(asked, index.terms, n, scorer, query_id, chunk, CHUNK_WORDS), n)
     stored = index.terms
     if group is None:
         asked, stored = asked.withColumn("cell", F.lit(EVERY)), stored.withColumn("cell", F.lit(EVERY))
@@ -143,7 +148,7 @@ def search(
         return df.groupBy("cell").agg(F.count("*").alias("n"))
 
     pieces = durable(topk.piece_plan(counts(asked), counts(stored), "cell"))
-    return topk.rank(topk.grid(asked, stored, n, scorer, query_id, chunk, "cell", pieces), n)
+    return topk.rank(topk.grid(asked, stored, n, scorer, query_id, chunk, "cell", pieces, CHUNK_WORDS), n)
 
 
 def with_chunk_text(found: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -28,8 +28,9 @@ SCORE_DIGITS = 9
 RESULT = "query_id {q}, item_id {i}, score double"
 
 
-def block_rows(queries: int) -> int:
-    return max(64, BLOCK_SCORES // max(queries, 1))
+def block_rows(queries: int, entries: int = 1) -> int:
+    """Rows per block, for scorers that hold ``entries`` numbers per pair."""
+    return max(64, BLOCK_SCORES // max(queries * entries, 1))
 
 
 class Best:
@@ -105,6 +106,7 @@ def scan(
     scorer: Callable[[pa.Table], Callable[[pa.Table], np.ndarray]],
     query_id: str,
     item_id: str,
+    entries: int = 1,
 ) -> DataFrame:
     """Few queries: one pass over the items, no shuffle of them.
 
@@ -118,7 +120,7 @@ def scan(
     def run(batches):
         held = shared.value
         score = scorer(held)
-        best, step = Best(held.num_rows, k), block_rows(held.num_rows)
+        best, step = Best(held.num_rows, k), block_rows(held.num_rows, entries)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for at in range(0, table.num_rows, step):
@@ -138,6 +140,7 @@ def grid(
     item_id: str,
     cell: str,
     pieces: DataFrame,
+    entries: int = 1,
 ) -> DataFrame:
     """Many queries: score each cell's queries against the cell's items.
 
@@ -161,7 +164,7 @@ def grid(
     right = spread(items, item_id, "item_pieces", "query_pieces").withColumnsRenamed({"_own": "_ip", "_other": "_qp"})
 
     def run(held: pa.Table, found: pa.Table) -> pa.Table:
-        best, step = Best(held.num_rows, k), block_rows(held.num_rows)
+        best, step = Best(held.num_rows, k), block_rows(held.num_rows, entries)
         if held.num_rows and found.num_rows:
             score = scorer(held)
             for at in range(0, found.num_rows, step):

@@ -320,7 +320,9 @@ def chunk_index(spark, d):
 
 @query
 def document_registry(spark, d):
-    found = t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark))
+    """The registry of the oldest manuals, brought up to date with the newest."""
+    rows, mapping = t.spread_table(spark, d, "documents"), t.manual_map(spark)
+    found = documents.upsert_registry(t.registry(rows, mapping, newest=False), t.registry(rows, mapping))
     return found.select("fault_category", "document_name", "title", "text_content", "chunk_count")
 
 
@@ -519,12 +521,10 @@ def stream_daily_counts(spark, d):
 @query
 def stream_validated_events(spark, d):
     """Accepted and refused events as written by the validating stream."""
-    accepted, refused = scratch_dir(spark, "accepted"), scratch_dir(spark, "refused")
+    path = scratch_dir(spark, "validated")
     stream = t.payloads(_event_stream(spark, d)).select("payload")
-    jobs.write_validated(stream, accepted, refused, scratch_dir(spark, "validate-state")).awaitTermination()
-    good = spark.read.parquet(accepted).select("payload", F.lit("accepted").alias("status"))
-    bad = spark.read.parquet(refused).select("payload", F.lit("refused").alias("status"))
-    return good.unionByName(bad)
+    jobs.write_validated(stream, path, scratch_dir(spark, "validate-state")).awaitTermination()
+    return spark.read.parquet(path).select("payload", "status")
 
 
 @query

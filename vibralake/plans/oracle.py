@@ -7,7 +7,7 @@ lists the ones it needs.
 from __future__ import annotations
 
 from vibralake import domain
-from vibralake.functions.numeric import NUMBER
+from vibralake.functions.numeric import NUMBER, NUMBER_OR_NAN
 from vibralake.functions.text import WHITE_SPACE
 from vibralake.plans import tables as t
 
@@ -55,8 +55,7 @@ def sensors(value: str, k: str, user: str) -> str:
 
 
 def number(expr: str) -> str:
-    bare = strip(expr)
-    value = f"CASE WHEN regexp_matches({bare}, {text(NUMBER)}) THEN TRY_CAST({bare} AS DOUBLE) END"
+    value = f"CASE WHEN regexp_matches({expr}, {text(NUMBER)}) THEN TRY_CAST(trim({expr}) AS DOUBLE) END"
     return f"COALESCE(CASE WHEN isnan({value}) THEN 0e0 ELSE {value} END, 0e0)"
 
 
@@ -331,10 +330,10 @@ def build(body: str, *names: str) -> str:
 
 def _errors() -> str:
     def value(c: str) -> str:
-        return strip(f"json_extract_string(j, '$.{c}')")
+        return f"json_extract_string(j, '$.{c}')"
 
     def ok(c: str) -> str:
-        return f"COALESCE(regexp_matches({value(c)}, {text(NUMBER)}) OR lower({value(c)}) = 'nan', false)"
+        return f"COALESCE(regexp_matches({value(c)}, {text(NUMBER_OR_NAN)}), false)"
 
     checks = [f"CASE WHEN NOT {ok(c)} THEN {text(c)} END" for c in REQUIRED]
     checks += [

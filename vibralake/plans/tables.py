@@ -14,6 +14,7 @@ from vibralake import domain
 from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
 from vibralake.operators import event_json, features
+from vibralake.operators.upsert import latest_per_key
 from vibralake.session import spread
 
 # Raw labels that stand behind the numeric property of an event.
@@ -170,13 +171,16 @@ def matched_manuals(documents: DataFrame, mapping: DataFrame) -> DataFrame:
     return docs.fan_out(docs.with_chunks(matched, separator="\n"))
 
 
-def registry(documents: DataFrame, mapping: DataFrame) -> DataFrame:
-    """One manual per category: the one with the highest document number wins."""
-    rows = docs.registry_rows(matched_manuals(documents, mapping))
-    # The number is part of the name, so the newest is found by its digits.
-    newest = rows.withColumn("_number", F.regexp_extract("document_name", r"(\d+)", 1).cast("long"))
-    empty = newest.limit(0)
-    return docs.upsert_registry(empty, newest, order=("_number",)).drop("_number")
+def registry(documents: DataFrame, mapping: DataFrame, newest: bool = True) -> DataFrame:
+    """One manual per category: the one with the highest document number wins.
+
+    The winner is known before its text is looked at, so only the winners are
+    chunked. ``newest=False`` takes the lowest number instead.
+    """
+    matched = docs.fan_out(docs.named_documents(named(documents), mapping, name="source"))
+    place = F.col("doc_id") if newest else -F.col("doc_id")
+    winners = latest_per_key(matched.withColumn("_place", place), ["fault_category"], ["_place"])
+    return docs.registry_rows(docs.with_chunks(winners.drop("_place"), separator="\n"))
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vibralake.operators import event_json, features, prescribe
+from vibralake.session import spread
 
 
 def payload_stream(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -25,19 +26,19 @@ def typed_events(validated_stream: DataFrame, defaults: str = "api") -> DataFram
     return features.add_features(event_json.sensor_columns(event_json.accepted(validated_stream), defaults))
 
 
-def write_validated(
-    stream: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str, payload: str = "payload"
-) -> StreamingQuery:
-    """Route accepted and refused events to two tables.
+def write_validated(stream: DataFrame, path: str, checkpoint: str, payload: str = "payload") -> StreamingQuery:
+    """Route events to ``status=accepted`` and ``status=refused`` under ``path``.
 
-    Each batch writes to a folder of its own number and overwrites it when the
-    batch is run again, so a restart after a failure leaves no doubles.
+    One pass validates and writes both. Each batch has a folder of its own
+    number and overwrites it when it is run again, so a restart after a failure
+    leaves no doubles.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = event_json.validate(batch, payload)
-        event_json.accepted(checked).select(payload).write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
-        event_json.quarantine(checked, payload).write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
+        checked = event_json.validate(spread(batch), payload)
+        status = F.when(F.col("is_valid"), "accepted").otherwise("refused").alias("status")
+        rows = checked.select(payload, "errors", status)
+        rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -17,7 +17,8 @@ from vibralake.functions import arrays
 from vibralake.operators import evaluation, scaling, split
 
 
-ROWS_PER_PARTITION = 20_000
+# Rows per partition that are worth a task, and that fill one.
+FEW_ROWS, MANY_ROWS = 200, 20_000
 
 
 class Forest(NamedTuple):
@@ -54,10 +55,11 @@ def train(
     """Fit label index, scale and forest on the train rows only."""
     weighted = split.with_class_weight(train_rows, label, "_weight")
     # Best splits are searched with as many tasks as the rows have partitions,
-    # so a small table is spread over all cores first.
-    cores = train_rows.sparkSession.sparkContext.defaultParallelism
-    if train_rows.count() <= cores * ROWS_PER_PARTITION:
-        weighted = weighted.repartition(cores)
+    # and statistics of every tree node are kept per partition. A small table
+    # is therefore spread over the cores, but not thinner than it is worth.
+    cores, rows = train_rows.sparkSession.sparkContext.defaultParallelism, train_rows.count()
+    if rows <= cores * MANY_ROWS:
+        weighted = weighted.repartition(min(cores, max(1, rows // FEW_ROWS)))
     stages = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         scaling_stage(features, scaling.fit_columns(train_rows, features)),

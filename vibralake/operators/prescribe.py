@@ -92,7 +92,9 @@ def sensor_summary(columns: Sequence[str]) -> Column:
     names = ("rpm", "temperature_c", "temperature_f", "z_rms_velocity_mm_s", "x_rms_velocity_mm_s",
              "z_peak_acceleration_g", "x_peak_acceleration_g", "z_kurtosis", "x_kurtosis", "z_crest_factor", "x_crest_factor")
     values = {n: _shown(n, columns, "0.0") for n in names}
-    return tx.fill(domain.SENSOR_SUMMARY, id=_shown("id", columns, "N/A"), **values)
+    # A caller that numbers its rows keeps the given id under another name.
+    id_column = "_given" if "_given" in columns else "id"
+    return tx.fill(domain.SENSOR_SUMMARY, id=_shown(id_column, columns, "N/A"), **values)
 
 
 def history_summary(columns: Sequence[str]) -> Column:

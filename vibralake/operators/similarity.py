@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vibralake import domain
@@ -180,21 +180,18 @@ def with_rows(found: DataFrame, history: DataFrame, key: str = "id") -> DataFram
     return shown.join(small_side(found.withColumn("similarity_score", score)), "item_id")
 
 
-def match_list(neighbours: DataFrame, n: int | None = None) -> DataFrame:
-    """Per event the array of its neighbours, best first; ``n`` shows fewer."""
+def _matches(n: int | None) -> Column:
+    """Neighbours of one event, best first. There are k of them at most."""
     entry = F.struct(
         "rank", F.col("item_id").alias("id"), "created_at", "fault", "fault_category", "similarity_score", "rpm",
         "temperature_c", "z_rms_velocity_mm_s", "x_rms_velocity_mm_s",
     )
     matches = F.array_sort(F.collect_list(entry))
-    if n is not None:
-        matches = F.slice(matches, 1, n)
-    return neighbours.groupBy("query_id").agg(matches.alias("top_matches"))
+    return (matches if n is None else F.slice(matches, 1, n)).alias("top_matches")
 
 
-def operational_context(neighbours: DataFrame) -> DataFrame:
-    """Averages, ranges and the most frequent raw label of each event's neighbours."""
-    return neighbours.groupBy("query_id").agg(
+def _context() -> list[Column]:
+    return [
         F.count("*").cast("int").alias("similar_count"),
         F.round(F.avg("rpm"), 1).alias("avg_rpm"),
         F.round(F.min("rpm"), 1).alias("min_rpm"),
@@ -206,24 +203,38 @@ def operational_context(neighbours: DataFrame) -> DataFrame:
         F.round(F.avg("x_rms_velocity_mm_s"), 3).alias("avg_x_rms_velocity"),
         F.mode("fault", deterministic=True).alias("primary_historical_fault"),
         F.min_by("fault_category", "rank").alias("match_category"),
-    )
+    ]
+
+
+def match_list(neighbours: DataFrame, n: int | None = None) -> DataFrame:
+    """Per event the array of its neighbours; ``n`` shows fewer."""
+    return neighbours.groupBy("query_id").agg(_matches(n))
+
+
+def operational_context(neighbours: DataFrame) -> DataFrame:
+    """Averages, ranges and the most frequent raw label of each event's neighbours."""
+    return neighbours.groupBy("query_id").agg(*_context())
 
 
 def category_totals(context: DataFrame, history: DataFrame, histogram: bool = False) -> DataFrame:
-    """Add the recurrence of the category of each event's best match."""
-    daily = dashboard.daily_counts(history)
-    totals = dashboard.recurrence(daily).withColumnsRenamed(
+    """Add the recurrence of the category of each event's best match.
+
+    The history is read once for its daily counts; totals have one row per
+    category, so events are not moved to meet them.
+    """
+    daily = durable(dashboard.daily_counts(history))
+    totals = dashboard.recurrence(daily).drop("active_days").withColumnsRenamed(
         {"fault_category": "match_category", "total_occurrences": "total_historical_occurrences"}
     )
-    out = context.join(totals.drop("active_days"), "match_category", "left")
+    out = context.join(small_side(totals), "match_category", "left")
     if histogram:
         dates = dashboard.date_histogram(daily).withColumnRenamed("fault_category", "match_category")
-        out = out.join(dates, "match_category", "left")
+        out = out.join(small_side(dates), "match_category", "left")
     return out
 
 
 def similar_events(events: DataFrame, history: DataFrame, k: int = domain.SIMILAR_TOP_K, **options) -> DataFrame:
     """The whole answer per event: count, matches, context, recurrence, days."""
     neighbours = with_rows(nearest(events, history, k, **options), history)
-    grouped = category_totals(operational_context(neighbours), history, histogram=True)
-    return grouped.join(match_list(neighbours), "query_id")
+    answered = neighbours.groupBy("query_id").agg(*_context(), _matches(None))
+    return category_totals(answered, history, histogram=True)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vibralake.session import small_side
+
 # Queries up to this many are sent to the items.
 FEW_QUERIES = 4_096
 # Upper bounds of one grid piece.
@@ -150,7 +152,7 @@ def grid(
     and one item piece.
     """
     ddl, schema = _result_types(queries, items, query_id, item_id)
-    plan = F.broadcast(pieces)
+    plan = small_side(pieces)
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         return (

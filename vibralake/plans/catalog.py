@@ -535,7 +535,8 @@ def stream_prescriptions(spark, d):
     mapping, texts = prescribe.document_map(spark), _manual_texts(spark, d)
 
     def answer(batch: DataFrame) -> DataFrame:
-        scored = t.readings(batch).withColumn("confidence", F.lit(90.0))
+        sensors = [F.round(c, 3).alias(c) for c in SHOWN_SENSORS]
+        scored = t.readings(batch).select("id", "fault_category", F.lit(90.0).alias("confidence"), *sensors)
         return prescribe.prescribe(scored, registry, mapping, texts)
 
     path = scratch_dir(spark, "prescriptions")

@@ -101,6 +101,16 @@ PARTS = ", ".join(f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(len(
 MANUAL_ROWS = ", ".join(f"({text(c)}, {text(d)}, {text(n)})" for c, d, n, _ in t.MANUAL_SOURCES)
 MAP_ROWS = ", ".join(f"({text(c)}, {text(d)}, {text(n)}, {str(h).lower()})" for c, d, n, h in domain.DOCUMENT_MAP)
 REQUIRED = domain.REQUIRED_FIELDS
+SHOWN = (
+    "rpm", "temperature_c", "temperature_f", "z_rms_velocity_mm_s", "x_rms_velocity_mm_s", "z_peak_acceleration_g",
+    "x_peak_acceleration_g", "z_kurtosis", "x_kurtosis", "z_crest_factor", "x_crest_factor",
+)
+SUMMARIES = (
+    filled(domain.SENSOR_SUMMARY, id="vec_id", **{c: c for c in SHOWN})
+    + " AS sensor_summary, "
+    + filled(domain.HISTORY_SUMMARY, similar_count="similar_count", occurrences=thousands("occ"), avg_rpm="avg_rpm", avg_temp_c="avg_temp_c")
+    + " AS history_summary"
+)
 
 
 def search_ctes(prefix: str, items: str, queries: str, n: int, grouped: bool) -> dict[str, tuple[tuple[str, ...], str]]:
@@ -133,6 +143,42 @@ def search_ctes(prefix: str, items: str, queries: str, n: int, grouped: bool) ->
     }
 
 
+def chunk_ctes(p: str, needs: tuple[str, ...], source: str, key: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Chunks of the column ``text`` of a table; paragraphs are lines."""
+    size, step = domain.CHUNK_SIZE, domain.CHUNK_SIZE - domain.CHUNK_OVERLAP
+    over = f"cur + len > {size}"
+    return {
+        f"{p}paras": (
+            needs,
+            f"SELECT {key}, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM {source}",
+        ),
+        f"{p}lens": ((f"{p}paras",), f"SELECT {key}, unnest(list_transform(ps, lambda x: length(x))) AS len, generate_subscripts(ps, 1) AS i FROM {p}paras"),
+        f"{p}fold": (
+            (f"{p}lens",),
+            f"""SELECT {key}, 0 AS i, 1 AS first, 0 AS cnt, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS last, NULL::INT AS e_first, NULL::INT AS e_cnt FROM {source}
+            UNION ALL
+            SELECT f.{key}, l.i,
+              CASE WHEN {over} AND cnt > 1 THEN l.i - 1 WHEN {over} AND cnt > 0 THEN l.i ELSE first END,
+              CASE WHEN {over} AND cnt > 1 THEN 2 WHEN {over} AND cnt > 0 THEN 1 ELSE cnt + 1 END,
+              CASE WHEN {over} AND cnt > 1 THEN last + len WHEN {over} AND cnt > 0 THEN len ELSE cur + len END,
+              len,
+              CASE WHEN {over} AND cnt > 0 THEN first END,
+              CASE WHEN {over} AND cnt > 0 THEN cnt END
+            FROM {p}fold f JOIN {p}lens l ON l.{key} = f.{key} AND l.i = f.i + 1""",
+        ),
+        f"{p}spans": (
+            (f"{p}fold",),
+            f"SELECT {key}, e_first AS first, e_cnt AS cnt FROM {p}fold WHERE e_first IS NOT NULL UNION ALL SELECT {key}, first, cnt FROM {p}fold WHERE cnt > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i DESC) = 1",
+        ),
+        f"{p}chunks": (
+            (f"{p}spans", f"{p}paras"),
+            f"""SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY first) - 1 AS INT) AS chunk_index, array_to_string(ps[first : first + cnt - 1], chr(10)) AS text FROM {p}spans JOIN {p}paras USING ({key})
+            UNION ALL SELECT {key}, CAST(s // {step} AS INT), substr(text, CAST(s + 1 AS INT), {size}) FROM (SELECT {key}, text, unnest(range(0, length(text), {step})) AS s FROM {p}paras WHERE len(ps) = 0)""",
+        ),
+        f"{p}counts": ((f"{p}chunks",), f"SELECT {key}, CAST(count(*) AS INT) AS chunks FROM {p}chunks GROUP BY {key}"),
+    }
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), f"SELECT event_id, ts, user_id, event_type, value, {K} AS k FROM events"),
     "raw": (
@@ -210,34 +256,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT vec_id, unnest({strings(t.CLASSES)}) AS category, round(unnest(p) * 100e0, 2) AS percent, generate_subscripts(p, 1) AS i FROM shares",
     ),
     # documents
-    "paras": (
-        (),
-        f"SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM documents",
-    ),
-    "lens": (("paras",), "SELECT doc_id, unnest(list_transform(ps, lambda x: length(x))) AS len, generate_subscripts(ps, 1) AS i FROM paras"),
-    "fold": (
-        ("lens",),
-        f"""SELECT doc_id, 0 AS i, 1 AS first, 0 AS cnt, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS last, NULL::INT AS e_first, NULL::INT AS e_cnt FROM documents
-        UNION ALL
-        SELECT f.doc_id, l.i,
-          CASE WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 1 THEN l.i - 1 WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 0 THEN l.i ELSE first END,
-          CASE WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 1 THEN 2 WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 0 THEN 1 ELSE cnt + 1 END,
-          CASE WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 1 THEN last + len WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 0 THEN len ELSE cur + len END,
-          len,
-          CASE WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 0 THEN first END,
-          CASE WHEN cur + len > {domain.CHUNK_SIZE} AND cnt > 0 THEN cnt END
-        FROM fold f JOIN lens l ON l.doc_id = f.doc_id AND l.i = f.i + 1""",
-    ),
-    "spans": (
-        ("fold",),
-        "SELECT doc_id, e_first AS first, e_cnt AS cnt FROM fold WHERE e_first IS NOT NULL UNION ALL SELECT doc_id, first, cnt FROM fold WHERE cnt > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1",
-    ),
-    "chunks": (
-        ("spans", "paras"),
-        f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INT) AS chunk_index, array_to_string(ps[first : first + cnt - 1], chr(10)) AS text FROM spans JOIN paras USING (doc_id)
-        UNION ALL SELECT doc_id, CAST(s // {domain.CHUNK_SIZE - domain.CHUNK_OVERLAP} AS INT), substr(text, CAST(s + 1 AS INT), {domain.CHUNK_SIZE}) FROM (SELECT doc_id, text, unnest(range(0, length(text), {domain.CHUNK_SIZE - domain.CHUNK_OVERLAP})) AS s FROM paras WHERE len(ps) = 0)""",
-    ),
-    "counts": (("chunks",), "SELECT doc_id, CAST(count(*) AS INT) AS chunks FROM chunks GROUP BY doc_id"),
+    **chunk_ctes("", (), "documents", "doc_id"),
+    **chunk_ctes("u_", ("assembled",), "assembled", "doc_name"),
     "manualmap": ((), f"SELECT * FROM (VALUES {MANUAL_ROWS}) v(fault_category, src, title)"),
     "docmap": ((), f"SELECT * FROM (VALUES {MAP_ROWS}) v(fault_category, doc, title, has_document)"),
     "index": (
@@ -287,17 +307,23 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "prescribed": (
         ("routes", "excerpts", "context", "historytotals", "readings"),
         "SELECT r.*, COALESCE(x.excerpts, []) AS excerpts, c.similar_count, c.avg_rpm, c.avg_temp_c, h.total_historical_occurrences AS occ, "
-        + ", ".join(
-            f"round({s}, 3) AS {s}"
-            for s in ("rpm", "temperature_c", "temperature_f", "z_rms_velocity_mm_s", "x_rms_velocity_mm_s", "z_peak_acceleration_g", "x_peak_acceleration_g", "z_kurtosis", "x_kurtosis", "z_crest_factor", "x_crest_factor")
-        )
+        + ", ".join(f"round({c}, 3) AS {c}" for c in SHOWN)
         + " FROM routes r JOIN context c ON c.query_id = r.vec_id JOIN historytotals h USING (match_category) JOIN readings s ON s.id = r.vec_id LEFT JOIN excerpts x ON x.fault_category = r.fault_category",
     ),
     "summaries": (
         ("prescribed",),
-        f"""SELECT *, {filled(domain.SENSOR_SUMMARY, id='vec_id', **{s: s for s in ('rpm', 'temperature_c', 'temperature_f', 'z_rms_velocity_mm_s', 'x_rms_velocity_mm_s', 'z_peak_acceleration_g', 'x_peak_acceleration_g', 'z_kurtosis', 'x_kurtosis', 'z_crest_factor', 'x_crest_factor')})} AS sensor_summary,
-        {filled(domain.HISTORY_SUMMARY, similar_count='similar_count', occurrences=thousands('occ'), avg_rpm='avg_rpm', avg_temp_c='avg_temp_c')} AS history_summary FROM prescribed""",
+        f"SELECT *, {SUMMARIES} FROM prescribed",
+    ),
+    "streamed": (
+        ("readings", "registry", "docmap", "excerpts"),
+        "SELECT s.id AS vec_id, s.fault_category, 90e0 AS confidence, (r.fault_category IS NOT NULL) OR COALESCE(m.has_document, false) AS has_document, "
+        f"CASE WHEN r.fault_category IS NOT NULL THEN r.title ELSE COALESCE(m.title, {text(domain.NO_DOCUMENT_TITLE)}) END AS title, "
+        "CASE WHEN s.fault_category = 'normal' THEN 'normal' WHEN NOT ((r.fault_category IS NOT NULL) OR COALESCE(m.has_document, false)) THEN 'undocumented' ELSE 'documented' END AS route, "
+        "COALESCE(r.document_name, m.doc) AS document_name, COALESCE(x.excerpts, []) AS excerpts, 0 AS similar_count, 0e0 AS avg_rpm, 0e0 AS avg_temp_c, 0 AS occ, "
+        + ", ".join(f"round(s.{c}, 3) AS {c}" for c in SHOWN)
+        + " FROM readings s LEFT JOIN registry r ON r.fault_category = s.fault_category LEFT JOIN docmap m ON m.fault_category = s.fault_category LEFT JOIN excerpts x ON x.fault_category = s.fault_category",
     ),
+    "streamsummaries": (("streamed",), f"SELECT *, {SUMMARIES} FROM streamed"),
     # chat
     "lastmessages": (
         (),
@@ -323,7 +349,7 @@ def build(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    parts = [f"{'idx' if n == 'index' else n} AS MATERIALIZED ({CTES[n][1]})" if n != "fold" else f"fold AS ({CTES[n][1]})" for n in ordered]
+    parts = [f"{'idx' if n == 'index' else n} AS MATERIALIZED ({CTES[n][1]})" if not n.endswith("fold") else f"{n} AS ({CTES[n][1]})" for n in ordered]
     sql = "WITH RECURSIVE " + ", ".join(parts) + " " + body if parts else body
     return sql.replace("FROM index", "FROM idx").replace("JOIN index", "JOIN idx")
 
@@ -372,7 +398,7 @@ def _standardised() -> str:
     return f"SELECT l_orderkey, l_linenumber, l_partkey, {scaled} FROM linefeatures CROSS JOIN (SELECT {stats} FROM linefeatures)"
 
 
-def _prescription() -> str:
+def _prescription(source: str = "summaries") -> str:
     values = dict(
         category_title=title("fault_category"), category="fault_category", confidence=one_decimal("confidence"),
         title="title", sensor_summary="sensor_summary", history_summary="history_summary",
@@ -395,7 +421,7 @@ def _prescription() -> str:
       CASE route WHEN 'normal' THEN {text(domain.NORMAL_TEXT)} WHEN 'undocumented' THEN {missing} ELSE {synthesis} END AS prescription,
       CASE WHEN route = 'documented' THEN document_name ELSE '' END AS referenced_docs,
       CASE WHEN route = 'documented' THEN CAST(len(excerpts) AS INT) END AS chunks_used,
-      CASE WHEN route = 'documented' THEN {prompt} END AS prompt FROM summaries"""
+      CASE WHEN route = 'documented' THEN {prompt} END AS prompt FROM {source}"""
 
 
 def _context() -> str:
@@ -483,6 +509,12 @@ def statements() -> dict[str, str]:
         "chunk_index": build("SELECT * FROM index", "index"),
         "document_registry": build("SELECT * FROM registry", "registry"),
         "chunk_upsert": build("SELECT chunk_id, CASE WHEN chunk_index % 2 = 0 THEN lower(text) ELSE text END AS text FROM index", "index"),
+        "document_ingest": build(
+            "SELECT 'success' AS status, a.doc_name AS filename, 'outro_defeito' AS fault_category, COALESCE(c.chunks, 0) AS chunks_indexed FROM assembled a LEFT JOIN u_counts c USING (doc_name)", "assembled", "u_counts"
+        ),
+        "stream_prescriptions": build(
+            f"SELECT event_id, fault_category, has_document, CAST(length(prescription) AS INT) AS text_length FROM ({_prescription('streamsummaries')})", "streamsummaries"
+        ),
         "latest_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "chunk_search": build(HITS.format(p="s"), "s_top"),
         "chunk_search_by_language": build(HITS.format(p="l"), "l_top"),

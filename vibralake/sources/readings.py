@@ -34,13 +34,12 @@ def preprocess(raw: DataFrame, strict_time: bool = True) -> DataFrame:
 def write_processed(processed: DataFrame, path: str) -> None:
     """Parquet partitioned by day, time-ordered inside each file.
 
-    Rows are spread by day and a hash of the id, so a day with very many rows
-    is written by several tasks.
+    Rows are rebalanced by day: days with few rows share a task, and a day with
+    very many is split over several.
     """
-    day = F.to_date("created_at")
     (
-        processed.withColumn("reading_date", day)
-        .repartition("reading_date", F.pmod(F.xxhash64("id"), F.lit(64)))
+        processed.withColumn("reading_date", F.to_date("created_at"))
+        .hint("rebalance", "reading_date")
         .sortWithinPartitions("reading_date", F.col("created_at").asc_nulls_last(), "id")
         .write.mode("overwrite")
         .partitionBy("reading_date")

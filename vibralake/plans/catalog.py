@@ -135,7 +135,7 @@ def standardized_features(spark, d):
 @query
 def stored_readings(spark, d):
     """Build the stored table, write it through the count guard and read it back."""
-    rows = features.add_features(t.readings(t.table(spark, d, "events")))
+    rows = features.add_features(t.readings(t.spread_table(spark, d, "events"), domain.SENSORS))
     path = scratch_dir(spark, "readings")
     readings_source.ingest(rows, path)
     return spark.read.parquet(path).select(
@@ -410,7 +410,7 @@ SHOWN_SENSORS = (
 
 def _scored_events(spark, d) -> DataFrame:
     """Scored events with rounded sensor values and the context of their neighbours."""
-    sensors = t.readings(t.table(spark, d, "events")).select("id", *[F.round(c, 3).alias(c) for c in SHOWN_SENSORS])
+    sensors = t.readings(t.table(spark, d, "events"), SHOWN_SENSORS).select("id", *[F.round(c, 3).alias(c) for c in SHOWN_SENSORS])
     scored = t.scored(t.table(spark, d, "embeddings")).select(F.col("vec_id").alias("id"), "fault_category", "confidence")
     context = _with_context(spark, d).select(
         F.col("query_id").alias("id"), "similar_count", "avg_rpm", "avg_temp_c", "total_historical_occurrences"
@@ -536,7 +536,7 @@ def stream_prescriptions(spark, d):
 
     def answer(batch: DataFrame) -> DataFrame:
         sensors = [F.round(c, 3).alias(c) for c in SHOWN_SENSORS]
-        scored = t.readings(batch).select("id", "fault_category", F.lit(90.0).alias("confidence"), *sensors)
+        scored = t.readings(batch, SHOWN_SENSORS).select("id", "fault_category", F.lit(90.0).alias("confidence"), *sensors)
         return prescribe.prescribe(scored, registry, mapping, texts)
 
     path = scratch_dir(spark, "prescriptions")

@@ -7,13 +7,15 @@ exponent form, no implicit decimals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
-from vibralake.operators import event_json, features
+from vibralake.operators import event_json
 from vibralake.operators.upsert import latest_per_key
 from vibralake.session import spread
 
@@ -59,20 +61,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 K = "cast(get_json_object(props, '$.k') as int)"
 
 
-def raw_readings(events: DataFrame) -> DataFrame:
-    """Events as readings with a raw label and 23 sensor values."""
+def raw_readings(events: DataFrame, sensors: Sequence[str] = ()) -> DataFrame:
+    """Events as readings with a raw label and the sensor values asked for."""
     choices = F.array(*[F.lit(x).cast("string") for x in RAW_LABELS])
     base = events.select("event_id", "ts", "user_id", "value", F.expr(K).alias("k"))
     return base.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("created_at"),
-        *[F.expr(sensor_formula(i, "value", "k", "user_id")).alias(s) for i, s in enumerate(domain.SENSORS)],
+        *[F.expr(sensor_formula(domain.SENSORS.index(s), "value", "k", "user_id")).alias(s) for s in sensors],
         F.element_at(choices, F.col("k") % len(RAW_LABELS) + 1).alias("fault"),
     )
 
 
-def readings(events: DataFrame) -> DataFrame:
-    return labels.with_category(raw_readings(events))
+def readings(events: DataFrame, sensors: Sequence[str] = ()) -> DataFrame:
+    return labels.with_category(raw_readings(events, sensors))
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,7 +150,8 @@ def scored(embeddings: DataFrame) -> DataFrame:
 def history(embeddings: DataFrame, events: DataFrame) -> DataFrame:
     """Vectors as historical readings: features and the reading of the same number."""
     vectors = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
-    return readings(events).join(vectors, "id")
+    shown = ("rpm", "temperature_c", "z_rms_velocity_mm_s", "x_rms_velocity_mm_s")
+    return readings(events, shown).join(vectors, "id")
 
 
 def manual_map(spark: SparkSession) -> DataFrame:
@@ -203,7 +206,3 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
 
 def validated_payloads(events: DataFrame) -> DataFrame:
     return event_json.validate(payloads(events))
-
-
-def stored(events: DataFrame) -> DataFrame:
-    return features.stored_projection(features.add_features(readings(events)))

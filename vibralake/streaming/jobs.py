@@ -77,7 +77,7 @@ def write_prescriptions(
         events = events.withWatermark("created_at", repeat_window).dropDuplicatesWithinWatermark(["id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = prescribe.log_rows(answer(batch))
+        rows = prescribe.log_rows(answer(spread(batch)))
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (

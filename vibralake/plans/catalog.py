@@ -429,7 +429,8 @@ def prescription_text(spark, d):
     found = _prescriptions(spark, d, _scored_events(spark, d))
     return found.select(
         "event_id", "fault_category", "route", "has_document", "is_operational_normal", "prescription",
-        F.array_join("referenced_docs", ",").alias("referenced_docs"), "chunks_used", "prompt",
+        F.array_join("referenced_docs", ",").alias("referenced_docs"),
+        F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"), F.coalesce("prompt", F.lit("")).alias("prompt"),
     )
 
 

@@ -420,8 +420,8 @@ def _prescription(source: str = "summaries") -> str:
     return f"""SELECT vec_id AS event_id, fault_category, route, route = 'documented' AS has_document, route = 'normal' AS is_operational_normal,
       CASE route WHEN 'normal' THEN {text(domain.NORMAL_TEXT)} WHEN 'undocumented' THEN {missing} ELSE {synthesis} END AS prescription,
       CASE WHEN route = 'documented' THEN document_name ELSE '' END AS referenced_docs,
-      CASE WHEN route = 'documented' THEN CAST(len(excerpts) AS INT) END AS chunks_used,
-      CASE WHEN route = 'documented' THEN {prompt} END AS prompt FROM {source}"""
+      CASE WHEN route = 'documented' THEN CAST(len(excerpts) AS INT) ELSE 0 END AS chunks_used,
+      CASE WHEN route = 'documented' THEN {prompt} ELSE '' END AS prompt FROM {source}"""
 
 
 def _context() -> str:

@@ -69,10 +69,11 @@ def durable(df: DataFrame) -> DataFrame:
     stay right, only the recomputation is not saved.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        if not is_local(spark):
-            return df
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vibralake-"))
+    folder, context = shared_dir(spark), spark.sparkContext
+    if folder is None and not is_local(spark):
+        return df
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vibralake-"))
     return df.checkpoint()
 
 

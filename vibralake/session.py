@@ -50,30 +50,30 @@ def shared_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder path for a job's files inside the shared folder."""
-    import uuid
-
-    base = shared_dir(spark)
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder; only a local master may do without the setting and use a folder of this machine."""
+    base = shared_dir(spark) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="vibralake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, so a lost executor costs no recompute.
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder path for a job's files inside the shared folder."""
+    import uuid
 
-    Without a shared folder on a cluster the frame is returned as it is: results
-    stay right, only the recomputation is not saved.
-    """
-    spark = df.sparkSession
-    folder, context = shared_dir(spark), spark.sparkContext
-    if folder is None and not is_local(spark):
-        return df
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint, so a lost executor costs no recompute."""
+    context = df.sparkSession.sparkContext
+    base = shared_base(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vibralake-"))
+        context.setCheckpointDir(base)
     return df.checkpoint()
 
 

@@ -9,7 +9,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 
 def words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, '{BLANK}'), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '{BLANK}'), lambda w: w <> '')"
 
 
 OP6 = f"""
@@ -22,11 +22,11 @@ OP7 = f"""
 with recursive d as (select doc_id, {words(LOWER)} as w from documents),
 s as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as g from d
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d
 ),
 n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
 e as (select a, b from l union select b, a from l),
 r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from r where r.a = d.doc_id) as component_id
@@ -80,9 +80,9 @@ q as (
   select p.*, min(bucket_length) as bucket_length, min(bucket) as bucket
   from p join bounds on n_tokens <= bucket_length group by all
 ),
-z as (select *, row_number() over (partition by bucket order by n_tokens, doc_id, piece) - 1 as at from q)
-select doc_id, piece, first_token, n_tokens, bucket::int as bucket, bucket_length, at // greatest(1, {budget} // bucket_length) as batch,
-  at % greatest(1, {budget} // bucket_length) as slot, bucket_length - n_tokens as padding from z"""
+z as (select *, row_number() over (partition by bucket order by n_tokens, doc_id, piece) - 1 as place from q)
+select doc_id, piece, first_token, n_tokens, bucket::int as bucket, bucket_length, place // greatest(1, {budget} // bucket_length) as batch,
+  place % greatest(1, {budget} // bucket_length) as slot, bucket_length - n_tokens as padding from z"""
     )
     return ",\n".join(steps)
 

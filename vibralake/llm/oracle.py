@@ -12,6 +12,71 @@ def words(text: str) -> str:
     return f"list_filter(regexp_split_to_array({text}, '{BLANK}'), lambda w: w <> '')"
 
 
+# Strings of 200 bytes, told apart by their MD5, as bytes in hexadecimal.
+OP1 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, unnest(range(0, len(h) // 2 - 199)) as p, h from d where len(h) >= 400),
+k as (select doc_id, p, md5(h[2 * p + 1:2 * p + 400]) as m from w),
+r as (select doc_id, p, p - coalesce(lag(p) over (partition by doc_id order by p), -1000) as gap from (
+  select doc_id, p, count(*) over (partition by m) as n from k) where n > 1),
+g as (select doc_id, p, sum((gap > 200)::int) over (partition by doc_id order by p) as run from r),
+s as (select doc_id, run, min(p) as a, max(p) + 200 as b from g group by all),
+x as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from s),
+t as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last,
+  string_agg(d.h[2 * before + 1:2 * a], '' order by a) as kept, any_value(d.h) as h from x join d using (doc_id) group by doc_id)
+select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when t.doc_id is null then d.h else kept || t.h[2 * last + 1:] end)) as kept_sha256
+from d left join t using (doc_id)
+"""
+
+OP3 = f"""
+with c as (
+  select conv_id, turn, role, coalesce(text, '') as text, len({words("coalesce(text, '')")}) as n from conversations
+),
+a as (select *, 'call-' || turn as call_id, case when n >= 100 then 'report' when n >= 20 then 'answer' else 'note' end as name
+  from c where role = 'assistant'),
+r as (select *, 'call-' || (turn - 1) as call_id from c where role <> 'assistant' and turn > 0),
+e as (select conv_id, turn, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island from a),
+z as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as depth from e),
+l as (
+  select a.conv_id, a.turn, a.call_id, case when r.conv_id is null then 'open' else 'linked' end as status, depth,
+    case name when 'report' then 'missing title; unknown author' when 'answer' then '' else 'unknown words' end as errors,
+    '{{"arguments":{{' || case name when 'report' then '"author":"assistant",' else '' end || '"text":' || to_json(a.text)
+      || ',"words":' || a.n || '}},"id":"' || a.call_id || '","name":"' || name || '","result":'
+      || coalesce(to_json(r.text)::varchar, 'null') || '}}' as json
+  from a join z using (conv_id, turn) left join r on r.conv_id = a.conv_id and r.call_id = a.call_id
+)
+select conv_id, turn, call_id, status, depth, errors, json from l
+union all
+select conv_id, turn, call_id, 'orphan', null, '', null from r where not exists (
+  select 1 from a where a.conv_id = r.conv_id and a.call_id = r.call_id)
+"""
+
+OP5 = f"""
+with d as (select doc_id, {words("coalesce(text, '')")} as w from documents),
+k as (select doc_id, p, md5(array_to_string(w[p + 1:p + 50], ' ')) as m from (
+  select doc_id, w, unnest(range(0, len(w) - 49)) as p from d where len(w) >= 50)),
+r as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by m) as first_id from k) where first_id < doc_id),
+g as (select distinct doc_id, p + unnest(range(0, 50)) as i from r),
+t as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as i from d),
+s as (select t.doc_id, count(*) filter (g.i is not null) as n_removed,
+  coalesce(string_agg(word, ' ' order by t.i) filter (g.i is null), '') as kept
+  from t left join g on g.doc_id = t.doc_id and g.i = t.i group by t.doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join s using (doc_id)
+"""
+
+OP9 = """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v))
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
 OP6 = f"""
 with d as (select doc_id, {LOWER} as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
@@ -88,4 +153,12 @@ select doc_id, piece, first_token, n_tokens, bucket::int as bucket, bucket_lengt
 
 
 def statements() -> dict[str, str]:
-    return {"op4_packing": packing_sql(), "op6_exact_dedup": OP6, "op7_ngram_join": OP7}
+    return {
+        "op1_suffix_array": OP1,
+        "op3_tool_calls": OP3,
+        "op4_packing": packing_sql(),
+        "op5_recompression": OP5,
+        "op6_exact_dedup": OP6,
+        "op7_ngram_join": OP7,
+        "op9_topk": OP9,
+    }

@@ -5,17 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibralake.llm import exact_dedup, mixing, ngram_join, packing, quality
+from vibralake.llm import exact_dedup, mixing, ngram_join, packing, quality, recompression, suffix_dedup, tool_calls, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.passages(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
+    )
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results, schemas = tool_calls.calls_in(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, schemas)
+    return linked.select("conv_id", "turn", "call_id", "status", "depth", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -30,6 +54,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    found = topk_search.search(rows.filter("id % 20 = 0"), rows, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -47,10 +77,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
+    "op2_toxicity": op2_toxicity,
+    "op3_tool_calls": op3_tool_calls,
     "op4_packing": op4_packing,
+    "op5_recompression": op5_recompression,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
     "op10_quality": op10_quality,
     "pipeline": pipeline,
 }

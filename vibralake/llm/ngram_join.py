@@ -11,13 +11,14 @@ shingles' hashes, and only products that can matter are taken:
   the next level's signatures if a partner can be there. A set that fills too few
   blocks for this argument (hash accidents in tiny sets) is joined by its
   prefix instead: the shingles of smallest hash, one of which every partner shares.
-* Equal blocks per pair are accumulated, and pairs below what their sizes demand are discarded.
-* What remains is decided by the exact overlap of the whole sets.
+* Equal blocks are accumulated per class and leader, the class of a signature with most signatures in common with
+  others; each class is first compared with the leader it shares most blocks with.
+* Of the classes of several components, those are discarded whose entries in common with other components are fewer than
+  the sizes demand. Pairs of what remains are compared in full, unless they are connected already.
+* Every comparison is the exact overlap of the whole sets.
 
-Documents with equal sets are one class from the start. Inside a signature, classes first meet only the class
-most blocks share with them; classes already connected are not compared again. So groups of near copies cost about a
-comparison a document, and pairs of still unconnected classes are then compared in full.
-No pairs of copies are made, and no link between different components is lost.
+Documents with equal sets are one class from the start. So groups of near copies cost about a comparison a
+document, no pairs of copies are made, and no link between different components is lost.
 
 Shingles are 64-bit hashes of words; an overlap is wrong only if two shingles of the same pair collide.
 """
@@ -29,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vibralake.llm.graph import components
@@ -43,7 +44,7 @@ TERMS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 
 
 class Levels:
-    """Size levels and, for each, the number of column blocks and the largest difference of a linked pair."""
+    """Size levels and, for each, its largest size and the number of column blocks."""
 
     def __init__(self, threshold: Fraction, slack: int):
         bounds = [1]
@@ -52,7 +53,7 @@ class Levels:
         self.lower = np.array(bounds[:-1], np.int64)
         share = (1 - threshold) / (1 + threshold)
         most = [int(2 * share * (b - 1)) for b in bounds[1:]]
-        self.differ = np.array(most, np.int64)
+        self.upper = np.array(bounds[1:], np.int64) - 1
         self.blocks = np.array([max(1, d + 1 + slack + d // 12) if slack >= 0 else 1 for d in most], np.int64)
 
     def of(self, size: np.ndarray) -> np.ndarray:
@@ -95,10 +96,11 @@ def classes_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def block_signatures(hashes: np.ndarray, first: np.ndarray, levels: Levels, threshold: Fraction):
-    """Row, signature of each filled block of each row, and whether the row fills too few."""
+    """Row and signature of each filled block of each row; the row's least number of filled blocks, and whether it is too few."""
     size = np.diff(first)
-    out_rows, out_signs, few = [], [], np.zeros(len(size), bool)
+    out_rows, out_signs, few, least = [], [], np.zeros(len(size), bool), size.astype(np.int64)
     own = levels.of(np.maximum(size, 1))
+    up, down = threshold.numerator, threshold.denominator
     reach = levels.of(np.maximum(size * threshold.denominator // threshold.numerator, 1))
     for step in (0, 1):
         chosen = np.flatnonzero((size > 0) & (own + step <= reach))
@@ -117,10 +119,13 @@ def block_signatures(hashes: np.ndarray, first: np.ndarray, levels: Levels, thre
         out_rows.append(chosen[row])
         out_signs.append(mix(sums + mix(where + (level[row].astype(U64) << U64(40)))))
         filled = np.bincount(row, minlength=len(chosen))
-        few[chosen] |= filled <= levels.differ[level]
+        least[chosen] = np.minimum(least[chosen], filled)
+        # the largest partner of this level bounds the difference
+        partner = np.minimum(size[chosen] * down // up, levels.upper[level])
+        few[chosen] |= filled <= (down - up) * (size[chosen] + partner) // (down + up)
     if not out_rows:
-        return np.zeros(0, np.int64), np.zeros(0, U64), few
-    return np.concatenate(out_rows), np.concatenate(out_signs), few
+        return np.zeros(0, np.int64), np.zeros(0, U64), least, few
+    return np.concatenate(out_rows), np.concatenate(out_signs), least, few
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -155,6 +160,12 @@ def same_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     # an open run of one row is not shared; of a longer one all rows are out
 
 
+def differing(a: Column, b: Column, threshold: Fraction) -> Column:
+    """The most shingles in which linked sets of these sizes can differ."""
+    up, down = threshold.numerator, threshold.denominator
+    return F.floor((a + b) * (down - up) / (down + up))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets reach the threshold."""
     up, down = threshold.numerator, threshold.denominator
@@ -181,26 +192,36 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, s
     id reachable by links. Repeated rows are documents of their own; a
     component whose ids are all null has a null id.
     """
-    levels = Levels(threshold, slack)
+    levels, up, down = Levels(threshold, slack), threshold.numerator, threshold.denominator
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(piece: Slice) -> pa.RecordBatch:
         hashes, first = shingle_sets(piece, words)
-        _, _, few = block_signatures(hashes, first, levels, threshold)
-        return batch(doc_id=piece.rows.column("doc_id"), n_shingles=pa.array(np.diff(first).astype(np.int64)), cls=signed(classes_of(hashes, first)), few=pa.array(few))
+        _, _, filled, few = block_signatures(hashes, first, levels, threshold)
+        return batch(
+            doc_id=piece.rows.column("doc_id"), n_shingles=pa.array(np.diff(first).astype(np.int64)),
+            cls=signed(classes_of(hashes, first)), filled=pa.array(filled), few=pa.array(few),
+        )
 
     def signatures(piece: Slice) -> pa.RecordBatch:
         hashes, first = shingle_sets(piece, words)
-        rows, signs, _ = block_signatures(hashes, first, levels, threshold)
+        rows, signs, _, _ = block_signatures(hashes, first, levels, threshold)
         return batch(sign=signed(signs), cls=signed(classes_of(hashes, first)[rows]))
 
-    known = written(plain.mapInArrow(mapped(describe, "text", lower=True), "doc_id long, n_shingles long, cls long, few boolean"), "sets")
-    classes = known.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("few").alias("few"))
+    known = written(plain.mapInArrow(mapped(describe, "text", lower=True), "doc_id long, n_shingles long, cls long, filled long, few boolean"), "sets")
+    classes = known.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("filled").alias("filled"), F.max("few").alias("few"))
     classes = written(classes, "classes")
     sent = plain.mapInArrow(mapped(signatures, "text", lower=True), "sign long, cls long")
     sorted_ = sent.repartition("sign").sortWithinPartitions("sign", "cls")
     shared = written(sorted_.mapInArrow(same_signature, "sign long, cls long"), "shared")
 
+    # a class whose filled blocks are not all but those that may differ found elsewhere links with none
+    most = F.floor(F.col("n") * down / up)
+    met = shared.groupBy("cls").agg(F.count("*").alias("met")).join(classes, "cls")
+    likely = met.filter(F.col("met") >= F.col("filled") - differing(F.col("n"), most, threshold)).select("cls", "n", "filled", "met")
+    likely = written(likely, "likely")
+    shared = written(shared.join(likely.select("cls", "met"), "cls"), "shared")
+
     wanted = shared.select("cls")
     extra = None
     if not classes.filter("few").isEmpty():
@@ -209,21 +230,18 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, s
     involved = wanted.distinct().join(classes, "cls").select("first_id", "cls")
     sets = members(plain, involved, words)
 
-    leader = shared.groupBy("sign").agg(F.min("cls").alias("b"))
-    led = shared.join(leader, "sign").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("n"))
-    led = written(led, "led")
-    best = led.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    edges = written(verified(best, sets, threshold), "links")
+    # the class with most shared signatures leads: among near copies the one that the others were made from
+    leader = shared.groupBy("sign").agg(F.max_by("cls", F.struct("met", "cls")).alias("b"))
+    led = shared.join(leader, "sign").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("equal"))
+    best = led.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b", "m.equal")
+    sized = best.join(likely.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), "filled"), "a")
+    sized = sized.join(likely.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
+    first = sized.filter(F.col("equal") >= F.col("filled") - differing(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+    first = first if extra is None else first.unionByName(extra).distinct()
+    edges = written(verified(first, sets, threshold), "links")
+    roots = components(edges)
+    edges = edges.unionByName(written(verified(across(shared, roots, likely, sets, threshold), sets, threshold), "links"))
     roots = components(edges)
-    for stage in (0, 1):
-        if stage == 0:
-            more = led.select("a", "b")
-            more = more if extra is None else more.unionByName(extra).distinct()
-            more = apart(more, roots)
-        else:
-            more = across(shared, roots, classes, levels, threshold)
-        edges = edges.unionByName(written(verified(more, sets, threshold), "links"))
-        roots = components(edges)
 
     placed = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -251,28 +269,64 @@ def with_roots(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     return rows.join(named, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are not connected yet."""
-    both = with_roots(with_roots(pairs, "a", roots), "b", roots)
-    return both.filter("root_a <> root_b").select("a", "b")
-
-
-def across(shared: DataFrame, roots: DataFrame, classes: DataFrame, levels: Levels, threshold: Fraction) -> DataFrame:
-    """All pairs of unconnected classes with equal blocks enough for their sizes.
+def across(shared: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """All pairs of unconnected classes that can still link.
 
-    Only signatures that classes of several components have take part.
+    Only signatures that classes of several components have take part, and only
+    classes with shingles enough in common with other components. Of their entries, those seen least come first; a class
+    that needs an overlap of c of its n with a partner meets it among its first n - c + 1.
     """
     up, down = threshold.numerator, threshold.denominator
     placed = with_roots(shared, "cls", roots)
     mixed = placed.groupBy("sign").agg(F.min("root_cls").alias("x"), F.max("root_cls").alias("y")).filter("x <> y").select("sign")
     rows = written(placed.join(mixed, "sign").join(classes.select("cls", "n"), "cls"), "mixed")
-    one = rows.select("sign", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root_cls").alias("root_a"))
-    two = rows.select("sign", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("root_cls").alias("root_b"))
-    fit = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up)
-    met = one.join(two, "sign").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit)
+    live, entries = able(rows, sets, threshold)
+    seen = entries.groupBy("shingle").agg(F.count("*").alias("seen"), F.min("root").alias("x"), F.max("root").alias("y"))
+    ranked = entries.join(seen, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("seen", "shingle")))
+    rare = ranked.join(live.select("cls", "n", "need"), "cls").filter((F.col("rank") <= F.col("n") - F.col("need") + 1) & (F.col("x") != F.col("y")))
+    rare = written(rare.select("shingle", "cls", "n", "root", "rank"), "rare")
+    one = rare.select("shingle", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
+    two = rare.select("shingle", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("rank").alias("rank_b"))
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * up / (up + down))
+    fit = (F.col("rank_a") <= F.col("n_a") - overlap + 1) & (F.col("rank_b") <= F.col("n_b") - overlap + 1)
+    met = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit)
     return met.select("a", "b").distinct()
 
 
+def able(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Classes of (sign, cls, n, root_cls) that may link with one of another component, and their shingles.
+
+    A class of size a that links with one of size b has up (a + b) / (up + down) shingles in common with
+    it. The least b is that of its signatures' classes; the shingles in
+    common with any other component are counted. A class with too few goes, which may leave others with too few, until none goes.
+    """
+    up, down = threshold.numerator, threshold.denominator
+    small = rows.groupBy("sign").agg(F.min("n").alias("least"))
+    sized = rows.join(small, "sign").groupBy("cls").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.first("root_cls").alias("root"))
+    share = F.ceil((F.col("n") + F.col("least")) * up / (up + down))
+    live = written(sized.select("cls", "root", "n", F.greatest(share, F.ceil(F.col("n") * up / down)).alias("need")), "able")
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, held in zip(b.column("cls"), b.column("members"), strict=True):
+                values = np.frombuffer(held.as_buffer(), np.int64)
+                yield batch(shingle=pa.array(values), cls=pa.array(np.full(len(values), cls.as_py(), np.int64)))
+
+    held = sets.join(live.select("cls"), "cls", "left_semi").select("cls", "members")
+    entries = written(held.mapInArrow(unfold, "shingle long, cls long"), "entries")
+    count = live.count()
+    while count:
+        now = entries.join(live.select("cls", "root"), "cls")
+        common = now.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+        enough = now.join(common, "shingle", "left_semi").groupBy("cls").agg(F.count("*").alias("common"))
+        live = written(live.join(enough, "cls").filter("common >= need").drop("common"), "able")
+        left = live.count()
+        if left == count:
+            break
+        count = left
+    return live, entries.join(live.select("cls", "root"), "cls")
+
+
 def prefix_pairs(plain: DataFrame, classes: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) that share a prefix shingle, a being a class with too few filled blocks."""
     up, down = threshold.numerator, threshold.denominator

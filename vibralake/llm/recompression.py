@@ -72,7 +72,7 @@ def symbols(words: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndar
         run_high = np.where(right_open, np.maximum(high[after], inner_high), inner_high + 1)
         name, row, low_here, high_here = run, row[first], run_low, run_high
         # pairs: left symbols take the right symbol that follows
-        coin = (mix(name + U64(round_ + 1) * U64(0x9E3779B97F4A7C15)) & U64(1)).astype(bool)  # True: left
+        coin = (mix(name + U64((round_ + 1) * 0x9E3779B97F4A7C15 % 2**64)) & U64(1)).astype(bool)  # True: left
         m = len(name)
         together = np.zeros(m, bool)
         together[:-1] = coin[:-1] & ~coin[1:] & (row[:-1] == row[1:])

@@ -158,12 +158,17 @@ def common_prefix(a: bytes, b: bytes, start: int) -> int:
 def deep_shallow(group: np.ndarray, matrix: np.ndarray, known: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order rows of bytes by group and content; and each row's common prefix with the one before (-1: another group).
 
-    Rows of one group agree in their first ``known`` bytes. Multikey quicksort splits by eight bytes at a time for ``shallow`` bytes; groups that
+    Rows of one group should agree in their first ``known`` bytes, which is checked. Multikey quicksort splits by eight bytes at a time for ``shallow`` bytes; groups that
     are still together go to blind tries.
     """
     n, width = matrix.shape
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if known:
+        by = np.argsort(group, kind="stable")
+        same = group[by][1:] == group[by][:-1]
+        if (matrix[by[1:], :known][same] != matrix[by[:-1], :known][same]).any():
+            known = 0  # two strings of one name: compare from the start
     keys = keys_of(matrix[:, known : known + shallow])
     order = np.lexsort([*(keys[:, c] for c in range(keys.shape[1] - 1, -1, -1)), group])
     sorted_keys, sorted_group = keys[order], group[order]

@@ -53,7 +53,7 @@ class Rolling:
     def __init__(self, seed: int):
         generator = np.random.default_rng(seed)
         self.table = generator.integers(0, 2**64, 256, dtype=U64)
-        self.base = U64(int(generator.integers(0, 2**62)) * 8 + 5)
+        self.base = U64(int(generator.integers(0, 2**60)) * 8 + 5)
         self.inverse = U64(pow(int(self.base), -1, 2**64))
         self.powers = self.inverses = np.ones(1, U64)
 

@@ -17,10 +17,6 @@ from vibralake.functions import arrays
 from vibralake.operators import evaluation, scaling, split
 
 
-# Rows per partition that are worth a task, and that fill one.
-FEW_ROWS, MANY_ROWS = 200, 20_000
-
-
 class Forest(NamedTuple):
     """Forest settings."""
 
@@ -28,6 +24,8 @@ class Forest(NamedTuple):
     depth: int = 20
     leaf_rows: int = 2
     seed: int = domain.SPLIT_SEED
+    partitions: int = 64
+    node_mb: int = 1024
 
 
 def _finite_sql(name: str) -> str:
@@ -54,12 +52,10 @@ def train(
 ) -> PipelineModel:
     """Fit label index, scale and forest on the train rows only."""
     weighted = split.with_class_weight(train_rows, label, "_weight")
-    # Best splits are searched with as many tasks as the rows have partitions,
-    # and statistics of every tree node are kept per partition. A small table
-    # is therefore spread over the cores, but not thinner than it is worth.
-    cores, rows = train_rows.sparkSession.sparkContext.defaultParallelism, train_rows.count()
-    if rows <= cores * MANY_ROWS:
-        weighted = weighted.repartition(min(cores, max(1, rows // FEW_ROWS)))
+    # Bootstrap draws follow partitions and the order in them. Both depend on
+    # the rows and on a parameter only, so any cluster fits the same forest.
+    place = F.xxhash64(label, *features)
+    weighted = weighted.repartition(forest.partitions, place).sortWithinPartitions(place, label, *features)
     stages = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         scaling_stage(features, scaling.fit_columns(train_rows, features)),
@@ -76,6 +72,7 @@ def train(
             minInstancesPerNode=forest.leaf_rows,
             featureSubsetStrategy="sqrt",
             seed=forest.seed,
+            maxMemoryInMB=forest.node_mb,
         ),
     ]
     return Pipeline(stages=stages).fit(weighted)

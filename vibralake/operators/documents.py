@@ -154,18 +154,20 @@ def upsert_chunks(current: DataFrame, incoming: DataFrame, replace_document: boo
     if replace_document:
         renewed = incoming.select("source_doc", "fault_category").distinct()
         current = current.join(renewed, ["source_doc", "fault_category"], "left_anti")
-    return up.upsert(current, incoming, ["chunk_id"])
+    order = [c for c in ("text", "source_doc", "fault_category") if c in incoming.columns]
+    return up.upsert(current, incoming, ["chunk_id"], order)
 
 
 def ingest_documents(pages: DataFrame, **chunking) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Uploaded manuals to registry rows, chunk rows and counts.
 
-    ``pages`` carries ``doc_name, fault_category, title`` beside the page text.
+    ``pages`` carries ``doc_name, fault_category, title`` beside the page text. A
+    document without any text is registered with no chunks; one file uploaded for
+    two categories is a manual of both.
     """
-    names = pages.groupBy("doc_name").agg(
-        F.first("fault_category").alias("fault_category"), F.first("title").alias("title")
-    )
-    texts = with_chunks(assemble(route_pages(pages)), **chunking).join(names, "doc_name")
+    names = pages.select("doc_name", "fault_category", "title").distinct()
+    texts = names.join(assemble(route_pages(pages)), "doc_name", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = with_chunks(texts, **chunking)
     counts = texts.select(
         F.lit("success").alias("status"),
         F.col("doc_name").alias("filename"),

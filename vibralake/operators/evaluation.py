@@ -17,16 +17,19 @@ def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """Every class pair with its count, 0 where it does not occur.
 
     The class list is one row; unfolding it twice gives the cells, so their
-    number is the square of the number of classes and no table is crossed.
+    number is the square of the number of classes and no table is crossed. A
+    missing label or prediction is a class of its own.
     """
-    seen = F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction")))
+    boxed = [F.collect_set(F.struct(F.col(c).alias("c"))) for c in ("label", "prediction")]
+    seen = F.array_sort(F.transform(F.array_union(*boxed), lambda s: s["c"]))
     cells = (
         pairs.agg(seen.alias("classes"))
-        .select(F.explode("classes").alias("label"), "classes")
-        .select("label", F.explode("classes").alias("prediction"))
+        .select(F.explode("classes").alias("_label"), "classes")
+        .select("_label", F.explode("classes").alias("_prediction"))
     )
-    return cells.join(pairs, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
+    same = F.col("_label").eqNullSafe(F.col("label")) & F.col("_prediction").eqNullSafe(F.col("prediction"))
+    return cells.join(pairs, same, "left").select(
+        F.col("_label").alias("label"), F.col("_prediction").alias("prediction"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 

@@ -1,117 +1,79 @@
-"""Text search over chunks with hashed term weights."""
+"""Text search over chunks by the cosine of exact term weights."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.functions import text as tx
 from vibralake.operators import topk
-from vibralake.session import durable, fits, small_side, written
+from vibralake.session import small_side, written
 
-# Terms are hashed into this many buckets (four hexadecimal digits), so every
-# per-term table has a fixed size however large the vocabulary grows.
-BUCKET_DIGITS = 4
-BUCKETS = 16**BUCKET_DIGITS
 WORDS = r"[^\p{L}]+"
 EVERY = "\x00all"
-# Words of a typical chunk, for the size of the blocks that are scored at once.
-CHUNK_WORDS = 64
 
 
 class Index(NamedTuple):
-    """Terms per chunk and one weight per bucket."""
+    """``postings``: term, key, weight[, group]; ``terms``: term, idf; ``items``: key, norm[, group]; number of items."""
 
+    postings: DataFrame
     terms: DataFrame
-    idf: np.ndarray
+    items: DataFrame
+    size: int
 
 
-def bucket(token: Column) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, BUCKET_DIGITS), 16, 10).cast("int")
-
-
-def terms(texts: DataFrame, key: str, text: str = "text", group: str | None = None, pattern: str = WORDS) -> DataFrame:
-    """``(key, buckets[, group])``: the bucket of every word, in place.
-
-    A projection of each row on its own: no word leaves its row, so building
-    an index moves nothing between tasks.
-    """
+def term_counts(texts: DataFrame, key: str, text: str, group: str | None, pattern: str) -> DataFrame:
+    """``(key[, group], term, tf)``. Counts combine inside the tasks before the shuffle."""
     grouped = [F.col(group).alias("group")] if group is not None else []
-    return texts.select(key, F.transform(tx.tokens(F.col(text), pattern), bucket).alias("buckets"), *grouped)
-
+    words = texts.select(key, *grouped, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
+    return words.groupBy(*[c for c in words.columns if c != "term"], "term").agg(F.count("*").alias("tf"))
 
-def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """idf = ln((n + 1) / (df + 1)) per bucket, also for unseen buckets.
 
-    At most BUCKETS rows come back, whatever the size of the table.
-    """
-    n = rows.count()
-    seen = (
-        rows.select(F.explode(F.array_distinct("buckets")).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("df"))
-        .toArrow()
-    )
-    df = np.zeros(BUCKETS)
-    df[seen["bucket"].to_numpy()] = seen["df"].to_numpy()
-    return np.log((n + 1.0) / (df + 1.0))
+def idf(seen: Column, size: int) -> Column:
+    """ln((n + 1) / (df + 1))."""
+    return F.log((F.lit(size) + 1.0) / (seen + 1.0))
 
 
 def build_index(
     chunks: DataFrame, key: str = "chunk_id", text: str = "text", group: str | None = None, pattern: str = WORDS
 ) -> Index:
-    """Index of all chunks, written once; ``group`` is what searches filter by."""
-    rows = written(terms(chunks, key, text, group, pattern), "index")
-    return Index(rows, inverse_frequencies(rows))
-
-
-def _entries(table: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and unit-length weight of every distinct term of a block."""
-    buckets = table["buckets"].combine_chunks()
-    rows = np.repeat(np.arange(len(buckets), dtype=np.int64), np.diff(buckets.offsets.to_numpy()))
-    pair, count = np.unique(rows * BUCKETS + buckets.flatten().to_numpy(), return_counts=True)
-    row, term = pair // BUCKETS, pair % BUCKETS
-    weight = count * idf[term]
-    norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(buckets)))
-    return row, term, np.divide(weight, norm[row], out=np.zeros_like(weight), where=norm[row] > 0)
-
-
-def _scorer(idf: np.ndarray):
-    """Cosine of sparse vectors: every term of an item that some query uses adds
-    its share to all queries at once."""
-
-    def prepare(queries: pa.Table):
-        row, term, weight = _entries(queries, idf)
-        used = np.unique(term)
-        slot = np.full(BUCKETS, -1, dtype=np.int64)
-        slot[used] = np.arange(len(used))
-        shares = np.zeros((max(len(used), 1), queries.num_rows))
-        shares[slot[term], row] = weight
-        wanted = queries["group"].to_pylist() if "group" in queries.column_names else None
-
-        def score(items: pa.Table) -> np.ndarray:
-            row, term, weight = _entries(items, idf)
-            kept = slot[term] >= 0
-            row, share = row[kept], shares[slot[term[kept]]] * weight[kept, None]
-            out = np.zeros((items.num_rows, queries.num_rows))
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                out[row[first]] = np.add.reduceat(share, first, axis=0)
-            if wanted is not None and "group" in items.column_names:
-                have = np.array(items["group"].to_pylist(), dtype=object)
-                for at, group in enumerate(wanted):
-                    if group is not None:
-                        out[have != group, at] = -np.inf
-            return out
-
-        return score
-
-    return prepare
+    """Index of all chunks, written once; ``group`` is what searches filter by.
+
+    Terms, their frequencies and the postings stay tables; nothing about the
+    vocabulary is held in one place. A term that most chunks have is one skewed key
+    of a join, which adaptive execution splits.
+    """
+    counts = written(term_counts(chunks, key, text, group, pattern), "counts")
+    grouped = [F.col(group).alias("group")] if group is not None else []
+    every = written(chunks.select(key, *grouped).distinct(), "items")
+    size = every.count()
+    terms = written(counts.groupBy("term").agg(idf(F.count("*"), size).alias("idf")), "terms")
+    postings = written(counts.join(terms, "term").withColumn("weight", F.col("tf") * F.col("idf")).drop("tf", "idf"), "postings")
+    norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    items = written(every.join(norms, key, "left").withColumn("norm", F.coalesce("norm", F.lit(0.0))), "norms")
+    return Index(postings, terms, items, size)
+
+
+def query_weights(queries: DataFrame, index: Index, query_id: str, text: str, pattern: str) -> DataFrame:
+    """``(query_id, term, share)`` with unit length per query; words no chunk has count for the length."""
+    asked = term_counts(queries, query_id, text, None, pattern)
+    weighed = asked.join(index.terms, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0), index.size)))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(query_id)))
+    return weighed.withColumn("share", F.col("w") / length).filter("share > 0").select(query_id, "term", "share")
+
+
+def first_items(index: Index, n: int, key: str, grouped: bool) -> DataFrame:
+    """``(cell, key)``: the ``n`` lowest keys of each group and of all, for queries that match too little."""
+    lowest = index.items.select(key).orderBy(key).limit(n).select(F.lit(EVERY).alias("cell"), key)
+    if not grouped:
+        return lowest
+    order = F.row_number().over(Window.partitionBy("group").orderBy(key))
+    return lowest.unionByName(
+        index.items.filter("group is not null").withColumn("_n", order).filter(F.col("_n") <= n).select(F.col("group").alias("cell"), key)
+    )
 
 
 def search(
@@ -123,35 +85,36 @@ def search(
     chunk: str = "chunk_id",
     group: str | None = None,
     pattern: str = WORDS,
-    few: int = topk.FEW_QUERIES,
 ) -> DataFrame:
     """``(query_id, item_id, score, rank)``: the n best chunks of each query.
 
-    With ``group`` a query sees only chunks of its group; a null group sees
-    all. The filter applies before anything is ranked.
+    Query terms meet the postings, shares are summed per query and chunk, and
+    a window keeps n of them, pruned before its shuffle. With ``group`` a
+    query sees only chunks of its group; a null group sees all. Queries that
+    match fewer than n chunks get those of the lowest ids with score 0.
     """
-    asked = durable(terms(queries, query_id, text, group, pattern))
-    scorer = _scorer(index.idf)
-    if fits(asked, few):
-        return topk.rank(topk.scan(asked, index.terms, n, scorer, query_id, chunk, CHUNK_WORDS), n)
-    stored = index.terms
-    if group is None:
-        asked, stored = asked.withColumn("cell", F.lit(EVERY)), stored.withColumn("cell", F.lit(EVERY))
-    else:
-        # Items meet the queries of their group and those that ask everything.
-        asks_all = not asked.filter("group is null").isEmpty()
-        cells = F.array("group", F.lit(EVERY)) if asks_all else F.array("group")
-        asked = asked.withColumn("cell", F.coalesce("group", F.lit(EVERY)))
-        stored = stored.withColumn("cell", F.explode(cells)).filter("cell is not null")
-
-    def counts(df: DataFrame) -> DataFrame:
-        return df.groupBy("cell").agg(F.count("*").alias("n"))
-
-    pieces = durable(topk.piece_plan(counts(asked), counts(stored), "cell"))
-    return topk.rank(topk.grid(asked, stored, n, scorer, query_id, chunk, "cell", pieces, CHUNK_WORDS), n)
+    terms = query_weights(queries, index, query_id, text, pattern)
+    if group is not None:
+        terms = terms.join(queries.select(query_id, F.col(group).alias("_wanted")), query_id)
+    met = index.postings.join(small_side(terms), "term")
+    if group is not None:
+        met = met.filter(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("group")))
+    dots = met.groupBy(query_id, chunk).agg(F.sum(F.col("share") * F.col("weight")).alias("dot"))
+    scored = dots.join(index.items.select(chunk, "norm"), chunk).select(
+        F.col(query_id).alias("query_id"), F.col(chunk).alias("item_id"),
+        F.round(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0), topk.SCORE_DIGITS).alias("score"),
+    )
+    cell = F.coalesce(F.col(group), F.lit(EVERY)) if group is not None else F.lit(EVERY)
+    fill = queries.select(F.col(query_id).alias("query_id"), cell.alias("cell")).join(
+        first_items(index, 2 * n, chunk, group is not None), "cell"
+    ).select("query_id", F.col(chunk).alias("item_id"), F.lit(0.0).alias("score"))
+    # of 2n lowest ids at least n are no hits where hits are fewer than n
+    best = topk.rank(scored, n).select("query_id", "item_id", "score")
+    every = best.unionByName(fill).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    return topk.rank(every, n)
 
 
 def with_chunk_text(found: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Search hits with text and metadata; the score has three decimals."""
-    hits = durable(found).withColumnRenamed("item_id", key).withColumn("score", F.round("score", 3))
-    return chunks.join(small_side(hits), key)
+    hits = written(found, "hits").withColumnRenamed("item_id", key).withColumn("score", F.round("score", 3))
+    return chunks.join(hits, key)

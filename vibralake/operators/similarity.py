@@ -57,9 +57,11 @@ def nearest(
     """``(query_id, item_id, score, rank)``: the k nearest rows of each event.
 
     The scale is fitted on the history unless given. An event that is in the
-    history finds itself. With ``strict`` a history of fewer than k rows is an
+    history finds itself. Rows without a vector, or with nulls in it, take no part. With ``strict`` a history of fewer than k rows is an
     error, as it is for a single event.
     """
+    usable = F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull())
+    events, history = events.filter(usable), history.filter(usable)
     queries = events.select(F.col(key), F.col(features).cast("array<double>").alias(features))
     items = history.select(F.col(key), F.col(features).cast("array<double>").alias(features))
     if strict and items.limit(k).count() < k:

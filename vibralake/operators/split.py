@@ -16,6 +16,15 @@ def row_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def place_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """Order of rows in a split: by key hash, then by a hash of the whole row.
+
+    Rows that repeat a key, or have none, are so told apart unless they are equal in all columns.
+    """
+    whole = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in sorted(df.columns)])), 16, "0")
+    return F.concat(row_hash(key, seed), whole)
+
+
 def test_sizes(counts: DataFrame, label: str, fraction: float) -> DataFrame:
     """Test rows per class from ``(label, n)``.
 
@@ -58,7 +67,7 @@ def stratified_split(
     in 16^4 of the class, are ranked to find the last hash that is taken. The
     final pass compares hashes and moves no rows.
     """
-    hashed = df.withColumn("_hash", row_hash(key, seed))
+    hashed = df.withColumn("_hash", place_hash(df, key, seed))
     keyed = hashed.select(label, "_hash", F.substring("_hash", 1, BUCKET_DIGITS).alias("_bucket"))
     buckets = durable(keyed.groupBy(label, "_bucket").agg(F.count("*").alias("n")))
     sizes = test_sizes(buckets.groupBy(label).agg(F.sum("n").alias("n")), label, fraction)
@@ -73,14 +82,23 @@ def stratified_split(
     edge = durable(edge)
     ranked = (
         keyed.join(small_side(edge), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_edge")))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy("_hash")))
-        .filter("_rank = _take")
-        .select("_label", F.col("_hash").alias("_last"))
+        .groupBy("_label", "_take", "_hash")
+        .agg(F.count("*").alias("_same"))
+        .withColumn("_upto", F.sum("_same").over(Window.partitionBy("_label").orderBy("_hash")))
+        .filter("_upto - _same < _take and _take <= _upto")
+        .select("_label", F.col("_hash").alias("_last"), F.expr("_take - (_upto - _same)").alias("_of"), "_same")
     )
     last = durable(ranked)
     joined = hashed.join(small_side(last), F.col(label).eqNullSafe(F.col("_label")), "left")
-    taken = F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False))
-    return joined.withColumn("is_test", taken).drop("_hash", "_label", "_last")
+    columns = [*df.columns, "is_test"]
+    sure = joined.withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
+    if last.filter("_of < _same").isEmpty():
+        return sure.select(columns)
+    # of rows equal in all columns only so many are taken as the quota asks for
+    open_ = F.coalesce((F.col("_hash") == F.col("_last")) & (F.col("_of") < F.col("_same")), F.lit(False))
+    number = F.row_number().over(Window.partitionBy("_label", "_hash").orderBy("_hash"))
+    some = joined.filter(open_).withColumn("is_test", number <= F.col("_of"))
+    return sure.filter(~open_).select(columns).unionByName(some.select(columns))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vibralake.session import small_side
 
@@ -90,8 +91,8 @@ def _frame(best: Best, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBat
 
 def _result_types(queries: DataFrame, items: DataFrame, query_id: str, item_id: str) -> tuple[str, pa.Schema]:
     q, i = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([("query_id", arrow[q]), ("item_id", arrow[i]), ("score", pa.float64())])
+    types = [to_arrow_type(df.schema[name].dataType) for df, name in ((queries, query_id), (items, item_id))]
+    schema = pa.schema([("query_id", types[0]), ("item_id", types[1]), ("score", pa.float64())])
     return RESULT.format(q=q, i=i), schema
 
 

@@ -96,8 +96,9 @@ def thousands(expr: str) -> str:
 
 K = "CAST(json_extract_string(props, '$.k') AS INT)"
 TOKEN = r"[^\p{L}]+"
-HASH_BUCKET = "CAST('0x' || substr(md5(tok), 1, 4) AS INT)"
-PARTS = ", ".join(f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(len(t.CLASSES)))
+PARTS = ", ".join(
+    " + ".join(f"COALESCE(abs(CAST(embedding[{i + 1}] AS DOUBLE)), 0e0)" for i in t.folded_places(c)) for c in range(len(t.CLASSES))
+)
 MANUAL_ROWS = ", ".join(f"({text(c)}, {text(d)}, {text(n)})" for c, d, n, _ in t.MANUAL_SOURCES)
 MAP_ROWS = ", ".join(f"({text(c)}, {text(d)}, {text(n)}, {str(h).lower()})" for c, d, n, h in domain.DOCUMENT_MAP)
 REQUIRED = domain.REQUIRED_FIELDS
@@ -120,7 +121,7 @@ def search_ctes(prefix: str, items: str, queries: str, n: int, grouped: bool) ->
     return {
         f"{p}_post": (
             (items,),
-            f"SELECT iid, {HASH_BUCKET} AS b, count(*) AS tf FROM (SELECT iid, unnest(list_filter(string_split_regex(lower(txt), {text(TOKEN)}), lambda x: x <> '')) AS tok FROM {items}) GROUP BY ALL",
+            f"SELECT iid, tok AS b, count(*) AS tf FROM (SELECT iid, unnest(list_filter(string_split_regex(lower(txt), {text(TOKEN)}), lambda x: x <> '')) AS tok FROM {items}) GROUP BY ALL",
         ),
         f"{p}_n": ((items,), f"SELECT count(*) AS n FROM {items}"),
         f"{p}_idf": ((f"{p}_post", f"{p}_n"), f"SELECT b, ln((n + 1e0) / (count(*) + 1e0)) AS idf FROM {p}_post, {p}_n GROUP BY b, n"),
@@ -128,7 +129,7 @@ def search_ctes(prefix: str, items: str, queries: str, n: int, grouped: bool) ->
         f"{p}_norm": ((f"{p}_w",), f"SELECT iid, sqrt(sum(w * w)) AS norm FROM {p}_w GROUP BY iid"),
         f"{p}_qw": (
             (queries, f"{p}_idf", f"{p}_n"),
-            f"SELECT qid, b, tf * COALESCE(idf, ln(n + 1e0)) AS w FROM (SELECT qid, {HASH_BUCKET} AS b, count(*) AS tf FROM (SELECT qid, unnest(list_filter(string_split_regex(lower(qtext), {text(TOKEN)}), lambda x: x <> '')) AS tok FROM {queries}) GROUP BY ALL) CROSS JOIN {p}_n LEFT JOIN {p}_idf USING (b)",
+            f"SELECT qid, b, tf * COALESCE(idf, ln(n + 1e0)) AS w FROM (SELECT qid, tok AS b, count(*) AS tf FROM (SELECT qid, unnest(list_filter(string_split_regex(lower(qtext), {text(TOKEN)}), lambda x: x <> '')) AS tok FROM {queries}) GROUP BY ALL) CROSS JOIN {p}_n LEFT JOIN {p}_idf USING (b)",
         ),
         f"{p}_qnorm": ((f"{p}_qw",), f"SELECT qid, sqrt(sum(w * w)) AS norm FROM {p}_qw GROUP BY qid"),
         f"{p}_dot": ((f"{p}_w", f"{p}_qw"), f"SELECT q.qid, i.iid, sum(q.w * i.w) AS dot FROM {p}_qw q JOIN {p}_w i USING (b) GROUP BY ALL"),
@@ -510,7 +511,7 @@ def statements() -> dict[str, str]:
         "document_registry": build("SELECT * FROM registry", "registry"),
         "chunk_upsert": build("SELECT chunk_id, CASE WHEN chunk_index % 2 = 0 THEN lower(text) ELSE text END AS text FROM index", "index"),
         "document_ingest": build(
-            "SELECT 'success' AS status, a.doc_name AS filename, 'outro_defeito' AS fault_category, COALESCE(c.chunks, 0) AS chunks_indexed FROM assembled a LEFT JOIN u_counts c USING (doc_name)", "assembled", "u_counts"
+            "SELECT 'success' AS status, a.doc_name AS filename, 'outro_defeito' AS fault_category, COALESCE(c.chunks, 0) AS chunks_indexed FROM (SELECT DISTINCT doc_name FROM pages_in) a LEFT JOIN u_counts c USING (doc_name)", "pages_in", "u_counts"
         ),
         "stream_prescriptions": build(
             f"SELECT event_id, fault_category, has_document, CAST(length(prescription) AS INT) AS text_length FROM ({_prescription('streamsummaries')})", "streamsummaries"

@@ -128,9 +128,27 @@ def text_numbers(events: DataFrame) -> DataFrame:
     return based.select("event_id", F.expr(TEXT_NUMBER.format(text="string")).alias("raw"))
 
 
+WIDTH = 64
+
+
+def folded_places(place: int) -> list[int]:
+    """Components that count for one class: every fourteenth."""
+    return list(range(place, WIDTH, len(CLASSES)))
+
+
 def probabilities(embedding: Column) -> Column:
-    """Share of each of the first 14 components by absolute size."""
-    part = F.transform(F.slice(embedding, 1, len(CLASSES)), lambda x: F.abs(x.cast("double")))
+    """Shares of the classes: component i adds its absolute size to class i modulo 14."""
+
+    def size(place: int) -> Column:
+        return F.coalesce(F.abs(F.get(embedding, F.lit(place)).cast("double")), F.lit(0.0))
+
+    sums = []
+    for place in range(len(CLASSES)):
+        first, *others = [size(p) for p in folded_places(place)]
+        for other in others:
+            first = first + other
+        sums.append(first)
+    part = F.array(*sums)
     total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
     return F.transform(part, lambda x: x / total)
 

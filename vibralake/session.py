@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A table may be broadcast only after a count has shown it at or below this.
 BROADCAST_ROWS = 20_000
+# Tables up to this size may be dealt out anew for costly work on each row.
+SPREAD_BYTES = 256 << 20
 
 
 # Settings that can change on a running session. Wide projections compile to
@@ -113,11 +115,12 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan in at least as many partitions as there are cores.
+    """A small scan in at least as many partitions as there are cores.
 
-    For costly work per row on a table that sits in few file splits. Large
-    tables come in many splits and are returned as they are. Only for plain
+    For costly work per row on a table that sits in few file splits. Tables above
+    ``SPREAD_BYTES`` are never shuffled for it. Only for plain
     scans: anything with a shuffle would run to find its partitions.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return scan.repartition(cores) if size <= SPREAD_BYTES and scan.rdd.getNumPartitions() < cores else scan

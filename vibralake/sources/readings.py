@@ -11,12 +11,22 @@ from vibralake.functions import labels, numeric
 from vibralake.operators import features
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Header CSV as text columns with a fixed schema; missing labels are null.
 
-    Columns are matched by header name, as files order them differently.
+    Paths given as a list may order their columns differently: each is read under its
+    own header and they are put together by name. Files of one path must share a header; a
+    file with another one is an error when it is read, never a swap of columns.
     """
-    header = spark.read.option("header", True).csv(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    parts: dict[tuple[str, ...], list[str]] = {}
+    for one in paths:
+        parts.setdefault(tuple(spark.read.option("header", True).csv(one).columns), []).append(one)
+    header = None
+    for names, same in parts.items():
+        schema = ", ".join(f"`{n}` string" for n in names)
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(same)
+        header = part if header is None else header.unionByName(part, allowMissingColumns=True)
     label = F.col("fault")
     have = [f.name for f in schemas.RAW_READINGS.fields if f.name in header.columns]
     return header.select(*have).withColumns(

@@ -1,36 +1,40 @@
 import pytest
 
+from vibralake import domain
 from vibralake.functions import labels
+from vibralake.plans import tables
 
 EXPECTED = {
-    "normal": "normal",
-    "motor_desligado": "normal",
-    "new_teste": "normal",
-    "normal_2": "normal",
-    "desalinhado_2": "desalinhamento",
-    "desbalanceado_1parafuso": "desbalanceamento",
-    "cocked_rotor_2": "cocked_rotor",
-    "cocked_rotor": "cocked_rotor",
-    "rolamento_outer_2": "rolamento_pista_externa",
-    "rolamento_inner_carga": "rolamento_pista_interna",
-    "rolamento_ball_4": "rolamento_elementos_rolantes",
-    "correia_2": "correia",
-    "polia": "polia",
-    "eccentric_rotor_3": "eccentric_rotor",
-    "normla_carga_3_3": "normal",
-    "new_tes": "normal",
-    "new_tes_x": "outro_defeito",
-    "mortor_desligado_novo": "normal",
-    "new_falta_fase_1": "falta_de_fase",
-    "rolamento_combination": "rolamento_combinado",
-    "cocked_rotor_normal": "normal",
-    " POLIA\t": "polia",
-    " polia ": "polia",
+    "  Polia GASTA": "polia",
+    "7_correia_z": "correia",
+    "x_cocked_adxl_9": "cocked_rotor",
+    "eixo desalinhado": "desalinhamento",
+    "Teste de bancada": "normal",
+    "vazio?": "outro_defeito",
+    "\tBASELINE": "normal",
     "": "outro_defeito",
     None: "desconhecido",
 }
 
 
+def test_every_rule_and_state(spark):
+    """An independent statement of the order: states whole, then the first fragment that occurs."""
+
+    def category(label):
+        if label is None:
+            return domain.UNKNOWN
+        clean = label.strip().lower()
+        if clean in domain.OPERATIONAL_STATES:
+            return domain.NORMAL
+        return next((c for fragment, c in domain.CATEGORY_RULES if fragment in clean), domain.OTHER_FAULT)
+
+    rows = spark.createDataFrame([(x,) for x in tables.RAW_LABELS], "fault string")
+    for row in labels.with_category(rows).collect():
+        assert row["fault_category"] == category(row["fault"]), row["fault"]
+
+
+
+
 @pytest.fixture(scope="module")
 def mapped(spark):
     rows = spark.createDataFrame([(k,) for k in EXPECTED], "fault string")
@@ -45,8 +49,8 @@ def test_category(mapped, label):
 def test_problem_flag(mapped):
     assert mapped[""]["is_problem"] is True
     assert mapped[None]["is_problem"] is False
-    assert mapped["normal_2"]["is_problem"] is False
-    assert mapped["cocked_rotor"]["is_problem"] is True
+    assert mapped["Teste de bancada"]["is_problem"] is False
+    assert mapped["x_cocked_adxl_9"]["is_problem"] is True
 
 
 def test_label_counts(spark):

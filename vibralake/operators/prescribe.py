@@ -194,13 +194,18 @@ def prescribe(events: DataFrame, registry: DataFrame, mapping: DataFrame, texts:
         text.alias("prescription"),
         F.when(documented, F.array("document_name")).otherwise(F.array().cast("array<string>")).alias("referenced_docs"),
         F.when(documented, F.size("excerpts")).alias("chunks_used"),
-        *([c("similar_count")] if "similar_count" in have else []),
+        *[c(name) for name in ("similar_count", "raw_event_json") if name in have],
         *extra,
     )
 
 
 def log_rows(prescriptions: DataFrame, raw_json: Column | None = None) -> DataFrame:
-    """Rows of the prescription history; every run adds its own."""
+    """Rows of the prescription history; every run adds its own.
+
+    The event as it came is ``raw_json``, or the column ``raw_event_json`` where the rows carry it.
+    """
+    if raw_json is None and "raw_event_json" in prescriptions.columns:
+        raw_json = F.col("raw_event_json")
     similar = c if (c := "similar_count") in prescriptions.columns else None
     return prescriptions.select(
         "event_id",

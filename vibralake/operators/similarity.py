@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,8 @@ from vibralake.functions import numeric
 from vibralake.operators import dashboard, scaling, topk
 from vibralake.session import durable, fits, small_side
 
-# Number of reference rows that divide a large history into cells.
-PIVOTS = 256
+# Reference rows that divide a large history into cells: as many as the root of its rows, within these.
+PIVOTS, MOST_PIVOTS = 256, 4096
 # Cells that hold rows a distance cannot place.
 ZERO_ITEMS, ZERO_QUERIES = -1, -2
 # Allowance for rounding, in score and in angle.
@@ -75,6 +77,37 @@ def nearest(
     return topk.rank(found, k)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as a column of arrays, without a Python object per number."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def by_vector(queries: DataFrame, items: DataFrame, k: int, group: str, vector: str = "vector", query_id: str = "query_id", item_id: str = "item_id") -> DataFrame:
+    """``(query_id, item_id, score, rank)``: best ``k`` items of the query's group by the cosine of supplied vectors.
+
+    Groups are the cells of a grid, a large one in several pieces, so a query
+    meets items of its group only. Rows without a group or a whole vector take no part.
+    """
+    usable = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & F.col(group).isNotNull()
+
+    def plain(df: DataFrame, key: str) -> DataFrame:
+        return df.filter(usable).select(key, F.col(vector).cast("array<double>").alias(vector), F.col(group).alias("cell"))
+
+    asked, stored = plain(queries, query_id), plain(items, item_id)
+    counts = [df.groupBy("cell").agg(F.count("*").alias("n")) for df in (asked, stored)]
+    pieces = durable(topk.piece_plan(*counts, "cell"))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        return unit_rows(rows, scaling.Scale([0.0] * rows.shape[1], [1.0] * rows.shape[1]))
+
+    def prepare(held: pa.Table):
+        turned = unit(topk.matrix(held[vector])).T
+        return lambda found: unit(topk.matrix(found[vector])) @ turned
+
+    return topk.rank(topk.grid(asked, stored, k, prepare, query_id, item_id, "cell", pieces), k)
+
+
 def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
@@ -90,7 +123,8 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     spark = queries.sparkSession
     id_type = items.schema[key].dataType.simpleString()
     q_type = queries.schema[key].dataType.simpleString()
-    chosen = items.orderBy(F.xxhash64(key), key).limit(PIVOTS).select(features).toArrow()
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(items.count())))
+    chosen = items.orderBy(F.xxhash64(key), key).limit(wanted).select(features).toArrow()
     pivots = unit_rows(topk.matrix(chosen[features]), scale)
     pivots = pivots[np.linalg.norm(pivots, axis=1) > 0]
 
@@ -106,7 +140,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
             zero = np.linalg.norm(rows, axis=1) == 0
             cell[zero] = ZERO_ITEMS
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(list(rows), pa.list_(pa.float64())), pa.array(cell), pa.array(reach)],
+                [batch.column(key), _lists(rows), pa.array(cell), pa.array(reach)],
                 names=[key, features, "cell", "reach"],
             )
 
@@ -131,19 +165,21 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
                 enough = np.cumsum(sizes[near], axis=1) - sizes[near] < k
                 home = np.zeros_like(enough)
                 np.put_along_axis(home, near, enough, axis=1)
-            lists = []
-            bound = None if first else batch.column("bound").to_numpy(zero_copy_only=False)
-            for at in range(len(rows)):
-                if zero[at]:
-                    lists.append([ZERO_QUERIES] if first else [])
-                elif not len(numbers):
-                    lists.append([ZERO_ITEMS] if first else [])
-                elif first:
-                    lists.append([*numbers[home[at]].tolist(), ZERO_ITEMS])
-                else:
-                    reachable = angle[at] - radii <= bound[at] + SLACK
-                    lists.append(numbers[reachable & ~home[at]].tolist())
-            columns = [batch.column(key), pa.array(list(rows), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int32()))]
+            cells = np.append(numbers, [ZERO_ITEMS, ZERO_QUERIES]).astype(np.int32)
+            mask = np.zeros((len(rows), len(cells)), bool)
+            if first:
+                mask[:, -2] = True
+                if len(numbers):
+                    mask[:, :-2] = home
+                mask[zero] = False
+                mask[zero, -1] = True
+            elif len(numbers):
+                bound = batch.column("bound").to_numpy(zero_copy_only=False)
+                mask[:, :-2] = (angle - radii <= bound[:, None] + SLACK) & ~home
+                mask[zero] = False
+            offsets = np.append(0, np.cumsum(mask.sum(axis=1))).astype(np.int32)
+            visited = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.nonzero(mask)[1]]))
+            columns = [batch.column(key), _lists(rows), visited]
             yield pa.RecordBatch.from_arrays(columns, names=[key, features, "cells"])
 
     visit_ddl = f"{key} {q_type}, {features} array<double>, cells array<int>"

@@ -193,6 +193,23 @@ def similarity_topk(spark, d):
     return _neighbours(spark, d)
 
 
+@query
+def similarity_topk_cells(spark, d):
+    """The same neighbours by the plan for many queries, whatever their number."""
+    vectors = t.spread_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return similarity.nearest(vectors, vectors, few=0)
+
+
+@query
+def vector_search_by_label(spark, d):
+    """Every vector against the vectors of its label."""
+    rows = t.table(spark, d, "embeddings")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    stored = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+    found = similarity.by_vector(asked, stored, domain.CONTEXT_CHUNKS, "label")
+    return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def similarity_context(spark, d):
     return similarity.operational_context(similarity.with_rows(_neighbours(spark, d), _history(spark, d)))
@@ -505,18 +522,9 @@ def _event_stream(spark, d) -> DataFrame:
 @query
 def stream_daily_counts(spark, d):
     """Daily problem counts kept by a stream that has read all events."""
-    counts = jobs.daily_fault_counts(t.readings(_event_stream(spark, d)))
     path = scratch_dir(spark, "daily")
-
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    running = (
-        counts.writeStream.outputMode("complete").foreachBatch(replace)
-        .option("checkpointLocation", scratch_dir(spark, "daily-state")).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.read.parquet(path).withColumn("date", _day("date"))
+    jobs.write_daily_counts(t.readings(_event_stream(spark, d)), path, scratch_dir(spark, "daily-state")).awaitTermination()
+    return jobs.read_daily_counts(spark, path).withColumn("date", _day("date"))
 
 
 @query
@@ -537,10 +545,15 @@ def stream_prescriptions(spark, d):
 
     def answer(batch: DataFrame) -> DataFrame:
         sensors = [F.round(c, 3).alias(c) for c in SHOWN_SENSORS]
+        raw = t.payloads(batch).select(F.col("event_id").alias("id"), F.col("payload").alias("raw_event_json"))
         scored = t.readings(batch, SHOWN_SENSORS).select("id", "fault_category", F.lit(90.0).alias("confidence"), *sensors)
+        scored = scored.join(raw, "id")
         return prescribe.prescribe(scored, registry, mapping, texts)
 
     path = scratch_dir(spark, "prescriptions")
     jobs.write_prescriptions(events, answer, path, scratch_dir(spark, "prescribe-state")).awaitTermination()
     log = table_source.read_or_empty(spark, path, "event_id long")
-    return log.select("event_id", "fault_category", "has_document", F.length("prescription_text").alias("text_length"))
+    return log.select(
+        "event_id", "fault_category", "has_document", F.length("prescription_text").alias("text_length"),
+        F.length("raw_event_json").alias("raw_length"),
+    )

@@ -471,6 +471,8 @@ def statements() -> dict[str, str]:
             f"SELECT * FROM (WITH checked AS (SELECT *, {_errors()} AS errors FROM parsed) {_json_fields('api')} UNION ALL {_json_fields('zero')})", "parsed"
         ),
         "similarity_topk": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
+        "similarity_topk_cells": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
+        "vector_search_by_label": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS INT) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY rank <= {domain.CONTEXT_CHUNKS}",
         "similarity_context": build("SELECT * FROM context", "context"),
         "similarity_matches": build(
             f"SELECT query_id, CAST(rank AS INT) AS rank, item_id AS id, similarity_score, fault AS original_label, round(rpm, 4) AS rpm FROM neighbours WHERE rank <= {domain.SHOWN_MATCHES}", "neighbours"
@@ -514,7 +516,7 @@ def statements() -> dict[str, str]:
             "SELECT 'success' AS status, a.doc_name AS filename, 'outro_defeito' AS fault_category, COALESCE(c.chunks, 0) AS chunks_indexed FROM (SELECT DISTINCT doc_name FROM pages_in) a LEFT JOIN u_counts c USING (doc_name)", "pages_in", "u_counts"
         ),
         "stream_prescriptions": build(
-            f"SELECT event_id, fault_category, has_document, CAST(length(prescription) AS INT) AS text_length FROM ({_prescription('streamsummaries')})", "streamsummaries"
+            f"SELECT event_id, fault_category, has_document, CAST(length(prescription) AS INT) AS text_length, CAST(length(payload) AS INT) AS raw_length FROM ({_prescription('streamsummaries')}) JOIN payloads USING (event_id)", "streamsummaries", "payloads"
         ),
         "latest_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "chunk_search": build(HITS.format(p="s"), "s_top"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibralake import domain
-from vibralake.operators import classifier, documents, features, prescribe, scaling, search, similarity
+from vibralake.operators import classifier, documents, event_json, features, prescribe, scaling, search, similarity
 from vibralake.session import durable
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables
@@ -88,7 +88,9 @@ def answer(events: DataFrame, known: Knowledge, k: int = domain.SIMILAR_TOP_K, *
     repeated, so rows are told apart by a number of their own.
     """
     kept = [c for c in events.columns if c not in ("fault", "fault_category", "is_problem")]
-    numbered = durable(events.select(*kept).withColumn("_event", F.monotonically_increasing_id()))
+    numbered = durable(
+        events.select(*kept, event_json.to_json(*kept).alias("raw_event_json")).withColumn("_event", F.monotonically_increasing_id())
+    )
     scored = classifier.score(known.model, numbered).withColumnRenamed("predicted_category", "fault_category")
     asked = numbered.select(F.col("_event").alias("id"), features.feature_array().alias("features"))
     found = similarity.similar_events(asked, known.history, k, scale=known.scale, **options).withColumnRenamed("query_id", "_event")

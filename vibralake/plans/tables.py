@@ -19,15 +19,18 @@ from vibralake.operators import event_json
 from vibralake.operators.upsert import latest_per_key
 from vibralake.session import spread
 
-# Raw labels that stand behind the numeric property of an event.
+
+
+def raw_label(number: int, text: str) -> str:
+    """A known label or fragment the way people type it: as it is, padded, in capitals, with more around it."""
+    return (text, f" {text}\t", text.upper(), f"{text}_b{number}", f"sala {number} {text} x")[number % 5]
+
+
+# Raw labels that stand behind the numeric property of an event: every rule and every state once, and some without a rule.
 RAW_LABELS = (
-    "normal", "motor_desligado", "new_teste", "normal_2", "desalinhado_2", "desbalanceado_1parafuso",
-    "cocked_rotor_2", "cocked_rotor", "rolamento_outer_2", "rolamento_inner_carga", "rolamento_ball_4",
-    "correia_2", "polia", "eccentric_rotor_3", "normla_carga_3_3", "new_tes", "new_tes_x",
-    "mortor_desligado_novo", "new_falta_fase_1", "rolamento_combination", "cocked_rotor_normal", " POLIA\t", "",
-    None, "New_Rolamento_Comb_1", "desabalanceado", "desbanlanceado_3", "new_desabanceado", "cocked_adxl_0",
-    "new_cocked_2", "eccentric_adxl", "new_eccentric", "ventoinha_2", "Baseline ", "acelerando", "unknown_noise",
-    "new_desalinhado_1", "dedesbalanceado", "correia_teste", "falta_fase",
+    *(raw_label(i, fragment) for i, (fragment, _) in enumerate(reversed(domain.CATEGORY_RULES))),
+    *(raw_label(2 * i, state) for i, state in enumerate(reversed(domain.OPERATIONAL_STATES))),
+    "", None, "sem leitura", "ruído 7", "NEW_TES_Q",
 )
 
 # Classes of the probability vector, alphabetical.

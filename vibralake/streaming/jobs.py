@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from vibralake.operators import event_json, features, prescribe
 from vibralake.session import spread
 
+# What is there is read and the job ends; ``{"processingTime": "10 seconds"}`` keeps it running.
+ALL_THERE_IS = {"availableNow": True}
+
 
 def payload_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     """One JSON event per text line."""
@@ -26,7 +29,9 @@ def typed_events(validated_stream: DataFrame, defaults: str = "api") -> DataFram
     return features.add_features(event_json.sensor_columns(event_json.accepted(validated_stream), defaults))
 
 
-def write_validated(stream: DataFrame, path: str, checkpoint: str, payload: str = "payload") -> StreamingQuery:
+def write_validated(
+    stream: DataFrame, path: str, checkpoint: str, payload: str = "payload", trigger: Mapping = ALL_THERE_IS
+) -> StreamingQuery:
     """Route events to ``status=accepted`` and ``status=refused`` under ``path``.
 
     One pass validates and writes both. Each batch has a folder of its own
@@ -43,7 +48,7 @@ def write_validated(stream: DataFrame, path: str, checkpoint: str, payload: str
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -59,12 +64,41 @@ def daily_fault_counts(readings: DataFrame, time: str = "created_at", late: str
     )
 
 
+def write_daily_counts(
+    readings: DataFrame, path: str, checkpoint: str, time: str = "created_at", late: str = "1 day", trigger: Mapping = ALL_THERE_IS
+) -> StreamingQuery:
+    """Keep daily counts up to date: each batch writes the days that changed, in a folder of its number.
+
+    The state forgets a day once the watermark has passed it; readings that come
+    later than ``late`` are dropped.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        daily_fault_counts(readings, time, late)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest count of each day and category."""
+    written = spark.read.parquet(path)
+    return written.groupBy("date", "fault_category").agg(F.max_by("occurrences", "batch").alias("occurrences"))
+
+
 def write_prescriptions(
     events: DataFrame,
     answer: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
     repeat_window: str | None = None,
+    trigger: Mapping = ALL_THERE_IS,
 ) -> StreamingQuery:
     """Prescribe every micro-batch and append to the log.
 
@@ -83,6 +117,6 @@ def write_prescriptions(
     return (
         events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

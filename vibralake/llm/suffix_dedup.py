@@ -236,12 +236,19 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     def names(piece: Slice) -> pa.RecordBatch:
         row, at, _, _, sums = anchor_runs(piece, length, span, gram)
         name = BYTES.of(sums, at, at + known_bytes)
-        return rows_of(name=signed(name), doc_id=piece.rows.column("doc_id").take(pa.array(row)))
-
-    named = written(plain.mapInArrow(mapped(names, "text"), "name long, doc_id long"), "names")
-    shared = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+        order = np.lexsort((name, row))
+        row, name = row[order], name[order]
+        fresh = np.ones(len(name), bool)
+        fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(fresh)
+        again = np.diff(np.append(first, len(name))) > 1
+        return rows_of(name=signed(name[first]), doc_id=piece.rows.column("doc_id").take(pa.array(row[first])), again=pa.array(again))
+
+    named = written(plain.mapInArrow(mapped(names, "text"), "name long, doc_id long, again boolean"), "names")
+    often = named.groupBy("name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
+    shared = often.filter("n > 1 or again").select("name")
     leaders = first.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    listed = named.join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared")).join(leaders, "doc_id", "left_semi")
+    listed = named.select("name", "doc_id").join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared")).join(leaders, "doc_id", "left_semi")
     some = written(plain.join(listed, "doc_id").dropDuplicates(["doc_id"]), "candidates")
 
     def contexts(piece: Slice) -> pa.RecordBatch:
@@ -286,7 +293,8 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
             )
 
     judged = dealt.mapInArrow(judge, "name long, before int, after int, piece binary, bits binary")
-    key = ["name", "before", "after", F.sha2("piece", 256).alias("digest")]
+    # the name is a hash of part of the piece with other values than this one
+    key = ["name", "before", "after", F.xxhash64("piece").alias("digest")]
     places = asked.select(*key, "doc_id", "place").join(judged.select(*key, "bits"), ["name", "before", "after", "digest"])
     gone = places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "before", "after", "bits")).alias("runs"))
 

@@ -24,7 +24,7 @@ class Forest(NamedTuple):
     depth: int = 20
     leaf_rows: int = 2
     seed: int = domain.SPLIT_SEED
-    partitions: int = 64
+    partitions: int = 16
     node_mb: int = 1024
 
 

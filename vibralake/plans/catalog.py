@@ -505,10 +505,23 @@ def _vector_columns(spark, d) -> tuple[DataFrame, list[str]]:
 
 @query
 def forest_train_score(spark, d):
+    """What is determined about a fitted forest: which rows are scored, and the form of the scores.
+
+    The labels of the given vectors are independent of the vectors, so no
+    accuracy can be asked for here; see the tests.
+    """
     rows, names = _vector_columns(spark, d)
     marked = split.stratified_split(rows, "fault_category", "id")
     model = classifier.train(marked.filter("not is_test"), names)
-    return classifier.score(model, marked.filter("is_test")).select("id", "fault_category", "predicted_category", "confidence")
+    scored = durable(classifier.score(model, marked.filter("is_test")))
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        "id",
+        "fault_category",
+        F.col("predicted_category").isin(*classifier.classes(model)).alias("class_known"),
+        F.col("confidence").between(0.0, 100.0).alias("confidence_in_range"),
+        (F.abs(total - 100.0) < 0.1).alias("sums_to_100"),
+    )
 
 
 # --- streaming ------------------------------------------------------------

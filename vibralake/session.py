@@ -122,5 +122,5 @@ def spread(scan: DataFrame) -> DataFrame:
     scans: anything with a shuffle would run to find its partitions.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return scan.repartition(cores) if size <= SPREAD_BYTES and scan.rdd.getNumPartitions() < cores else scan

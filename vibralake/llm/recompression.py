@@ -185,7 +185,9 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     first = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
 
     named = named_anchors(plain, window, rounds)
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("name")
+    # written, so that both sides of the joins are plain exchanges, whose hot keys Spark splits
+    several = named.groupBy("name").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y")
+    shared = written(several.select("name"), "shared")
     with_shared = named.join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared"))
     leaders = first.select(F.col("first_id").alias("doc_id")).distinct()
     some = written(plain.join(with_shared.join(leaders, "doc_id", "left_semi"), "doc_id"), "candidates")
@@ -203,7 +205,8 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
         return rows_of(one=signed(one), two=signed(two), doc_id=piece.rows.column("doc_id").take(pa.array(row)), place=pa.array(place.astype(np.int32)))
 
     asked = written(some.mapInArrow(mapped(windows, "text"), "one long, two long, doc_id long, place int"), "windows")
-    least = asked.groupBy("one", "two").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("one", "two", "x")
+    least = asked.groupBy("one", "two").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y")
+    least = written(least.select("one", "two", "x"), "least")
     gone = asked.join(least, ["one", "two"]).filter("doc_id > x").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
     def cut(piece: Slice) -> pa.RecordBatch:

@@ -246,7 +246,8 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
 
     named = written(plain.mapInArrow(mapped(names, "text"), "name long, doc_id long, again boolean"), "names")
     often = named.groupBy("name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
-    shared = often.filter("n > 1 or again").select("name")
+    # written, so that both sides of the join are plain exchanges, whose hot keys Spark splits
+    shared = written(often.filter("n > 1 or again").select("name"), "shared")
     leaders = first.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
     listed = named.select("name", "doc_id").join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared")).join(leaders, "doc_id", "left_semi")
     some = written(plain.join(listed, "doc_id").dropDuplicates(["doc_id"]), "candidates")

@@ -27,6 +27,7 @@ from vibralake.operators import (
 )
 from vibralake.plans import tables as t
 from vibralake.session import durable, scratch_dir
+from vibralake.sources import pages as pages_source
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables as table_source
 from vibralake.streaming import jobs
@@ -207,7 +208,7 @@ def vector_search_by_label(spark, d):
     asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
     stored = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
     found = similarity.by_vector(asked, stored, domain.CONTEXT_CHUNKS, "label")
-    return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "item_id", "score", "rank")
 
 
 @query
@@ -524,6 +525,57 @@ def forest_train_score(spark, d):
     )
 
 
+# --- sources and sinks ----------------------------------------------------
+
+
+@query
+def csv_scan(spark, d):
+    """Events written as CSV with a header and scanned back: text, missing labels, numbers and times."""
+    raw = t.raw_readings(t.table(spark, d, "events"), ("rpm",))
+    path = scratch_dir(spark, "csv")
+    raw.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    back = readings_source.scan_csv(spark, path)
+    return back.select(
+        "id", F.date_format(numeric.timestamp(F.col("created_at")), "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        numeric.number_or_zero(F.col("rpm")).alias("rpm"), "fault",
+    )
+
+
+@query
+def processed_cache(spark, d):
+    """Readings written to the cache by day and read back."""
+    path = scratch_dir(spark, "processed")
+    readings_source.write_processed(t.readings(t.table(spark, d, "events"), ("rpm",)), path)
+    found = readings_source.read_table(spark, path)
+    return found.select("id", "fault_category", _day("created_at").alias("day"), (F.to_date("created_at") == F.col("reading_date")).alias("in_its_day"))
+
+
+@query
+def page_source(spark, d):
+    """Pages written to files and discovered by name."""
+    path = scratch_dir(spark, "pages")
+    t.conversation_pages(t.table(spark, d, "conversations")).write.parquet(path)
+    found = pages_source.read_pages(spark, path)
+    return found.select("doc_name", "page_idx", F.length("digital_text").alias("digital"), F.length("ocr_text").alias("ocr"))
+
+
+@query
+def event_json_text(spark, d):
+    """Events as JSON text."""
+    rows = t.table(spark, d, "events").select("event_id", "event_type", F.lit(None).cast("string").alias("fault"))
+    return rows.select("event_id", event_json.to_json("event_id", "event_type", "fault").alias("payload"))
+
+
+@query
+def window_chunks(spark, d):
+    """Texts without a paragraph, which are cut by length: all characters blanked."""
+    blank = t.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(?s).", " ").alias("text"))
+    cut = documents.with_chunks(blank).withColumn("lengths", F.transform("chunks", F.length))
+    return cut.select("doc_id", F.size("lengths").alias("chunks"), F.try_element_at("lengths", F.lit(1)).alias("first"), F.try_element_at("lengths", F.lit(-1)).alias("last"))
+
+
 # --- streaming ------------------------------------------------------------
 
 

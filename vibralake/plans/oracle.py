@@ -472,7 +472,7 @@ def statements() -> dict[str, str]:
         ),
         "similarity_topk": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
         "similarity_topk_cells": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
-        "vector_search_by_label": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS INT) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY rank <= {domain.CONTEXT_CHUNKS}",
+        "vector_search_by_label": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS INT) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY rank <= {domain.CONTEXT_CHUNKS}",
         "similarity_context": build("SELECT * FROM context", "context"),
         "similarity_matches": build(
             f"SELECT query_id, CAST(rank AS INT) AS rank, item_id AS id, similarity_score, fault AS original_label, round(rpm, 4) AS rpm FROM neighbours WHERE rank <= {domain.SHOWN_MATCHES}", "neighbours"
@@ -483,6 +483,19 @@ def statements() -> dict[str, str]:
         "stratified_split": build(
             f"SELECT id, fault_category, row_number() OVER (PARTITION BY fault_category ORDER BY md5(id || '|{domain.SPLIT_SEED}')) <= n_test AS is_test FROM readings JOIN splitsizes USING (fault_category)", "readings", "splitsizes"
         ),
+        "csv_scan": build(
+            f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, rpm, CASE WHEN fault NOT IN ({', '.join(text(x) for x in domain.MISSING_TOKENS)}) THEN fault END AS fault FROM readings", "readings"
+        ),
+        "processed_cache": build("SELECT id, fault_category, strftime(created_at, '%Y-%m-%d') AS day, true AS in_its_day FROM readings", "readings"),
+        "page_source": build(
+            "SELECT 'Doc' || conv_id || '.pdf' AS doc_name, CAST(turn AS INT) AS page_idx, CAST(length(CASE WHEN role = 'user' THEN text END) AS INT) AS digital, CAST(length(CASE WHEN role <> 'system' THEN text END) AS INT) AS ocr FROM conversations"
+        ),
+        "event_json_text": "SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":' || to_json(event_type) || ',\"fault\":null}' AS payload FROM events",
+        "window_chunks": (
+            f"SELECT doc_id, CAST(n AS INT) AS chunks, CAST(CASE WHEN n > 0 THEN least({domain.CHUNK_SIZE}, size) END AS INT) AS first, "
+            f"CAST(CASE WHEN n > 0 THEN size - (n - 1) * {domain.CHUNK_SIZE - domain.CHUNK_OVERLAP} END AS INT) AS last "
+            f"FROM (SELECT doc_id, length(text) AS size, (length(text) + {domain.CHUNK_SIZE - domain.CHUNK_OVERLAP} - 1) // {domain.CHUNK_SIZE - domain.CHUNK_OVERLAP} AS n FROM documents)"
+        ),
         "forest_train_score": (
             "WITH v AS (SELECT vec_id AS id, 'class_' || label AS fault_category FROM embeddings), "
             "k AS (SELECT fault_category, count(*) AS n FROM v GROUP BY 1), "

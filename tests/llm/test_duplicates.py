@@ -144,7 +144,7 @@ def brute_bytes(texts, length):
     out = {}
     for (i, b), c in zip(data, covered, strict=True):
         kept = bytes(x for x, gone in zip(b, c, strict=True) if not gone)
-        runs = len(re.findall(rb"\1+", bytes(c)))
+        runs = len(re.findall(rb"\x01+", bytes(c)))
         out[i] = (len(b), sum(c), runs, hashlib.sha256(kept).hexdigest())
     return out
 

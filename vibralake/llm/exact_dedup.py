@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vibralake.llm.texts import lower_ascii
+from vibralake.llm.texts import lower_ascii, unused
 from vibralake.session import written
 
 CAPACITY = 20_000
@@ -123,7 +123,8 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def survivors(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, with their columns; rows that repeat id and text stay once."""
-    stay = deduplicate(docs, capacity).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
-    rows = docs.withColumn("_digest", F.sha2(normalised(), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("text_sha256"))
-    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+    id_, kept, own = (unused(docs, name) for name in ("_id", "_kept", "_digest"))
+    stay = deduplicate(docs, capacity).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(kept)).distinct()
+    rows = docs.withColumn(own, F.sha2(normalised(), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept))
+    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", own]).select(docs.columns)

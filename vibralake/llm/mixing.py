@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vibralake.llm.texts import word_count
+from vibralake.llm.texts import unused, word_count
 from vibralake.session import small_side, written
 
 WEIGHTS = (3, 1, 2)
@@ -168,6 +168,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
     Rows that share an id share the copies of the first of them.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    id_, times, number = (unused(docs, name) for name in ("_id", "_times", "_number"))
+    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", id_)
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(id_))).filter(F.col(times) > 0)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(number)).drop(number)

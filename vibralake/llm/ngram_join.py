@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vibralake.llm.graph import components
-from vibralake.llm.texts import U64, Slice, mapped, mix, owners, signed
+from vibralake.llm.texts import U64, Slice, mapped, mix, owners, signed, unused
 from vibralake.session import written
 
 WORDS = 4
@@ -346,5 +346,6 @@ def prefix_pairs(plain: DataFrame, classes: DataFrame, words: int, threshold: Fr
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component, with their columns."""
-    stay = link(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    id_ = unused(docs, "_id")
+    stay = link(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select(docs.columns)

@@ -26,7 +26,7 @@ from vibralake.operators import (
     upsert,
 )
 from vibralake.plans import tables as t
-from vibralake.session import durable, scratch_dir
+from vibralake.session import durable, scratch_dir, written
 from vibralake.sources import pages as pages_source
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables as table_source
@@ -71,7 +71,7 @@ def problem_ranking(spark, d):
 
 @query
 def kpi_summary(spark, d):
-    registry = t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark))
+    registry = t.registry_winners(t.table(spark, d, "documents"), t.manual_map(spark))
     answered = t.table(spark, d, "conversations").filter("role = 'assistant'")
     found = dashboard.kpis(t.readings(t.table(spark, d, "events")), registry, answered)
     return found.withColumn("normal_ratio", F.round("normal_ratio", 4))
@@ -375,7 +375,7 @@ def latest_upsert(spark, d):
 @query
 def chunk_search(spark, d):
     """Every benchmark passage as a query against all chunks of all documents."""
-    chunks = t.document_chunks(t.spread_table(spark, d, "documents"))
+    chunks = written(t.document_chunks(t.spread_table(spark, d, "documents")), "chunks")
     index = search.build_index(chunks)
     asked = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     found = search.search(asked, index)
@@ -385,7 +385,7 @@ def chunk_search(spark, d):
 @query
 def chunk_search_by_language(spark, d):
     """The same with a metadata filter: each passage asks one language only."""
-    chunks = t.document_chunks(t.spread_table(spark, d, "documents"))
+    chunks = written(t.document_chunks(t.spread_table(spark, d, "documents")), "chunks")
     index = search.build_index(chunks, group="lang")
     pick = F.element_at(F.array(*[F.lit(x) for x in t.LANGUAGES]), (F.col("item_id") % len(t.LANGUAGES) + 1).cast("int"))
     asked = t.table(spark, d, "benchmark").select(
@@ -414,7 +414,7 @@ def guardrail_route(spark, d):
 
 def _manual_texts(spark, d) -> DataFrame:
     """Best excerpts per documented category."""
-    chunks = documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    chunks = written(documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark))), "chunks")
     index = search.build_index(chunks, group="fault_category")
     categories = chunks.select("fault_category").distinct()
     return durable(prescribe.excerpts(categories, chunks, index))

@@ -17,7 +17,7 @@ from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
 from vibralake.operators import event_json
 from vibralake.operators.upsert import latest_per_key
-from vibralake.session import spread
+from vibralake.session import small_side, spread
 
 
 
@@ -195,16 +195,22 @@ def matched_manuals(documents: DataFrame, mapping: DataFrame) -> DataFrame:
     return docs.fan_out(docs.with_chunks(matched, separator="\n"))
 
 
-def registry(documents: DataFrame, mapping: DataFrame, newest: bool = True) -> DataFrame:
-    """One manual per category: the one with the highest document number wins.
+def registry_winners(documents: DataFrame, mapping: DataFrame, newest: bool = True) -> DataFrame:
+    """The manual of each category: the one with the highest document number, or with the lowest.
 
-    The winner is known before its text is looked at, so only the winners are
-    chunked. ``newest=False`` takes the lowest number instead.
+    Found by the numbers alone; no text is read.
     """
-    matched = docs.fan_out(docs.named_documents(named(documents), mapping, name="source"))
+    matched = docs.fan_out(docs.named_documents(named(documents).drop("text"), mapping, name="source"))
     place = F.col("doc_id") if newest else -F.col("doc_id")
-    winners = latest_per_key(matched.withColumn("_place", place), ["fault_category"], ["_place"])
-    return docs.registry_rows(docs.with_chunks(winners.drop("_place"), separator="\n"))
+    return latest_per_key(matched.withColumn("_place", place), ["fault_category"], ["_place"]).drop("_place")
+
+
+def registry(documents: DataFrame, mapping: DataFrame, newest: bool = True) -> DataFrame:
+    """One manual per category; only the winners' texts are joined and chunked."""
+    winners = small_side(registry_winners(documents, mapping, newest))
+    texts = documents.select(F.col("doc_id").alias("_doc"), "text")
+    full = texts.join(winners, F.col("_doc") == F.col("doc_id")).drop("_doc")
+    return docs.registry_rows(docs.with_chunks(full, separator="\n"))
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ from vibralake.functions import arrays
 from vibralake.operators import evaluation, scaling, split
 
 
+# Partitions of the train rows, whatever the cluster, and memory for the nodes that one pass splits.
+PARTITIONS, NODE_MB = 16, 1024
+
+
 class Forest(NamedTuple):
     """Forest settings."""
 
@@ -24,8 +28,6 @@ class Forest(NamedTuple):
     depth: int = 20
     leaf_rows: int = 2
     seed: int = domain.SPLIT_SEED
-    partitions: int = 16
-    node_mb: int = 1024
 
 
 def _finite_sql(name: str) -> str:
@@ -49,13 +51,14 @@ def train(
     features: Sequence[str] = domain.FEATURES,
     label: str = "fault_category",
     forest: Forest = Forest(),
+    partitions: int = PARTITIONS,
 ) -> PipelineModel:
     """Fit label index, scale and forest on the train rows only."""
     weighted = split.with_class_weight(train_rows, label, "_weight")
     # Bootstrap draws follow partitions and the order in them. Both depend on
     # the rows and on a parameter only, so any cluster fits the same forest.
     place = F.xxhash64(label, *features)
-    weighted = weighted.repartition(forest.partitions, place).sortWithinPartitions(place, label, *features)
+    weighted = weighted.repartition(partitions, place).sortWithinPartitions(place, label, *features)
     stages = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         scaling_stage(features, scaling.fit_columns(train_rows, features)),
@@ -72,7 +75,7 @@ def train(
             minInstancesPerNode=forest.leaf_rows,
             featureSubsetStrategy="sqrt",
             seed=forest.seed,
-            maxMemoryInMB=forest.node_mb,
+            maxMemoryInMB=NODE_MB,
         ),
     ]
     return Pipeline(stages=stages).fit(weighted)

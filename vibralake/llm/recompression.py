@@ -182,7 +182,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
         return rows_of(doc_id=piece.rows.column("doc_id"), n_words=pa.array(np.diff(bounds).astype(np.int64)), digest=pa.array(words_digest(piece), pa.binary()))
 
     known = written(plain.mapInArrow(mapped(describe, "text"), "doc_id long, n_words long, digest binary"), "words")
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    first = written(known.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first")
 
     named = named_anchors(plain, window, rounds)
     # written, so that both sides of the joins are plain exchanges, whose hot keys Spark splits

@@ -231,7 +231,7 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
     described = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
     known = written(described, "digests")
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    first = written(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "first")
 
     def names(piece: Slice) -> pa.RecordBatch:
         row, at, _, _, sums = anchor_runs(piece, length, span, gram)

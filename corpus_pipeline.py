@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from vibralake.llm import exact_dedup, mixing, ngram_join, packing, quality
 from vibralake.session import written
 
+# Bounds of near copies in a corpus; op7's own query has others.
+NEAR_WORDS = 5
+NEAR_THRESHOLD = Fraction(80, 100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, accepts."""
@@ -21,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_WORDS, NEAR_THRESHOLD)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

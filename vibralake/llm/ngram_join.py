@@ -344,8 +344,8 @@ def prefix_pairs(plain: DataFrame, classes: DataFrame, words: int, threshold: Fr
     return some.join(every.withColumnRenamed("cls", "b"), "shingle").filter("a <> b").select("a", "b").distinct()
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The documents whose id is the smallest of their component, with their columns."""
     id_ = unused(docs, "_id")
-    stay = link(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
+    stay = link(docs, words, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select(docs.columns)

@@ -14,7 +14,8 @@ matches far enough to the left and to the right. Only suffixes at anchors are so
 3. Both orders with their common prefix lengths give, for each anchor and each string through it, whether it occurs again.
 
 Anchors with equal contexts on both sides are one row from the shuffle on, with a count. So many copies of a passage
-cost one sorted suffix per task, and a name that is everywhere does not gather in one task.
+cost one sorted suffix per task. A name with more than ``CROWD`` anchors, as of a line in many different documents, is not
+sorted: its strings are counted by 128-bit digests, so that it does not gather in one task either.
 
 Null text counts as empty. Documents with the same text as another are removed whole if long enough, and one of them stands for all.
 Rows that repeat an id are documents of their own when whole texts are compared; a null id is allowed.
@@ -37,6 +38,8 @@ LENGTH = 200
 SPAN = 100
 GRAM = 12
 SHALLOW = 24
+# A name with more anchors than this is not sorted in one task; its strings are counted by digest.
+CROWD = 20_000
 BYTES = Rolling(41)
 
 
@@ -224,7 +227,7 @@ def spans_digest(data: bytes, covered: np.ndarray) -> tuple[int, int, str]:
     return int(covered.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~covered].tobytes()).hexdigest()
 
 
-def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     known_bytes = length - span + 1
     content = F.coalesce(F.col("text"), F.lit(""))
@@ -271,7 +274,10 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     asked = written(some.mapInArrow(mapped(contexts, "text"), schema), "contexts")
     # equal pieces at equal anchors are one row to be sorted
     same = asked.groupBy("name", "before", "after", "piece").agg(F.count("*").alias("n"))
-    dealt = same.repartition("name").sortWithinPartitions("name")
+    crowded = written(asked.groupBy("name").agg(F.count("*").alias("anchors")).filter(F.col("anchors") > crowd).select("name"), "crowded")
+    hot = not crowded.isEmpty()
+    bounded = asked.join(crowded, "name", "left_anti").groupBy("name", "before", "after", "piece").agg(F.count("*").alias("n")) if hot else same
+    dealt = bounded.repartition("name").sortWithinPartitions("name")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_names(batches):
@@ -296,7 +302,10 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     judged = dealt.mapInArrow(judge, "name long, before int, after int, piece binary, bits binary")
     # the name is a hash of part of the piece with other values than this one
     key = ["name", "before", "after", F.xxhash64("piece").alias("digest")]
-    places = asked.select(*key, "doc_id", "place").join(judged.select(*key, "bits"), ["name", "before", "after", "digest"])
+    decided = judged.select(*key, "bits")
+    if hot:
+        decided = decided.unionByName(counted_strings(asked.join(crowded, "name", "left_semi"), key, length))
+    places = asked.select(*key, "doc_id", "place").join(decided, ["name", "before", "after", "digest"])
     gone = places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "before", "after", "bits")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +336,46 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     )
 
 
+def counted_strings(asked: DataFrame, key: list, length: int) -> DataFrame:
+    """(name, before, after, digest, bits) of anchors with repeated strings, found by counting digests of the strings.
+
+    For names of any number of anchors: counts combine before the shuffle, and no task holds a name. Anchors with equal
+    pieces are one row with a count first.
+    """
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                shares, made, starts = [], [], []
+                for i, piece in enumerate(part.column("piece").to_pylist()):
+                    for k in range(len(piece) - length + 1):
+                        shares.append(i)
+                        starts.append(k)
+                        made.append(hashlib.blake2b(piece[k : k + length], digest_size=16).digest())
+                take = pa.array(shares, pa.int64())
+                columns = {c: part.column(c).take(take) for c in ("name", "before", "after", "digest", "n")}
+                yield rows_of(**columns, start=pa.array(starts, pa.int32()), string=pa.array(made, pa.binary()))
+
+    same = asked.groupBy("name", "before", "after", "piece").agg(F.count("*").alias("n")).select(*key, "piece", "n")
+    schema = "name long, before int, after int, digest long, n long, start int, string binary"
+    # written, so that both sides of the join are plain exchanges, whose hot keys Spark splits
+    every = written(same.mapInArrow(strings, schema), "strings")
+    again = written(every.groupBy("string").agg(F.sum("n").alias("times")).filter("times > 1").select("string"), "again")
+    found = every.join(again, "string").groupBy("name", "before", "after", "digest").agg(F.collect_list("start").alias("starts"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for before, after, starts in zip(*(batch.column(c).to_pylist() for c in ("before", "after", "starts")), strict=True):
+                marks = np.zeros(before - after + 1, np.uint8)
+                marks[starts] = 1
+                bits.append(np.packbits(marks).tobytes())
+            yield rows_of(**{c: batch.column(c) for c in ("name", "before", "after", "digest")}, bits=pa.array(bits, pa.binary()))
+
+    return found.mapInArrow(packed, "name long, before int, after int, digest long, bits binary")
+
+
 def whole_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches sorted by name, cut anew so that a name is never split."""
     held: list[pa.RecordBatch] = []

@@ -8,8 +8,8 @@ matches far enough to the left and to the right. Only suffixes at anchors are so
 1. Anchors are named by the bytes that any of their strings must share, ``LENGTH - SPAN + 1`` from the anchor on. Names
    that occur once cannot belong to a repeat and are dropped; sums combine before the shuffle.
 2. What is left is dealt by name, in pieces of text that hold both contexts, and comes sorted by name. The suffixes
-   at anchors of one name agree to the depth of the name; they are put in order by deep-shallow sorting: multikey quicksort
-   on groups of eight bytes to a shallow depth below the name, and blind tries for groups that still agree there. The left contexts
+   at anchors of one name agree to the depth of the name; they are put in order by deep-shallow sorting: a column sort
+   by eight bytes at a time (in place of multikey quicksort) to a shallow depth below the name, and blind tries for groups that still agree there. The left contexts
    are sorted in the same way, read backwards.
 3. Both orders with their common prefix lengths give, for each anchor and each string through it, whether it occurs again.
 
@@ -161,7 +161,7 @@ def common_prefix(a: bytes, b: bytes, start: int) -> int:
 def deep_shallow(group: np.ndarray, matrix: np.ndarray, known: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order rows of bytes by group and content; and each row's common prefix with the one before (-1: another group).
 
-    Rows of one group should agree in their first ``known`` bytes, which is checked. Multikey quicksort splits by eight bytes at a time for ``shallow`` bytes; groups that
+    Rows of one group should agree in their first ``known`` bytes, which is checked. A column sort by eight bytes at a time covers ``shallow`` bytes; groups that
     are still together go to blind tries.
     """
     n, width = matrix.shape

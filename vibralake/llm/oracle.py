@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vibralake.llm import packing
+from vibralake.llm import code_compression, packing
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,6 +152,44 @@ select doc_id, piece, first_token, n_tokens, bucket::int as bucket, bucket_lengt
     return ",\n".join(steps)
 
 
+def codes_sql(parts: int = code_compression.PARTS, entries: int = code_compression.ENTRIES, rounds: int = code_compression.ROUNDS) -> str:
+    """The rounds of codebook refinement, two common tables each."""
+    steps = [
+        f"""with k as (
+  select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: floor({code_compression.SCALE} * x::double)::bigint) as v
+  from embeddings where embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)
+),
+s as materialized (
+  select r, j, v[j * (len(v) // {parts}) + 1 : (j + 1) * (len(v) // {parts})] as x from k, (select unnest(range(0, {parts})) as j)
+),
+b0 as (select j, r - 1 as e, x as c from s where r <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} as materialized (
+  select r, j, x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': e}}) as best
+  from s join b{i} using (j) group by r, j, x
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} as materialized (
+  select b.j, b.e, coalesce(m.c, b.c) as c from b{i} b left join (
+    select j, e, list(t order by p) as c from (
+      select j, best.e as e, p, floor(sum(x[p]) / count(*))::bigint as t from (select *, unnest(range(1, len(x) + 1)) as p from a{i}) group by all
+    ) group by j, e
+  ) m on m.j = b.j and m.e = b.e
+)"""
+            )
+    steps.append(
+        f"""f as (select r, string_agg(printf('%02x', best.e), '' order by j) as code, sum(best.d)::bigint as error from a{rounds} group by r)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by j, e)) from b{rounds}) as codebooks_sha256
+from f join k using (r)"""
+    )
+    return ",\n".join(steps)
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_suffix_array": OP1,
@@ -161,4 +199,5 @@ def statements() -> dict[str, str]:
         "op6_exact_dedup": OP6,
         "op7_ngram_join": OP7,
         "op9_topk": OP9,
+        "op11_code_compression": codes_sql(),
     }

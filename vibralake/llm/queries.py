@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibralake.llm import exact_dedup, mixing, ngram_join, packing, quality, recompression, suffix_dedup, tool_calls, topk_search, toxicity
+from vibralake.llm import code_compression, exact_dedup, mixing, ngram_join, packing, quality, recompression, suffix_dedup, tool_calls, topk_search, toxicity
+from vibralake.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = code_compression.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None).cast("string")
+    for width in codes.books:
+        digest = F.when(F.col("width") == width, codes.digest(width)).otherwise(digest)
+    coded = code_compression.with_label_error(written(codes.rows, "codes"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,5 +97,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_code_compression": op11_code_compression,
     "pipeline": pipeline,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibralake.llm import code_compression, exact_dedup, mixing, ngram_join, packing, quality, recompression, suffix_dedup, tool_calls, topk_search, toxicity
+from vibralake.llm import bestfit_packing, code_compression, exact_dedup, mixing, ngram_join, packing, quality, recompression
+from vibralake.llm import suffix_dedup, tokenizer_alignment, tool_calls, topk_search, toxicity
 from vibralake.session import written
 
 
@@ -80,6 +81,19 @@ def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tokenizer_alignment.blocks(table(spark, sf_dir, "documents"))
+    aligned = tokenizer_alignment.align(held, tokenizer_alignment.pair_counts(held))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bestfit_packing.pieces(table(spark, sf_dir, "documents"))
+    packed = bestfit_packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,5 +112,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
     "op11_code_compression": op11_code_compression,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_bestfit_packing": op13_bestfit_packing,
     "pipeline": pipeline,
 }

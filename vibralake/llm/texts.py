@@ -125,8 +125,8 @@ class Slice:
         return WORD_HASH.of(WORD_HASH.sums(WORD_HASH.table[self.data]), starts, ends), bounds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False) -> Iterator[Slice]:
-    """Cut Arrow batches into slices of bounded size."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[Slice]:
+    """Cut Arrow batches into slices of at most ``size`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -134,7 +134,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False)
         total, start = np.cumsum(lengths, dtype=np.int64), 0
         while start < batch.num_rows:
             used = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, used + SLICE_BYTES, "right")))
+            end = max(start + 1, int(np.searchsorted(total, used + size, "right")))
             yield Slice(batch.slice(start, end - start), column, lower)
             start = end
 

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from vibralake.llm.packing import ranked
 from vibralake.llm.texts import Slice, mapped
-from vibralake.llm.token_pieces import Memo, gathered, stretches, tokenizer_path
+from vibralake.llm.token_pieces import WordIds, stretches, tokenizer_path
 from vibralake.session import written
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
+# Text that is tokenised at a time.
+SLICE_BYTES = 4 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -54,28 +56,16 @@ def needs(length: int) -> np.ndarray:
 
 
 @cache
-def encoder(vocabulary: str) -> Memo:
-    """Ids of byte strings, remembered by this worker."""
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(tokenizer_path(vocabulary))
-
-    def ids(texts: list[bytes]) -> list[list[int]]:
-        found = model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [x.ids for x in found]
-
-    return Memo(ids)
+def encoder(vocabulary: str) -> WordIds:
+    return WordIds(tokenizer_path(vocabulary))
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END, text: str = "text") -> DataFrame:
     """doc_id, piece (from 0), start (ids of the document before it), length, ids (unsigned 32-bit, little-endian)."""
 
     def cut(held: Slice) -> pa.RecordBatch:
-        distinct, codes, firsts = stretches(held)
-        found = encoder(vocabulary).of(distinct.to_pylist())
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-        flat = np.fromiter((i for x in found for i in x), np.int64, int(bounds[-1]))
-        tokens, ends = gathered(flat, bounds, codes)
+        distinct, codes, firsts = stretches(held, words=True)
+        tokens, ends = encoder(vocabulary).of(distinct.to_pylist(), codes)
         stops = ends[firsts[1:]]
         tokens = np.insert(tokens, stops, end).astype("<u4")
         totals = np.diff(np.concatenate([[0], stops])) + 1
@@ -91,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
 
     # the blank before a text is no token of these vocabularies, and lets every stretch begin alike
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.coalesce(text, F.lit(""))).alias("text"))
-    return rows.mapInArrow(mapped(cut, "text"), PIECE_SCHEMA)
+    return rows.mapInArrow(mapped(cut, "text", size=SLICE_BYTES), PIECE_SCHEMA)
 
 
 @dataclass

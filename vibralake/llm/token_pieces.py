@@ -9,7 +9,7 @@ their beginning only.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,12 @@ from vibralake.llm.texts import Slice
 REMEMBERED = 200_000
 
 
+WHITE, CLOSING, LETTER = np.zeros((3, 256), bool)
+WHITE[list(b" \t\n\v\f\r")] = True
+CLOSING[list(b'.,;:!?)]"')] = True
+LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file by its name; a path stays as it is."""
     if os.path.sep in name:
@@ -29,16 +35,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def stretches(piece: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def stretches(piece: Slice, words: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct stretches of a slice's texts as bytes, the code of each stretch, and the first stretch of every row.
 
-    Every text has to begin with a blank of its own, or be empty; every stretch begins with one.
+    Every text has to begin with a blank of its own, or be empty. With ``words`` texts are cut at all ASCII white space and between an ASCII
+    letter and a closing mark, and A-Z are lower-cased where no special token can be meant: for tokenizers that
+    do all that before they merge. Otherwise every stretch begins with a blank.
     """
     data = piece.data
     before = np.empty(len(data), np.uint8)
     before[:1] = 33
     before[1:] = data[:-1]
-    start = (data == 32) & (before > 32) & (before < 127)
+    if words:
+        start = (WHITE[data] & ~WHITE[before]) | (CLOSING[data] & LETTER[before])
+        if not ((data == 124) & (before == 60)).any():  # <|
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    else:
+        start = (data == 32) & (before > 32) & (before < 127)
     firsts = piece.offsets[:-1][np.diff(piece.offsets) > 0]
     start[firsts] = True
     starts = np.flatnonzero(start)
@@ -56,15 +69,51 @@ def gathered(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[n
     return flat[places], ends
 
 
-class Memo:
-    """What ``work`` gives for each of some byte strings; it is asked for new ones only, many at a time."""
+class WordIds:
+    """Ids of stretches by a tokenizer that marks word ends, remembered as one flat array.
 
-    def __init__(self, work: Callable[[list[bytes]], list]):
-        self.work, self.known = work, {}
+    A word of a-z goes to the vocabulary's merges alone, many words at a time; any other stretch takes the tokenizer's full way.
+    """
 
-    def of(self, keys: list[bytes]) -> list:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [k for k in keys if k not in self.known]
-        self.known.update(zip(new, self.work(new), strict=True))
-        return [self.known[k] for k in keys]
+    MOST = 1_000_000
+
+    def __init__(self, path: str, end_mark: str = "</w>"):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.full.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.closes = np.zeros(self.full.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.full.get_vocab().items() if t.endswith(end_mark)]] = True
+        self.start()
+
+    def start(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.bounds = array("i", [0]), array("q", [1])  # a buffer must not be empty
+
+    def learn(self, keys: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.bounds.frombytes((ends + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def of(self, keys: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the stretches keys[codes] end to end, and where each begins."""
+        if len(self.known) > self.MOST:
+            self.start()
+        plain, other = [], []
+        for k in keys:
+            if k not in self.known:
+                w = k.strip()
+                if w.isalpha() and w.islower():
+                    plain.append((k, w))
+                else:
+                    other.append(k)
+        for at in range(0, len(plain), 2000):
+            part, words = zip(*plain[at : at + 2000], strict=True)
+            ids = np.array(self.merges.encode(b" ".join(words).decode(), add_special_tokens=False).ids)
+            self.learn(part, ids, np.flatnonzero(self.closes[ids]) + 1)
+        found = [x.ids for x in self.full.encode_batch_fast([k.decode("utf-8", "replace") for k in other], add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in found], dtype=np.int64)
+        self.learn(other, np.fromiter((i for x in found for i in x), np.int32, int(ends[-1]) if found else 0), ends)
+        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return gathered(np.frombuffer(self.flat, np.int32), np.frombuffer(self.bounds, np.int64), place[codes])

@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.functions import arrays
-from vibralake.operators import evaluation, scaling, split
+from vibralake.operators import evaluation, forest as growing, split
+from vibralake.session import durable
 
+# Fixed value: a node with fewer rows is not split.
+SPLIT_ROWS = 5
 
-# Partitions of the train rows, whatever the cluster, and memory for the nodes that one pass splits.
-PARTITIONS, NODE_MB = 16, 1024
+Model = growing.Model
 
 
 class Forest(NamedTuple):
@@ -30,74 +28,31 @@ class Forest(NamedTuple):
     seed: int = domain.SPLIT_SEED
 
 
-def _finite_sql(name: str) -> str:
-    return f"CASE WHEN abs(`{name}`) < double('Infinity') THEN `{name}` ELSE 0D END"
-
-
-def scaling_stage(columns: Sequence[str], scale: scaling.Scale) -> SQLTransformer:
-    """Standardisation as a stage, so that it is saved with the model.
-
-    Scaled values get their own names; the event keeps its readings.
-    """
-    parts = [
-        f"({_finite_sql(c)} - double('{m!r}')) / double('{s!r}') AS `scaled_{c}`"
-        for c, m, s in zip(columns, scale.mean, scale.scale, strict=True)
-    ]
-    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-
-
 def train(
     train_rows: DataFrame,
     features: Sequence[str] = domain.FEATURES,
     label: str = "fault_category",
     forest: Forest = Forest(),
-    partitions: int = PARTITIONS,
-) -> PipelineModel:
-    """Fit label index, scale and forest on the train rows only."""
-    weighted = split.with_class_weight(train_rows, label, "_weight")
-    # Bootstrap draws follow partitions and the order in them. Both depend on
-    # the rows and on a parameter only, so any cluster fits the same forest.
-    place = F.xxhash64(label, *features)
-    weighted = weighted.repartition(partitions, place).sortWithinPartitions(place, label, *features)
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        scaling_stage(features, scaling.fit_columns(train_rows, features)),
-        VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="_features"),
-        RandomForestClassifier(
-            labelCol="_label",
-            featuresCol="_features",
-            weightCol="_weight",
-            probabilityCol="_probability",
-            rawPredictionCol="_raw",
-            predictionCol="_prediction",
-            numTrees=forest.trees,
-            maxDepth=forest.depth,
-            minInstancesPerNode=forest.leaf_rows,
-            featureSubsetStrategy="sqrt",
-            seed=forest.seed,
-            maxMemoryInMB=NODE_MB,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def classes(model: PipelineModel) -> list[str]:
-    return next(list(s.labels) for s in model.stages if isinstance(s, StringIndexerModel))
-
-
-def score(model: PipelineModel, events: DataFrame, label: str = "fault_category") -> DataFrame:
+    split_rows: int = SPLIT_ROWS,
+) -> Model:
+    """Fit label index, scale and forest on the train rows only; rows without a label take no part."""
+    return growing.fit(train_rows, features, label, forest.trees, forest.depth, forest.leaf_rows, split_rows, forest.seed)
+
+
+def classes(model: Model) -> list[str]:
+    return model.classes
+
+
+def score(model: Model, events: DataFrame, label: str = "fault_category") -> DataFrame:
     """Add predicted category, confidence and the probability map.
 
     Works on batch and streaming frames. An event needs no label; rows are
     never dropped.
     """
-    names = classes(model)
+    labels = F.array(*[F.lit(n) for n in model.classes])
     given = events if label in events.columns else events.withColumn(label, F.lit(None).cast("string"))
-    scored = model.transform(given)
-    # The index keeps one slot more for unseen labels; it is never predicted.
-    probability = F.slice(vector_to_array("_probability"), 1, len(names))
-    labels = F.array(*[F.lit(n) for n in names])
-    return scored.withColumn("probabilities_array", probability).select(
+    scored = growing.with_probabilities(model, given, "probabilities_array")
+    return scored.select(
         *events.columns,
         arrays.predicted(labels, F.col("probabilities_array")).alias("predicted_category"),
         arrays.confidence(F.col("probabilities_array")).alias("confidence"),
@@ -106,13 +61,12 @@ def score(model: PipelineModel, events: DataFrame, label: str = "fault_category"
     )
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str] = domain.FEATURES) -> list[tuple[str, float]]:
+def feature_importance(model: Model, features: Sequence[str] = domain.FEATURES) -> list[tuple[str, float]]:
     """Every feature with its importance, greatest first."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return sorted(zip(features, values, strict=True), key=lambda p: -p[1])
+    return sorted(zip(features, model.importances().tolist(), strict=True), key=lambda p: -p[1])
 
 
-def importance_frame(spark: SparkSession, model: PipelineModel, features: Sequence[str] = domain.FEATURES, n: int = 10) -> DataFrame:
+def importance_frame(spark: SparkSession, model: Model, features: Sequence[str] = domain.FEATURES, n: int = 10) -> DataFrame:
     return (
         spark.createDataFrame(feature_importance(model, features), "feature string, importance double")
         .orderBy(F.desc("importance"), "feature")
@@ -126,7 +80,7 @@ def train_and_evaluate(
     features: Sequence[str] = domain.FEATURES,
     label: str = "fault_category",
     forest: Forest = Forest(),
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[Model, DataFrame]:
     """Split, fit and measure; the second result is one evaluation row."""
     marked = split.stratified_split(readings, label, key)
     model = train(marked.filter("not is_test"), features, label, forest)
@@ -135,10 +89,8 @@ def train_and_evaluate(
     return model, evaluation_record(pairs, model, features, readings)
 
 
-def evaluation_record(pairs: DataFrame, model: PipelineModel, features: Sequence[str], readings: DataFrame) -> DataFrame:
+def evaluation_record(pairs: DataFrame, model: Model, features: Sequence[str], readings: DataFrame) -> DataFrame:
     """Summary, report, matrix, top features and counts as one nested row."""
-    from vibralake.session import durable
-
     pairs = durable(pairs)
     report = evaluation.class_report(pairs)
     names = classes(model)
@@ -156,9 +108,9 @@ def evaluation_record(pairs: DataFrame, model: PipelineModel, features: Sequence
     )
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: Model, path: str) -> None:
+    growing.save(model, path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> Model:
+    return growing.load(path)

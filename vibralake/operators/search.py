@@ -1,79 +1,209 @@
-"""Text search over chunks by the cosine of exact term weights."""
+"""Text search over chunks by the cosine of exact term weights.
+
+The index is a table of shards (``postings``), written once and searched any number of times. Texts
+are not shuffled to build it: a task makes shards of the rows it reads, and only each shard's vocabulary
+travels, to learn how many chunks have a term. A search brings the queries to the shards; a task returns at
+most n chunks per query and shard, so a word that every chunk has makes no rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from vibralake import domain
 from vibralake.functions import text as tx
-from vibralake.operators import topk
+from vibralake.operators import postings, topk
 from vibralake.session import small_side, written
 
 WORDS = r"[^\p{L}]+"
 EVERY = "\x00all"
 
 
+# Bytes of words in a shard.
+SHARD_BYTES = 4 << 20
+# Queries, and bytes of their terms, that are sent to all tasks.
+FEW_QUERIES = 4_096
+FEW_BYTES = 32 << 20
+
+
 class Index(NamedTuple):
-    """``postings``: term, key, weight[, group]; ``terms``: term, idf; ``items``: key, norm[, group]; number of items."""
+    """``shards`` to search, ``terms``: term, idf; ``items``: key, group; number of items."""
 
-    postings: DataFrame
+    shards: DataFrame
     terms: DataFrame
     items: DataFrame
     size: int
 
 
-def term_counts(texts: DataFrame, key: str, text: str, group: str | None, pattern: str) -> DataFrame:
-    """``(key[, group], term, tf)``. Counts combine inside the tasks before the shuffle."""
-    grouped = [F.col(group).alias("group")] if group is not None else []
-    words = texts.select(key, *grouped, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
-    return words.groupBy(*[c for c in words.columns if c != "term"], "term").agg(F.count("*").alias("tf"))
-
-
 def idf(seen: Column, size: int) -> Column:
     """ln((n + 1) / (df + 1))."""
     return F.log((F.lit(size) + 1.0) / (seen + 1.0))
 
 
+def one_row(values: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of a single row; lists may be given as Arrow arrays."""
+
+    def column(value: object, kind: pa.DataType) -> pa.Array:
+        value = value.values if isinstance(value, pa.ListScalar) else value
+        if isinstance(value, pa.Array):
+            return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value.cast(kind.value_type))
+        return pa.array([value.as_py() if isinstance(value, pa.Scalar) else value], kind)
+
+    return pa.RecordBatch.from_arrays([column(values[f.name], f.type) for f in schema], schema=schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Raw shards of the rows (key, group, words) of a task."""
+    held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+    def shard() -> pa.RecordBatch:
+        nonlocal held, size, number
+        rows = pa.Table.from_batches(held).combine_chunks()
+        made = postings.counted(*(rows[c].chunk(0) for c in ("key", "group", "words")))
+        made, held, size, number = {"shard": number} | made, [], 0, number + 1
+        return one_row(made, schema)
+
+    for batch in batches:
+        # a batch of long rows is cut, so that a shard is not much over its size
+        step = max(1, int(batch.num_rows * SHARD_BYTES / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            size += batch.nbytes * held[-1].num_rows // batch.num_rows
+            if size >= SHARD_BYTES:
+                yield shard()
+    if held:
+        yield shard()
+
+
+def finished(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Searchable shards of raw ones with the idf of their terms."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i] for n in batch.schema.names}
+            weights = np.zeros(len(row["vocabulary"]))
+            if len(weights):
+                found = row["found"].values
+                weights[found.field("place").to_numpy()] = found.field("idf").to_numpy()
+            made = postings.weighed({n: row[n].as_py() for n in ("bounds", "term", "tf")}, weights)
+            made |= {n: row[n] for n in ("shard", "keys", "groups", "vocabulary")}
+            yield one_row(made, schema)
+
+
+def shard_types(key: DataType, numbers: dict[str, str]) -> tuple[str, pa.Schema]:
+    """Columns of a shard table, for Spark and for Arrow."""
+    ddl = f"shard long, keys array<{key.simpleString()}>, groups array<string>, vocabulary array<string>"
+    fields = [("shard", pa.int64()), ("keys", pa.list_(to_arrow_type(key))), ("groups", pa.list_(pa.string())), ("vocabulary", pa.list_(pa.string()))]
+    kinds = {"binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    return ", ".join([ddl, *(f"{n} {t}" for n, t in numbers.items())]), pa.schema(fields + [(n, kinds[t]) for n, t in numbers.items()])
+
+
 def build_index(
     chunks: DataFrame, key: str = "chunk_id", text: str = "text", group: str | None = None, pattern: str = WORDS
 ) -> Index:
     """Index of all chunks, written once; ``group`` is what searches filter by.
 
-    Terms, their frequencies and the postings stay tables; nothing about the
-    vocabulary is held in one place. A term that most chunks have is one skewed key
-    of a join, which adaptive execution splits.
+    Keys are those of a collection: rows that repeat one are items of their own, rows without one are left out.
     """
-    counts = written(term_counts(chunks, key, text, group, pattern), "counts")
-    grouped = [F.col(group).alias("group")] if group is not None else []
-    every = written(chunks.select(key, *grouped).distinct(), "items")
-    size = every.count()
-    terms = written(counts.groupBy("term").agg(idf(F.count("*"), size).alias("idf")), "terms")
-    postings = written(counts.join(terms, "term").withColumn("weight", F.col("tf") * F.col("idf")).drop("tf", "idf"), "postings")
-    norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    items = written(every.join(norms, key, "left").withColumn("norm", F.coalesce("norm", F.lit(0.0))), "norms")
-    return Index(postings, terms, items, size)
-
-
-def query_weights(queries: DataFrame, index: Index, query_id: str, text: str, pattern: str) -> DataFrame:
-    """``(query_id, term, share)`` with unit length per query; words no chunk has count for the length."""
-    asked = term_counts(queries, query_id, text, None, pattern)
-    weighed = asked.join(index.terms, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0), index.size)))
+    named = F.col(group).cast("string") if group is not None else F.lit(None).cast("string")
+    words = F.coalesce(tx.tokens(F.col(text), pattern), F.array().cast("array<string>"))
+    rows = chunks.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), named.alias("group"), words.alias("words"))
+    kind = rows.schema["key"].dataType
+    ddl, schema = shard_types(kind, {"df": "array<int>", "bounds": "binary", "term": "binary", "tf": "binary"})
+    raw = written(rows.mapInArrow(partial(gathered, schema=schema), ddl), "raw_shards")
+    size = raw.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+
+    zipped = F.posexplode(F.arrays_zip("vocabulary", "df")).alias("place", "x")
+    each = raw.select("shard", zipped).select("shard", "place", F.col("x.vocabulary").alias("term"), F.col("x.df").alias("df"))
+    terms = written(each.groupBy("term").agg(idf(F.sum("df"), size).alias("idf")), "terms")
+    found = each.join(terms, "term").groupBy("shard").agg(F.collect_list(F.struct("place", "idf")).alias("found"))
+    ddl, schema = shard_types(kind, dict.fromkeys(postings.NUMBERS, "binary"))
+    full = raw.drop("df").join(found, "shard", "left").mapInArrow(partial(finished, schema=schema), ddl)
+    items = raw.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("groups").alias("group"))))
+    return Index(written(full, "shards"), terms, items, size)
+
+
+def query_terms(queries: DataFrame, index: Index, query_id: str, text: str, group: str | None, pattern: str) -> DataFrame:
+    """``(query_id, wanted, terms, shares)`` with unit length per query; words no chunk has count for the length."""
+    words = queries.select(query_id, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
+    asked = words.groupBy(query_id, "term").agg(F.count("*").alias("tf"))
+    known = index.terms.join(small_side(words.select("term").distinct()), "term")
+    weighed = asked.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0), index.size)))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(query_id)))
-    return weighed.withColumn("share", F.col("w") / length).filter("share > 0").select(query_id, "term", "share")
+    shared = weighed.withColumn("share", F.try_divide("w", length)).filter("share > 0")  # a word that every chunk has weighs nothing
+    packed = F.sort_array(F.collect_list(F.struct("term", "share"))).alias("x")
+    each = shared.groupBy(F.col(query_id).alias("query_id")).agg(packed)
+    wanted = F.col(group).cast("string") if group is not None else F.lit(None).cast("string")
+    every = queries.select(F.col(query_id).alias("query_id"), wanted.alias("wanted"))
+    return every.join(each, "query_id").select("query_id", "wanted", F.col("x.term").alias("terms"), F.col("x.share").alias("shares"))
+
+
+def in_shards(index: Index, asked: DataFrame, n: int, few: int = FEW_QUERIES, costs: bool = False) -> DataFrame:
+    """What every shard has to say on every query: (query_id, item_id, score), or (query_id, read, postings) with ``costs``.
+
+    Few queries are sent to the tasks that read the shards. More than ``few`` are dealt into pieces that meet the shards by key; a
+    task then sees one piece and the shards of one cell, a few.
+    """
+    asked = written(asked, "asked")
+    q, i = asked.schema["query_id"].dataType, index.shards.schema["keys"].dataType.elementType
+    ddl, fields = ("read long, postings long", [("read", pa.int64()), ("postings", pa.int64())]) if costs else (
+        f"item_id {i.simpleString()}, score double", [("item_id", to_arrow_type(i)), ("score", pa.float64())])
+    ddl, schema = f"query_id {q.simpleString()}, {ddl}", pa.schema([("query_id", to_arrow_type(q)), *fields])
+    width = F.coalesce(F.sum(F.aggregate("terms", F.lit(0), lambda a, t: a + F.octet_length(t) + 8)), F.lit(0))
+    total = asked.agg(F.count("*").alias("rows"), width.alias("bytes")).first()
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield {name: batch.column(name)[row] for name in batch.schema.names}
+
+    if total["rows"] <= few and total["bytes"] <= FEW_BYTES:
+        shared = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from postings.answers(rows_of(batches), shared.value, n, costs, schema)
+
+        return index.shards.mapInArrow(scan, ddl)
+
+    cells = max(1, index.shards.count())
+    pieces = max(-(-total["rows"] // max(1, few)), -(-total["bytes"] // FEW_BYTES))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = index.shards.withColumn("_cell", F.pmod(F.xxhash64("shard"), F.lit(cells)).cast("int")).withColumn("_piece", every(pieces))
+    right = asked.withColumn("_piece", F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int")).withColumn("_cell", every(cells))
+
+    def meet(shards: pa.Table, held: pa.Table) -> pa.Table:
+        found = postings.answers(rows_of(iter(shards.to_batches())), held, n, costs, schema) if held.num_rows else []
+        return pa.Table.from_batches(list(found), schema=schema)
+
+    return left.groupBy("_cell", "_piece").cogroup(right.groupBy("_cell", "_piece")).applyInArrow(meet, ddl)
+
+
+def search_cost(
+    queries: DataFrame, index: Index, n: int = domain.CONTEXT_CHUNKS, query_id: str = "query_id", text: str = "query_text",
+    group: str | None = None, pattern: str = WORDS,
+) -> DataFrame:
+    """``(query_id, read, postings)``: the postings that a search reads, and all that its terms have."""
+    each = in_shards(index, query_terms(queries, index, query_id, text, group, pattern), n, costs=True)
+    return each.groupBy("query_id").agg(F.sum("read").alias("read"), F.sum("postings").alias("postings"))
 
 
-def first_items(index: Index, n: int, key: str, grouped: bool) -> DataFrame:
-    """``(cell, key)``: the ``n`` lowest keys of each group and of all, for queries that match too little."""
-    lowest = index.items.select(key).orderBy(key).limit(n).select(F.lit(EVERY).alias("cell"), key)
+def first_items(index: Index, n: int, grouped: bool) -> DataFrame:
+    """``(cell, item_id)``: the ``n`` lowest keys of each group and of all, for queries that match too little."""
+    lowest = index.items.orderBy("key").limit(n).select(F.lit(EVERY).alias("cell"), F.col("key").alias("item_id"))
     if not grouped:
         return lowest
-    order = F.row_number().over(Window.partitionBy("group").orderBy(key))
-    return lowest.unionByName(
-        index.items.filter("group is not null").withColumn("_n", order).filter(F.col("_n") <= n).select(F.col("group").alias("cell"), key)
-    )
+    order = F.row_number().over(Window.partitionBy("group").orderBy("key"))
+    mine = index.items.filter("group is not null").withColumn("_n", order).filter(F.col("_n") <= n)
+    return lowest.unionByName(mine.select(F.col("group").alias("cell"), F.col("key").alias("item_id")))
 
 
 def search(
@@ -82,36 +212,23 @@ def search(
     n: int = domain.CONTEXT_CHUNKS,
     query_id: str = "query_id",
     text: str = "query_text",
-    chunk: str = "chunk_id",
     group: str | None = None,
     pattern: str = WORDS,
+    few: int = FEW_QUERIES,
 ) -> DataFrame:
     """``(query_id, item_id, score, rank)``: the n best chunks of each query.
 
-    Query terms meet the postings, shares are summed per query and chunk, and
-    a window keeps n of them, pruned before its shuffle. With ``group`` a
-    query sees only chunks of its group; a null group sees all. Queries that
+    With ``group`` a query sees only chunks of its group; a null group sees all. Queries that
     match fewer than n chunks get those of the lowest ids with score 0.
     """
-    terms = query_weights(queries, index, query_id, text, pattern)
-    if group is not None:
-        terms = terms.join(queries.select(query_id, F.col(group).alias("_wanted")), query_id)
-    met = index.postings.join(small_side(terms), "term")
-    if group is not None:
-        met = met.filter(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("group")))
-    dots = met.groupBy(query_id, chunk).agg(F.sum(F.col("share") * F.col("weight")).alias("dot"))
-    scored = dots.join(index.items.select(chunk, "norm"), chunk).select(
-        F.col(query_id).alias("query_id"), F.col(chunk).alias("item_id"),
-        F.round(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0), topk.SCORE_DIGITS).alias("score"),
-    )
-    cell = F.coalesce(F.col(group), F.lit(EVERY)) if group is not None else F.lit(EVERY)
-    fill = queries.select(F.col(query_id).alias("query_id"), cell.alias("cell")).join(
-        first_items(index, 2 * n, chunk, group is not None), "cell"
-    ).select("query_id", F.col(chunk).alias("item_id"), F.lit(0.0).alias("score"))
+    asked = query_terms(queries, index, query_id, text, group, pattern)
+    best = topk.rank(in_shards(index, asked, n, few), n).select("query_id", "item_id", "score")
+    cell = F.coalesce(F.col(group).cast("string"), F.lit(EVERY)) if group is not None else F.lit(EVERY)
     # of 2n lowest ids at least n are no hits where hits are fewer than n
-    best = topk.rank(scored, n).select("query_id", "item_id", "score")
-    every = best.unionByName(fill).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    return topk.rank(every, n)
+    lowest = small_side(first_items(index, 2 * n, group is not None))
+    fill = queries.select(F.col(query_id).alias("query_id"), cell.alias("cell")).join(lowest, "cell")
+    every = best.unionByName(fill.select("query_id", "item_id", F.lit(0.0).alias("score")))
+    return topk.rank(every.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), n)
 
 
 def with_chunk_text(found: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -25,8 +25,9 @@ from vibralake.operators import (
     split,
     upsert,
 )
+from vibralake.plans import pipeline
 from vibralake.plans import tables as t
-from vibralake.session import durable, scratch_dir, written
+from vibralake.session import durable, scratch_dir, small_side, written
 from vibralake.sources import pages as pages_source
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables as table_source
@@ -225,9 +226,9 @@ def similarity_matches(spark, d):
 
 
 def _with_context(spark, d) -> DataFrame:
-    rows = _history(spark, d)
-    context = similarity.operational_context(similarity.with_rows(_neighbours(spark, d), rows))
-    return similarity.category_totals(context, rows)
+    context = similarity.operational_context(similarity.with_rows(_neighbours(spark, d), _history(spark, d)))
+    # totals count every reading, those without a vector too
+    return similarity.category_totals(context, t.readings(t.table(spark, d, "events")))
 
 
 @query
@@ -525,6 +526,61 @@ def forest_train_score(spark, d):
     )
 
 
+def _graded(spark, d) -> DataFrame:
+    """The readings with a label, each for training or for the test."""
+    rows = t.graded(t.table(spark, d, "events")).filter("fault is not null")
+    return durable(split.stratified_split(rows, "fault_category", "id"))
+
+
+@query
+def model_evaluation(spark, d):
+    """A forest fitted, measured on the test part, and its record as the metrics file holds it."""
+    rows = t.graded(t.table(spark, d, "events")).filter("fault is not null")
+    _, record = classifier.train_and_evaluate(rows)
+    path = scratch_dir(spark, "evaluation")
+    table_source.write_json(record, path)
+    stored = spark.read.json(path)
+    cells = F.array_sort(F.transform("confusion_matrix", lambda x: F.concat_ws(":", x["label"], x["prediction"], x["n"].cast("string"))))
+    return stored.select(
+        *[F.round(m, 6).alias(m) for m in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")],
+        "test_samples", "total_samples", F.array_join("classes", ",").alias("classes"), F.array_join(cells, ",").alias("confusion_matrix"),
+        F.size("top_features").alias("top_features"),
+    )
+
+
+@query
+def feature_importance(spark, d):
+    """The ten features that a forest draws most on."""
+    model = classifier.train(_graded(spark, d).filter("not is_test"), forest=classifier.Forest(trees=20))
+    return classifier.importance_frame(spark, model)
+
+
+def _knowledge(spark, d, rows: DataFrame) -> pipeline.Knowledge:
+    """What events are answered with: a stored model, the history of the train rows, manuals and excerpts."""
+    history = rows.filter("not is_test")
+    folder = scratch_dir(spark, "knowledge")
+    classifier.save(classifier.train(history), f"{folder}/model")
+    pipeline.history_rows(history).write.parquet(f"{folder}/history")
+    stored = spark.read.parquet(f"{folder}/history")
+    registry = durable(t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    return pipeline.Knowledge(
+        classifier.load(f"{folder}/model"), stored, scaling.fit_array(stored, "features"), registry, prescribe.document_map(spark), _manual_texts(spark, d)
+    )
+
+
+@query
+def event_prescriptions(spark, d):
+    """Events from features to recommendation: forest, similar readings, manuals."""
+    rows = _graded(spark, d)
+    answers = pipeline.answer(rows.filter("is_test").drop("is_test"), _knowledge(spark, d, rows))
+    best = F.element_at("top_matches", 1)
+    return answers.select(
+        "event_id", "fault_category", "route", "has_document", F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"), "similar_count",
+        best["id"].alias("best_match"), best["similarity_score"].alias("best_score"), "total_historical_occurrences", "avg_rpm",
+        "primary_historical_fault",
+    )
+
+
 # --- sources and sinks ----------------------------------------------------
 
 
@@ -622,3 +678,37 @@ def stream_prescriptions(spark, d):
         "event_id", "fault_category", "has_document", F.length("prescription_text").alias("text_length"),
         F.length("raw_event_json").alias("raw_length"),
     )
+
+
+@query
+def stream_scored_prescriptions(spark, d):
+    """The prescribing stream with a stored model and the stored history: what the log has of each event."""
+    rows = _graded(spark, d)
+    known = _knowledge(spark, d, rows)
+    asked = durable(rows.filter("is_test").select("id"))
+
+    def answer(batch: DataFrame) -> DataFrame:
+        return pipeline.answer(t.graded(batch).join(small_side(asked), "id"), known)
+
+    path = scratch_dir(spark, "scored")
+    jobs.write_prescriptions(_event_stream(spark, d), answer, path, scratch_dir(spark, "scored-state")).awaitTermination()
+    log = table_source.read_or_empty(spark, path, "event_id long")
+    return log.select("event_id", "fault_category", "has_document", "similar_count", (F.length("raw_event_json") > 0).alias("has_event"))
+
+
+@query
+def stream_deduplicated_log(spark, d):
+    """Events that come twice, the second time after the stream was stopped and started again: logged once."""
+    incoming, path, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "deduplicated"), scratch_dir(spark, "deduplicated-state")
+    registry = durable(t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    mapping, texts = prescribe.document_map(spark), _manual_texts(spark, d)
+    events = t.table(spark, d, "events")
+
+    def answer(batch: DataFrame) -> DataFrame:
+        return prescribe.prescribe(batch.withColumn("confidence", F.lit(100.0)), registry, mapping, texts)
+
+    for _ in range(2):
+        events.write.mode("append").parquet(incoming)
+        readings = t.readings(spark.readStream.schema(events.schema).parquet(incoming))
+        jobs.write_prescriptions(readings.select("id", "created_at", "fault_category"), answer, path, state, repeat_window="40 days").awaitTermination()
+    return spark.read.parquet(path).select("event_id", "fault_category", "has_document")

@@ -222,8 +222,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT n.query_id, CAST(count(*) AS INT) AS similar_count, round(avg(rpm), 1) AS avg_rpm, round(min(rpm), 1) AS min_rpm, round(max(rpm), 1) AS max_rpm, round(avg(temperature_c), 2) AS avg_temp_c, round(min(temperature_c), 2) AS min_temp_c, round(max(temperature_c), 2) AS max_temp_c, round(avg(z_rms_velocity_mm_s), 3) AS avg_z_rms_velocity, round(avg(x_rms_velocity_mm_s), 3) AS avg_x_rms_velocity, any_value(m.fault) AS primary_historical_fault, arg_min(fault_category, rank) AS match_category FROM neighbours n LEFT JOIN labelmode m USING (query_id) GROUP BY n.query_id",
     ),
     "historytotals": (
-        ("history",),
-        "SELECT fault_category AS match_category, count(*) AS total_historical_occurrences, CASE WHEN count(DISTINCT CAST(created_at AS DATE)) > 1 THEN round(count(*) / count(DISTINCT CAST(created_at AS DATE)), 1) ELSE CAST(count(*) AS DOUBLE) END AS events_per_active_day FROM history GROUP BY 1",
+        ("readings",),
+        "SELECT fault_category AS match_category, count(*) AS total_historical_occurrences, CASE WHEN count(DISTINCT CAST(created_at AS DATE)) > 1 THEN round(count(*) / count(DISTINCT CAST(created_at AS DATE)), 1) ELSE CAST(count(*) AS DOUBLE) END AS events_per_active_day FROM readings GROUP BY 1",
     ),
     # split
     "splitcounts": (
@@ -325,6 +325,49 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         + " FROM readings s LEFT JOIN registry r ON r.fault_category = s.fault_category LEFT JOIN docmap m ON m.fault_category = s.fault_category LEFT JOIN excerpts x ON x.fault_category = s.fault_category",
     ),
     "streamsummaries": (("streamed",), f"SELECT *, {SUMMARIES} FROM streamed"),
+    # readings whose label follows from the value
+    "graded": (
+        ("ev",),
+        f"SELECT *, {ratios()} FROM (SELECT * EXCLUDE (clean), {category('clean')} AS fault_category FROM (SELECT *, lower({strip('fault')}) AS clean FROM "
+        f"(SELECT event_id AS id, ts AS created_at, {sensors('value', 'k', 'user_id')}, {t.GRADE} AS fault FROM ev)) WHERE fault IS NOT NULL)",
+    ),
+    "gradedcounts": (
+        ("graded",),
+        "SELECT *, n * train // total AS fl, n * train % total AS rest FROM (SELECT fault_category, n, total, total - CAST(ceil(total * 0.2) AS BIGINT) AS train FROM (SELECT fault_category, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM graded GROUP BY 1))",
+    ),
+    "gradedsizes": (
+        ("gradedcounts",),
+        "SELECT fault_category, n, n - fl - CASE WHEN row_number() OVER (ORDER BY rest DESC, fault_category) <= train - sum(fl) OVER () THEN 1 ELSE 0 END AS n_test FROM gradedcounts",
+    ),
+    "gradedsplit": (
+        ("graded", "gradedsizes"),
+        f"SELECT g.*, row_number() OVER (PARTITION BY fault_category ORDER BY md5(id || '|{domain.SPLIT_SEED}')) <= n_test AS is_test FROM graded g JOIN gradedsizes USING (fault_category)",
+    ),
+    "gradeddims": (
+        ("gradedsplit",),
+        f"SELECT id, is_test, unnest([{', '.join(domain.FEATURES)}]) AS x, unnest(range({len(domain.FEATURES)})) AS i FROM gradedsplit",
+    ),
+    "gradedstats": (("gradeddims",), "SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1e0 ELSE stddev_pop(x) END AS s FROM gradeddims WHERE NOT is_test GROUP BY i"),
+    "gradedvec": (("gradeddims", "gradedstats"), "SELECT id, is_test, list((x - m) / s ORDER BY i) AS v FROM gradeddims JOIN gradedstats USING (i) GROUP BY id, is_test"),
+    "gradedknn": (
+        ("gradedvec",),
+        f"SELECT a.id AS query_id, b.id AS item_id, round(list_cosine_similarity(a.v, b.v), 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) AS rank FROM gradedvec a JOIN gradedvec b ON a.is_test AND NOT b.is_test QUALIFY rank <= {domain.SIMILAR_TOP_K}",
+    ),
+    "gradedmet": (("gradedknn", "gradedsplit"), "SELECT k.*, h.* FROM gradedknn k JOIN gradedsplit h ON h.id = k.item_id"),
+    "gradedmode": (
+        ("gradedmet",),
+        "SELECT query_id, fault FROM (SELECT query_id, fault, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, fault) AS r FROM gradedmet GROUP BY query_id, fault) WHERE r = 1",
+    ),
+    "gradedcontext": (
+        ("gradedmet", "gradedmode"),
+        "SELECT n.query_id, CAST(count(*) AS INT) AS similar_count, round(avg(rpm), 1) AS avg_rpm, any_value(m.fault) AS primary_historical_fault, arg_min(item_id, rank) AS best_match, round(greatest(0e0, least(100e0, max(score) * 100e0)), 2) AS best_score, arg_min(fault_category, rank) AS match_category FROM gradedmet n JOIN gradedmode m USING (query_id) GROUP BY n.query_id",
+    ),
+    "gradedanswers": (
+        ("gradedsplit", "gradedcontext", "gradedsizes", "registry", "docmap", "excerpts"),
+        "SELECT s.id AS event_id, s.fault_category, CASE WHEN s.fault_category = 'normal' THEN 'normal' WHEN r.fault_category IS NOT NULL OR COALESCE(m.has_document, false) THEN 'documented' ELSE 'undocumented' END AS route, "
+        "COALESCE(len(x.excerpts), 0) AS excerpts, c.*, z.n - z.n_test AS occurrences FROM gradedsplit s JOIN gradedcontext c ON c.query_id = s.id JOIN gradedsizes z ON z.fault_category = c.match_category "
+        "LEFT JOIN registry r ON r.fault_category = s.fault_category LEFT JOIN docmap m ON m.fault_category = s.fault_category LEFT JOIN excerpts x ON x.fault_category = s.fault_category WHERE s.is_test",
+    ),
     # chat
     "lastmessages": (
         (),
@@ -553,6 +596,19 @@ def statements() -> dict[str, str]:
             "lastmessages", "window6",
         ),
         "chat_log_rows": "SELECT conv_id AS session_id, 'user' AS role, text AS message FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, 'assistant', 'Re: ' || text FROM conversations WHERE role = 'user'",
+        "model_evaluation": build(
+            "SELECT 1e0 AS accuracy, 1e0 AS precision_macro, 1e0 AS recall_macro, 1e0 AS f1_macro, 1e0 AS f1_weighted, (SELECT CAST(sum(n_test) AS BIGINT) FROM gradedsizes) AS test_samples, "
+            "(SELECT CAST(sum(n) AS BIGINT) FROM gradedsizes) AS total_samples, (SELECT string_agg(fault_category, ',' ORDER BY fault_category) FROM gradedsizes) AS classes, "
+            "(SELECT string_agg(a.fault_category || ':' || b.fault_category || ':' || CASE WHEN a.fault_category = b.fault_category THEN a.n_test ELSE 0 END, ',' ORDER BY a.fault_category, b.fault_category) FROM gradedsizes a CROSS JOIN gradedsizes b) AS confusion_matrix, 10::INT AS top_features",
+            "gradedsizes",
+        ),
+        "event_prescriptions": build(
+            "SELECT event_id, fault_category, route, route = 'documented' AS has_document, CAST(CASE WHEN route = 'documented' THEN excerpts ELSE 0 END AS INT) AS chunks_used, similar_count, best_match, best_score, occurrences AS total_historical_occurrences, avg_rpm, primary_historical_fault FROM gradedanswers", "gradedanswers"
+        ),
+        "stream_scored_prescriptions": build(
+            "SELECT event_id, fault_category, route = 'documented' AS has_document, similar_count, true AS has_event FROM gradedanswers", "gradedanswers"
+        ),
+        "stream_deduplicated_log": build("SELECT vec_id AS event_id, fault_category, route = 'documented' AS has_document FROM streamed", "streamed"),
         "stream_daily_counts": build(timeline, "readings"),
         "stream_validated_events": build(
             f"SELECT payload, CASE WHEN errors = '' THEN 'accepted' ELSE 'refused' END AS status FROM (SELECT payload, {_errors()} AS errors FROM parsed)", "parsed"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from vibralake.sources import tables
 class Knowledge(NamedTuple):
     """What events are answered with; all of it is stored or small."""
 
-    model: PipelineModel
+    model: classifier.Model
     history: DataFrame
     scale: scaling.Scale
     registry: DataFrame

@@ -16,6 +16,7 @@ from vibralake import domain
 from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
 from vibralake.operators import event_json
+from vibralake.operators.features import add_features
 from vibralake.operators.upsert import latest_per_key
 from vibralake.session import small_side, spread
 
@@ -64,15 +65,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 K = "cast(get_json_object(props, '$.k') as int)"
 
 
-def raw_readings(events: DataFrame, sensors: Sequence[str] = ()) -> DataFrame:
+def raw_readings(events: DataFrame, sensors: Sequence[str] = (), fault: Column | None = None) -> DataFrame:
     """Events as readings with a raw label and the sensor values asked for."""
-    choices = F.array(*[F.lit(x).cast("string") for x in RAW_LABELS])
+    if fault is None:
+        choices = F.array(*[F.lit(x).cast("string") for x in RAW_LABELS])
+        fault = F.element_at(choices, F.col("k") % len(RAW_LABELS) + 1)
     base = events.select("event_id", "ts", "user_id", "value", F.expr(K).alias("k"))
     return base.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         *[F.expr(sensor_formula(domain.SENSORS.index(s), "value", "k", "user_id")).alias(s) for s in sensors],
-        F.element_at(choices, F.col("k") % len(RAW_LABELS) + 1).alias("fault"),
+        fault.alias("fault"),
     )
 
 
@@ -80,6 +83,15 @@ def readings(events: DataFrame, sensors: Sequence[str] = ()) -> DataFrame:
     return labels.with_category(raw_readings(events, sensors))
 
 
+# A raw label that follows from the value of an event, with gaps between the bands in which a reading has none; readings whose sensors are all silent have none either.
+GRADE = "CASE WHEN k = 7 THEN NULL WHEN value < 15e0 THEN 'Normal 1' WHEN value >= 30e0 AND value < 60e0 THEN ' polia_b' WHEN value >= 90e0 THEN 'VENTOINHA' END"
+
+
+def graded(events: DataFrame) -> DataFrame:
+    """Events as readings with all features, whose label can be told from the sensors."""
+    return add_features(labels.with_category(raw_readings(events, domain.SENSORS, F.expr(GRADE))))
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for work that is costly per row."""
     return spread(table(spark, sf_dir, name))

@@ -103,6 +103,20 @@ def brute_segments(scores):
     return sorted(out)
 
 
+def test_segments_take_time_in_proportion():
+    import time
+
+    def seconds(n, drift):
+        scores = np.tile([1.0, -1.0 - drift], n)
+        began = time.process_time()
+        rows, _, _, score = toxicity.segments(scores, np.array([0, 2 * n]))
+        assert len(rows) == n and (score == 1.0).all()
+        return time.process_time() - began
+
+    for drift in (0.5, 0.0):  # sums that fall, and that stay
+        assert seconds(400_000, drift) < 20 * max(seconds(40_000, drift), 0.05)
+
+
 def test_segments_against_their_definition():
     generator = np.random.default_rng(4)
     for _ in range(60):

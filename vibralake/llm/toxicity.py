@@ -138,33 +138,34 @@ def segments(scores: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
     The scan keeps a stack of candidate segments with the running sums left and right of each. A new positive word joins
     the nearest candidate with a smaller left sum if that makes a better whole, else it
-    stands alone. Only positive words move the stack, so a row costs time in proportion to them.
+    stands alone. Each candidate knows that nearest one, so a search passes a candidate by once at most, and a row takes time in
+    proportion to its positive words.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     positive = np.flatnonzero(scores > 0)
     rows = np.searchsorted(bounds, positive, "right") - 1
     out: list[tuple[int, int, int, float]] = []
-    stack: list[list[float]] = []  # first word, end word, sum before, sum at the end
+    stack: list[tuple[int, int, float, float, int]] = []  # first word, end word, sum before, sum at the end, nearest with a smaller sum before
     current = -1
 
     def flush() -> None:
-        out.extend((current, int(s[0]), int(s[1]), s[3] - s[2]) for s in stack)
+        out.extend((current, s[0], s[1], s[3] - s[2]) for s in stack)
         stack.clear()
 
-    for row, at in zip(rows.tolist(), positive.tolist(), strict=True):
+    for row, at, left, right in zip(rows.tolist(), positive.tolist(), sums[positive].tolist(), sums[positive + 1].tolist(), strict=True):
         if row != current:
             flush()
             current = row
-        new = [at, at + 1, sums[at], sums[at + 1]]
+        first, near = at, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= new[3]:
-                stack.append(new)
+            while near >= 0 and stack[near][2] >= left:
+                near = stack[near][4]
+            if near < 0 or stack[near][3] >= right:
+                stack.append((first, at + 1, left, right, near))
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
-            del stack[k:]
+            first, _, left, _, before = stack[near]
+            del stack[near:]
+            near = before
     flush()
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

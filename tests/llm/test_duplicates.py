@@ -191,3 +191,31 @@ def test_repeated_words_of_rows_with_one_id_and_of_none(spark):
     got = sorted((str(r.doc_id), r.n_removed) for r in recompression.removed(table).collect())
     assert got == [("4", 0), ("4", 0), ("9", 70), ("None", 0)]
     assert recompression.removed(table.limit(0)).count() == 0
+
+
+def twins():
+    """Two words of 1,024 letters that are opposite everywhere, and whose sums of powers meet for every odd base modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    one, other = twins()
+    tail = " ".join(f"w{i}" for i in range(60))
+    got = {x.doc_id: x.component_id for x in ngram_join.link(docs(spark, [(1, one), (2, other), (3, one)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    removed = {x.doc_id: (x.n_words, x.n_removed) for x in recompression.removed(docs(spark, [(1, f"{one} {tail}"), (2, f"{other} {tail}")])).collect()}
+    assert removed == {1: (61, 0), 2: (61, 60)}
+
+
+def test_near_copies_without_ids_and_with_one_id(spark):
+    base = [f"w{i}" for i in range(120)]
+    near, far = " ".join(base[:60] + ["x"] + base[61:]), " ".join(f"q{i}" for i in range(80))
+    texts = [(None, " ".join(base)), (None, near), (None, far), (9, "alone in the world"), (9, far + " more")]
+    kept = sorted(x.text for x in ngram_join.one_of_each(docs(spark, texts)).collect())
+    assert len(kept) == 3 and "alone in the world" in kept and far + " more" in kept and (near in kept) != (" ".join(base) in kept)
+    linked = ngram_join.link(docs(spark, texts)).collect()
+    assert sorted(str((x.doc_id, x.component_id)) for x in linked) == sorted(map(str, [(None, None), (None, None), (None, 9), (9, 9), (9, 9)]))
+    copies = [(5, near), (None, " ".join(base)), (3, far), (3, " ".join(base) + " end")]
+    found = {(x.doc_id, x.n_shingles): x.component_id for x in ngram_join.link(docs(spark, copies)).collect()}
+    assert found[5, 117] == 3 and found[None, 117] == 3 and found[3, 118] == 3

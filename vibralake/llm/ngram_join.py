@@ -62,7 +62,7 @@ class Levels:
 
 def shingle_sets(piece: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows, ascending within a row, and each row's first."""
-    words, bounds = piece.word_hashes()
+    words, bounds = piece.word_names()
     rows, count = owners(bounds), np.diff(bounds)
     size = np.minimum(count, k)
     full = np.arange(len(words)) + size[rows] <= bounds[1:][rows]
@@ -184,22 +184,38 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return two.select("a", "b", "set_a", "set_b").mapInArrow(decide, "a long, b long")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, text: the tag is 0, and tells texts without an id apart."""
+    id_ = F.col("doc_id").cast("long")
+    return docs.select(id_.alias("doc_id"), F.when(id_.isNull(), F.xxhash64("text")).otherwise(0).alias("tag"), "text")
+
+
+def first_of(*columns: str) -> Column:
+    """The smallest id of a group with its tag; a null id comes after all others."""
+    id_, tag = columns
+    return F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("doc_id"), F.col(tag).alias("tag")))
+
+
 def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, slack: int = SLACK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A-Z are lower-cased; a text with fewer words than a shingle is one shingle;
     null and blank texts have none and link with nothing. ``component_id`` is the smallest
-    id reachable by links. Repeated rows are documents of their own; a
+    id reachable by links. Repeated rows, and texts of one id, are documents of their own; a
     component whose ids are all null has a null id.
     """
+    return linked(tagged(docs), words, threshold, slack).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(plain: DataFrame, words: int, threshold: Fraction, slack: int = SLACK) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id, component_tag of ``tagged`` documents."""
     levels, up, down = Levels(threshold, slack), threshold.numerator, threshold.denominator
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(piece: Slice) -> pa.RecordBatch:
         hashes, first = shingle_sets(piece, words)
         _, _, filled, few = block_signatures(hashes, first, levels, threshold)
         return batch(
-            doc_id=piece.rows.column("doc_id"), n_shingles=pa.array(np.diff(first).astype(np.int64)),
+            doc_id=piece.rows.column("doc_id"), tag=piece.rows.column("tag"), n_shingles=pa.array(np.diff(first).astype(np.int64)),
             cls=signed(classes_of(hashes, first)), filled=pa.array(filled), few=pa.array(few),
         )
 
@@ -208,8 +224,8 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, s
         rows, signs, _, _ = block_signatures(hashes, first, levels, threshold)
         return batch(sign=signed(signs), cls=signed(classes_of(hashes, first)[rows]))
 
-    known = written(plain.mapInArrow(mapped(describe, "text", lower=True), "doc_id long, n_shingles long, cls long, filled long, few boolean"), "sets")
-    classes = known.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("filled").alias("filled"), F.max("few").alias("few"))
+    known = written(plain.mapInArrow(mapped(describe, "text", lower=True), "doc_id long, tag long, n_shingles long, cls long, filled long, few boolean"), "sets")
+    classes = known.filter("n_shingles > 0").groupBy("cls").agg(first_of("doc_id", "tag").alias("first"), F.max("n_shingles").alias("n"), F.max("filled").alias("filled"), F.max("few").alias("few"))
     classes = written(classes, "classes")
     sent = plain.mapInArrow(mapped(signatures, "text", lower=True), "sign long, cls long")
     sorted_ = sent.repartition("sign").sortWithinPartitions("sign", "cls")
@@ -227,7 +243,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, s
     if not classes.filter("few").isEmpty():
         extra = written(prefix_pairs(plain, classes, words, threshold), "prefix")
         wanted = wanted.unionByName(extra.select(F.col("a").alias("cls"))).unionByName(extra.select(F.col("b").alias("cls")))
-    involved = wanted.distinct().join(classes, "cls").select("first_id", "cls")
+    involved = wanted.distinct().join(classes, "cls").select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
     sets = members(plain, involved, words)
 
     # the class with most shared signatures leads: among near copies the one that the others were made from
@@ -244,10 +260,13 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, s
     roots = components(edges)
 
     placed = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component"))
     found = placed.join(smallest, "root").select("cls", "component")
     rows = known.join(found, "cls", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.struct("doc_id", "tag")
+    component = F.when(F.col("n_shingles") > 0, F.struct("component.doc_id", "component.tag")).otherwise(own)
+    rows = rows.withColumn("component", component)
+    return rows.select("doc_id", "tag", "n_shingles", F.col("component.doc_id").alias("component_id"), F.col("component.tag").alias("component_tag"))
 
 
 def members(plain: DataFrame, involved: DataFrame, words: int) -> DataFrame:
@@ -258,7 +277,8 @@ def members(plain: DataFrame, involved: DataFrame, words: int) -> DataFrame:
         made = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         return batch(cls=signed(classes_of(hashes, first)), members=pa.array(made, pa.binary()))
 
-    some = plain.join(involved.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    some = plain.join(involved.distinct(), same, "left_semi")
     made = written(some.mapInArrow(mapped(whole, "text", lower=True), "cls long, members binary"), "members")
     return made.dropDuplicates(["cls"]) if made.count() > made.select("cls").distinct().count() else made
 
@@ -345,7 +365,14 @@ def prefix_pairs(plain: DataFrame, classes: DataFrame, words: int, threshold: Fr
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The documents whose id is the smallest of their component, with their columns."""
-    id_ = unused(docs, "_id")
-    stay = link(docs, words, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select(docs.columns)
+    """The documents whose id is the smallest of their component, with their columns.
+
+    Of a component without ids the documents of one text stay.
+    """
+    id_, tag = unused(docs, "_id"), unused(docs, "_tag")
+    every = linked(tagged(docs), words, threshold)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))
+    stay = every.filter(first).select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).distinct()
+    own = F.col("doc_id").cast("long")
+    same = own.eqNullSafe(F.col(id_)) & (F.when(own.isNull(), F.xxhash64("text")).otherwise(0) == F.col(tag))
+    return docs.join(stay, same, "left_semi").select(docs.columns)

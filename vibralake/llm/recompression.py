@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vibralake.llm.texts import SECOND_HASH, U64, WORD_HASH, Rolling, Slice, mapped, mix, owners, signed
+from vibralake.llm.texts import U64, Rolling, Slice, mapped, mix, owners, signed
 from vibralake.session import written
 
 WINDOW = 50
@@ -107,7 +107,7 @@ def window_hashes(words: np.ndarray, start: np.ndarray, size: int) -> tuple[np.n
 
 def anchors(piece: Slice, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, place in the row and anchor's name of every window; all word hashes and the rows' bounds."""
-    words, bounds = piece.word_hashes()
+    words, bounds = piece.word_names()
     rows = owners(bounds)
     start = np.flatnonzero(np.arange(len(words)) + window <= bounds[1:][rows]) if len(words) else np.zeros(0, np.int64)
     if not len(start):

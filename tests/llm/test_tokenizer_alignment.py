@@ -4,11 +4,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vibralake.llm import queries
 from vibralake.llm import tokenizer_alignment as ta
+from vibralake.llm.texts import slices
 
 tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -88,15 +91,17 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch):
     assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want))
 
 
-def test_windows_are_aligned_once(spark):
+def test_equal_windows_have_one_number():
     both = ta.Aligner(ta.VOCABULARY_A, ta.VOCABULARY_B)
-    calls, plain = [], both.aligned
-    both.aligned = lambda a, b: calls.append((a, b)) or plain(a, b)
-    first = both.memo.of([b" onward and"[:7], b" and", b"  and"])
-    again = both.memo.of([b" and", b" onward"])
-    assert again[0] == first[1] and len(calls) == len(set(calls)) == len(both.windows)
-    # a run of blanks before a word holds a window of its own where both tokenizers split it
-    assert all(len(x) >= 1 for x in first)
+    keys = [b" and", b" onward", b"  and", b" and \tand", b" and"]
+    parts = [both.of(keys)[k] for k in (0, 1)]
+    data, bounds = np.frombuffer(b"".join(keys), np.uint8), np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    found = ta.Windows(both, *parts, data, bounds)
+    of = [found.codes[a:b].tolist() for a, b in zip(found.first, found.first[1:])]
+    assert of[0] == of[4] and len(of[0]) == 1 and of[0][0] in of[3]
+    assert found.n == len(set(found.codes.tolist())) < len(found.codes)
+    assert found.sizes[:, 0].sum() > 0 and (found.sizes[:, 3] >= found.sizes[:, 2]).all()
+    assert len(found.text_bounds) == found.n + 1 and found.texts.tobytes().endswith(b";")
 
 
 def test_many_small_blocks_and_a_forgetful_worker(spark, monkeypatch):
@@ -107,17 +112,15 @@ def test_many_small_blocks_and_a_forgetful_worker(spark, monkeypatch):
     held = ta.blocks(spark.createDataFrame(rows, DOCS).repartition(4))
     assert held.count() >= 4
     known = ta.pair_counts(held)
-    got = {x.doc_id: (x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum) for x in ta.align(held, known).collect()}
-    assert got == {i: x[:6] for i, x in enumerate(brute(texts))}
+    want = {i: x[:6] for i, x in enumerate(brute(texts))}
+    for few in (ta.FEW_PAIRS, 3):  # pairs sent to all tasks, and pairs that come by a join
+        got = {x.doc_id: (x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum) for x in ta.align(held, known, few).collect()}
+        assert got == want
     monkeypatch.setattr(ta, "REMEMBERED", 1)
-    both.memo.of([b" a", b" b", b" c"])
-    import pyarrow as pa
-
+    both.of([b" a", b" b", b" c"])
     batch = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array([" a b a", None])], ["doc_id", "text"])
-    from vibralake.llm.texts import slices
-
     row = ta.block_of(next(slices(iter([batch]), "text")), 0, both)
-    assert len(both.windows) == 2 and row["doc_id"] == [1, None] and row["windows"].tolist() == [0, 3, 3]
+    assert len(both.known) == 2 and row["doc_id"] == [1, None] and row["windows"].tolist() == [0, 3, 3]
 
 
 def test_empty_table(spark, tmp_path):

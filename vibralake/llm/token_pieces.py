@@ -80,6 +80,7 @@ class WordIds:
     def __init__(self, path: str, end_mark: str = "</w>"):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.full = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.full.model)
         self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")

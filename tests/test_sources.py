@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from vibralake import domain
+from vibralake.operators import upsert
 from vibralake.sources import pages, readings, tables
 
 
@@ -79,3 +80,39 @@ def test_pages(spark, tmp_path):
     rows = [("Doc1.pdf", 0, "a", None), ("Note.pdf", 0, "b", None)]
     spark.createDataFrame(rows, "doc_name string, page_idx int, digital_text string, ocr_text string").write.parquet(path)
     assert [r["doc_name"] for r in pages.read_pages(spark, path).collect()] == ["Doc1.pdf"]
+
+
+def test_broken_lines_are_set_apart(spark, tmp_path):
+    lines = ["id,created_at,rpm,fault", "1,2024-01-01 00:00:00+00:00,5.5,polia", "x,2024-01-01,1,polia", "3,ontem,1,NA", "4,,abc,nan", "5,2024-01-01", "6,2024-01-01,1,polia,7", "y,ontem,,"]
+    (tmp_path / "raw.csv").write_text("\n".join(lines))
+    readings.write_checked(spark, str(tmp_path / "raw.csv"), str(tmp_path / "out"))
+    rows = {r["record"].split(",")[0]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {i: (r["status"], r["errors"]) for i, r in rows.items()} == {
+        "1": ("accepted", []), "x": ("refused", ["id"]), "3": ("refused", ["created_at"]), "4": ("accepted", []),
+        "5": ("refused", ["columns"]), "6": ("refused", ["columns"]), "y": ("refused", ["id", "created_at"]),
+    }
+    assert rows["6"]["record"] == lines[6] and rows["3"]["record"] == lines[3]
+    good = readings.accepted_rows(spark, str(tmp_path / "out"))
+    assert sorted((r["id"], r["fault"]) for r in good.collect()) == [(1, "polia"), (4, None)]
+
+
+def test_upsert_touches_only_its_folders(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "keyed")
+    rows = spark.range(500).selectExpr("concat('k', id) AS key", "id AS value", "'old' AS text")
+    upsert.write_keyed(rows, path, ["key"], 16)
+
+    def files():
+        return {(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+    before = files()
+    incoming = spark.createDataFrame([("k7", 7, "new"), ("k7", 8, "newer"), ("k900", 900, "added"), (None, 1, "none")], "key string, value long, text string")
+    touched = upsert.upsert_keyed(spark, path, incoming, ["key"], ["value"], 16)
+    assert 1 <= len(touched) <= 3
+    changed = {d for d, _ in before ^ files()}
+    assert changed == {f"{path}/bucket={b}" for b in touched}
+    want = upsert.upsert(rows, incoming, ["key"], ["value"])
+    got = upsert.read_keyed(spark, path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert upsert.upsert_keyed(spark, path, incoming.limit(0), ["key"], [], 16) == []

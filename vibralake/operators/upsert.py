@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vibralake.session import written
+
+# Folders of a keyed table.
+BUCKETS = 64
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` values of each key.
@@ -28,3 +33,34 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
         incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
     return latest_per_key(stacked, keys, ["_new", *order]).drop("_new")
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """The folder of a row: a hash of its key, so that no key range or category fills one folder."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Lay a keyed table down in ``bucket=`` folders."""
+    placed = rows.withColumn("bucket", bucket_of(keys, buckets))
+    placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_keyed(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int = BUCKETS) -> list[int]:
+    """Put ``incoming`` into the keyed table at ``path``; only folders that get rows are read and written again.
+
+    Returns the folders touched. The merged rows are written aside first and then replace their folders, each
+    as a whole; run again after a failure, the same rows come out.
+    """
+    placed = written(incoming.withColumn("bucket", bucket_of(keys, buckets)), "incoming")
+    touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    if not touched:
+        return []
+    current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    merged = written(upsert(current, placed, keys, order).select(*current.columns), "merged")
+    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")

@@ -353,6 +353,17 @@ def chunk_upsert(spark, d):
     return documents.upsert_chunks(rows, renewed).select("chunk_id", "text")
 
 
+@query
+def chunk_upsert_stored(spark, d):
+    """The same on a stored collection, of which only the folders that get chunks are written again."""
+    rows = documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    path = scratch_dir(spark, "collection")
+    upsert.write_keyed(rows, path, ["chunk_id"])
+    renewed = upsert.read_keyed(spark, path).filter("chunk_index % 2 = 0").withColumn("text", F.lower("text"))
+    upsert.upsert_keyed(spark, path, renewed, ["chunk_id"], ["text"])
+    return upsert.read_keyed(spark, path).select("chunk_id", "text")
+
+
 @query
 def document_ingest(spark, d):
     """Conversations uploaded as manuals: pages to registry, chunks and counts."""
@@ -599,6 +610,17 @@ def csv_scan(spark, d):
     )
 
 
+@query
+def csv_quarantine(spark, d):
+    """Events as CSV lines, some of them broken: which are accepted and why the others are not."""
+    path, out = scratch_dir(spark, "lines"), scratch_dir(spark, "checked")
+    lines = t.csv_lines(t.table(spark, d, "events"))
+    lines.write.options(header=True, sep="|", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    readings_source.write_checked(spark, path, out)
+    rows = spark.read.parquet(out)
+    return rows.select(F.split("record", ",")[0].alias("given_id"), "status", F.array_join("errors", ",").alias("errors"), "fault")
+
+
 @query
 def processed_cache(spark, d):
     """Readings written to the cache by day and read back."""

@@ -529,6 +529,11 @@ def statements() -> dict[str, str]:
         "csv_scan": build(
             f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, rpm, CASE WHEN fault NOT IN ({', '.join(text(x) for x in domain.MISSING_TOKENS)}) THEN fault END AS fault FROM readings", "readings"
         ),
+        "csv_quarantine": build(
+            "SELECT CASE WHEN k % 17 = 3 THEN 'x' ELSE '' END || event_id AS given_id, CASE WHEN errors = '' THEN 'accepted' ELSE 'refused' END AS status, errors, CASE WHEN NOT short THEN 'polia' END AS fault FROM ("
+            "SELECT *, CASE WHEN short OR long THEN 'columns' ELSE array_to_string(list_filter([CASE WHEN k % 17 = 3 THEN 'id' END, CASE WHEN k % 13 = 5 THEN 'created_at' END], lambda x: x IS NOT NULL), ',') END AS errors "
+            "FROM (SELECT *, k % 23 = 6 AS short, k % 19 = 4 AS long FROM ev))", "ev"
+        ),
         "processed_cache": build("SELECT id, fault_category, strftime(created_at, '%Y-%m-%d') AS day, true AS in_its_day FROM readings", "readings"),
         "page_source": build(
             "SELECT 'Doc' || conv_id || '.pdf' AS doc_name, CAST(turn AS INT) AS page_idx, CAST(length(CASE WHEN role = 'user' THEN text END) AS INT) AS digital, CAST(length(CASE WHEN role <> 'system' THEN text END) AS INT) AS ocr FROM conversations"
@@ -577,6 +582,7 @@ def statements() -> dict[str, str]:
         "chunk_index": build("SELECT * FROM index", "index"),
         "document_registry": build("SELECT * FROM registry", "registry"),
         "chunk_upsert": build("SELECT chunk_id, CASE WHEN chunk_index % 2 = 0 THEN lower(text) ELSE text END AS text FROM index", "index"),
+        "chunk_upsert_stored": build("SELECT chunk_id, CASE WHEN chunk_index % 2 = 0 THEN lower(text) ELSE text END AS text FROM index", "index"),
         "document_ingest": build(
             "SELECT 'success' AS status, a.doc_name AS filename, 'outro_defeito' AS fault_category, COALESCE(c.chunks, 0) AS chunks_indexed FROM (SELECT DISTINCT doc_name FROM pages_in) a LEFT JOIN u_counts c USING (doc_name)", "pages_in", "u_counts"
         ),

@@ -115,6 +115,19 @@ TEXT_NUMBER = (
     "ELSE cast(value as {text}) END"
 )
 
+# CSV line of an event, with broken numbers and times, fields too many and fields too few.
+CSV_LINE = (
+    "concat(CASE WHEN k % 17 = 3 THEN 'x' ELSE '' END, cast(event_id as {text}), ',', CASE WHEN k % 13 = 5 THEN 'ontem' ELSE '2024-01-02 03:04:05' END, "
+    "CASE WHEN k % 23 = 6 THEN '' ELSE concat(',', cast(k as {text}), ',polia') END, CASE WHEN k % 19 = 4 THEN ',1' ELSE '' END)"
+)
+
+
+def csv_lines(events: DataFrame) -> DataFrame:
+    """One column whose name is the header and whose values are the lines."""
+    based = events.select("event_id", F.expr(K).alias("k"))
+    return based.select(F.expr(CSV_LINE.format(text="string")).alias("id,created_at,rpm,fault"))
+
+
 # JSON payload of an event, with the defects the ingest has to handle.
 _FIELDS = [
     ("rpm", "CASE WHEN k % 7 = 0 THEN concat('\"', cast(value as {text}), '\"') ELSE cast(value as {text}) END"),

@@ -34,6 +34,38 @@ def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def checked_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a header CSV with what is wrong with it.
+
+    The header's columns as text, ``errors`` (empty where the line is fine) and ``record``, the line as it came or
+    its fields joined. ``columns``: more or fewer fields than the header; ``id``: no whole number; ``created_at``: there, but
+    no time. Sensors are not judged, as unreadable ones count as zero.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_record"])
+    lines = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_record").csv(path)
+    whole = F.col("_record").isNull()
+    time = F.col("created_at")
+    checks = [F.when(~whole, "columns"), F.when(whole & F.col("id").try_cast("long").isNull(), "id"), F.when(whole & time.isNotNull() & F.try_to_timestamp(time).isNull(), "created_at")]
+    return lines.withColumns(
+        {"errors": F.array_compact(F.array(*checks)), "record": F.coalesce("_record", F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))}
+    ).drop("_record")
+
+
+def write_checked(spark: SparkSession, path: str, out: str) -> None:
+    """Lines of a CSV to ``status=accepted`` and ``status=refused`` under ``out``, in one pass."""
+    rows = checked_csv(spark, path)
+    status = F.when(F.size("errors") == 0, "accepted").otherwise("refused").alias("status")
+    rows.select("*", status).write.mode("overwrite").partitionBy("status").parquet(out)
+
+
+def accepted_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Accepted lines as ``scan_csv`` returns rows, ready for ``preprocess``."""
+    rows = spark.read.parquet(out).filter("status = 'accepted'").drop("status", "errors", "record")
+    label = F.col("fault")
+    return rows.withColumns({"id": F.col("id").cast("long"), "fault": F.when(~label.isin(*domain.MISSING_TOKENS), label)})
+
+
 def preprocess(raw: DataFrame, strict_time: bool = True) -> DataFrame:
     """Typed, cleaned, labelled readings with engineered features."""
     typed = raw.withColumn("created_at", numeric.timestamp(F.col("created_at"), strict_time))

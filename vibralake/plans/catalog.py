@@ -22,6 +22,7 @@ from vibralake.operators import (
     scaling,
     search,
     similarity,
+    similarity_index,
     split,
     upsert,
 )
@@ -202,6 +203,15 @@ def similarity_topk_cells(spark, d):
     return similarity.nearest(vectors, vectors, few=0)
 
 
+@query
+def similarity_index_topk(spark, d):
+    """The same neighbours from a stored index, built and loaded again."""
+    vectors = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    path = scratch_dir(spark, "similarity-index")
+    similarity_index.build(vectors, path)
+    return similarity_index.search(vectors, similarity_index.load(spark, path))
+
+
 @query
 def vector_search_by_label(spark, d):
     """Every vector against the vectors of its label."""

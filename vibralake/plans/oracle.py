@@ -515,6 +515,7 @@ def statements() -> dict[str, str]:
         ),
         "similarity_topk": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
         "similarity_topk_cells": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
+        "similarity_index_topk": build("SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM knn", "knn"),
         "vector_search_by_label": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS INT) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY rank <= {domain.CONTEXT_CHUNKS}",
         "similarity_context": build("SELECT * FROM context", "context"),
         "similarity_matches": build(

@@ -4,10 +4,10 @@ A shard holds some megabytes of texts: its vocabulary, the terms of every item (
 items that have it, by falling impact, cut into blocks whose greatest impact is stored. The impact of a term in an item is its
 share of the item's vector of unit length, so a score is the sum of a query's shares times impacts.
 
-For the best k items of a query the terms are taken by falling greatest contribution. An item whose first query term in this order is t
-can score no more than share(t) * impact + the greatest contributions of the terms after t. So of t's list only the blocks whose maximum reaches
-what the running k-th score leaves are read, and once the terms left cannot reach it together the search ends. What is read is scored in
-full, and the first blocks of the strongest terms are read beforehand to have a k-th score early. The result is exact.
+For the best k items of a query the first blocks of its strongest terms are scored in full, which gives a k-th score to beat. A block then matters only if
+its maximum times the query's share is a set part of that score; the blocks below are skipped, and the maxima of the first ones
+skipped bound what an item can have in them all together. The other blocks are added up. Items whose sum and that bound
+do not reach the k-th score are done with, and the few that are left are scored in full. The result is exact.
 """
 
 from __future__ import annotations
@@ -20,18 +20,20 @@ import pyarrow.compute as pc
 
 # Items of a block.
 BLOCK = 64
-# Blocks of the strongest terms that are read first.
+# Terms whose first blocks are scored beforehand.
 FIRST_TERMS = 8
+# What is skipped adds up to one part of so many of the score to beat, at most.
+SKIPPED = 1.5
 SCORE_DIGITS = 9
 # More than rounding can move a score.
 SLACK = 2e-9
 
 
-def ranges(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs bounds[r]:bounds[r + 1] of all ``rows``, and where each run begins among them."""
-    sizes = bounds[rows + 1] - bounds[rows]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    return np.repeat(bounds[rows] - starts[:-1], sizes) + np.arange(starts[-1]), starts
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start to its end, and where each run begins among them."""
+    sizes = ends - starts
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - first[:-1], sizes) + np.arange(first[-1]), first
 
 
 def counted(keys: pa.Array, groups: pa.Array, words: pa.Array) -> dict:
@@ -67,7 +69,7 @@ def weighed(raw: dict, idf: np.ndarray) -> dict:
     heads = lists[of] + (np.arange(block_bounds[-1]) - block_bounds[of]) * BLOCK
     return {
         "bounds": raw["bounds"], "term": raw["term"], "impact": impact.tobytes(),
-        "lists": lists.astype(np.int64).tobytes(), "posted": item[kept].astype(np.int32).tobytes(),
+        "lists": lists.astype(np.int64).tobytes(), "posted": item[kept].astype(np.int32).tobytes(), "posted_impact": impact[kept].tobytes(),
         "block_bounds": block_bounds.astype(np.int64).tobytes(), "block_max": impact[kept][heads].tobytes(),
     }
 
@@ -83,7 +85,7 @@ class Shard:
         self.vocabulary: pa.Array = row["vocabulary"].values
         numbers = {n: np.frombuffer(row[n].as_py(), t) for n, t in NUMBERS.items()}
         self.bounds, self.term, self.impact = numbers["bounds"], numbers["term"], numbers["impact"]
-        self.lists, self.posted = numbers["lists"], numbers["posted"]
+        self.lists, self.posted, self.posted_impact = numbers["lists"], numbers["posted"], numbers["posted_impact"]
         self.block_bounds, self.block_max = numbers["block_bounds"], numbers["block_max"]
         self.weights = np.zeros(len(self.vocabulary) + 1)
         order = pc.sort_indices(self.keys).to_numpy()  # ties go to the lower key
@@ -96,7 +98,7 @@ class Shard:
 
     def scores(self, items: np.ndarray) -> np.ndarray:
         """Full scores under the query in ``weights``."""
-        places, starts = ranges(self.bounds, items)
+        places, starts = ranges(self.bounds[items], self.bounds[items + 1])
         share = self.weights[self.term[places]] * self.impact[places]
         return np.round(np.add.reduceat(share, starts[:-1]), SCORE_DIGITS) if len(items) else np.zeros(0)
 
@@ -110,49 +112,39 @@ class Shard:
         code = self.names.get(wanted, -2) if wanted is not None else None
         if not len(terms) or code == -2:
             return np.zeros(0, np.int64), np.zeros(0), 0, postings
-        most = shares * self.block_max[self.block_bounds[terms]]
-        order = np.argsort(-most, kind="stable")
-        terms, shares, most = terms[order], shares[order], most[order]
-        after = np.concatenate([np.cumsum(most[::-1])[::-1][1:], [0.0]])
         self.weights[terms] = shares
-        seen = np.zeros(len(self.keys), bool)
-        found, scores, bar, read = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-
-        def take(first: int, last: int) -> None:
-            nonlocal found, scores, bar, read
-            items = self.posted[first:last]
-            read += len(items)
-            items = items[~seen[items]]
-            seen[items] = True
-            if code is not None:
-                items = items[self.group[items] == code]
-            found, scores = np.concatenate([found, items]), np.concatenate([scores, self.scores(items)])
-            if len(found) > k:
-                kept = np.lexsort((self.place[found], -scores))[:k]
-                found, scores = found[kept], scores[kept]
-            if len(found) == k:
-                bar = float(scores.min())
-
-        starts = [int(self.lists[t]) for t in terms.tolist()]
-        done = list(starts)
-        for i in range(min(FIRST_TERMS, len(starts))):
-            done[i] = min(starts[i] + BLOCK, int(self.lists[terms[i] + 1]))
-            take(starts[i], done[i])
-        for i, t in enumerate(terms.tolist()):
-            if most[i] + after[i] < bar - SLACK:
-                break
-            blocks = self.block_max[self.block_bounds[t] : self.block_bounds[t + 1]]
-            needed = int(np.searchsorted(-blocks, -(bar - SLACK - after[i]) / shares[i], "right"))
-            end = min(starts[i] + needed * BLOCK, int(self.lists[t + 1]))
-            if end > done[i]:
-                take(done[i], end)
+        first, last = self.lists[terms], self.lists[terms + 1]
+        strongest = np.argsort(-shares * self.block_max[self.block_bounds[terms]], kind="stable")[:FIRST_TERMS]
+        places, _ = ranges(first[strongest], np.minimum(first[strongest] + BLOCK, last[strongest]))
+        seeds = np.unique(self.posted[places])
+        seeds = seeds if code is None else seeds[self.group[seeds] == code]
+        bar = kth(self.scores(seeds), k)
+
+        blocks, runs = ranges(self.block_bounds[terms], self.block_bounds[terms + 1])
+        greatest = self.block_max[blocks] * np.repeat(shares, np.diff(runs))
+        needed = np.add.reduceat(greatest >= bar / (SKIPPED * len(terms)), runs[:-1], dtype=np.int64)
+        skipped = np.where(needed < np.diff(runs), greatest[np.minimum(runs[:-1] + needed, runs[1:] - 1)], 0.0).sum()
+        places, runs = ranges(first, np.minimum(first + needed * BLOCK, last))
+        held = np.bincount(self.posted[places], self.posted_impact[places] * np.repeat(shares, np.diff(runs)), minlength=len(self.keys))
+        if code is not None:
+            held[self.group != code] = 0.0
+        bar = max(bar, kth(held[held > 0], k))
+        found = np.flatnonzero((held > 0) & (held >= bar - skipped - SLACK))
+        scores = self.scores(found)
         self.weights[terms] = 0.0
+        kept = np.lexsort((self.place[found], -scores))[:k]
+        found, scores = found[kept], scores[kept]
         above = scores > 0
-        return found[above], scores[above], read, postings
+        return found[above], scores[above], len(places) + int(np.minimum(BLOCK, last[strongest] - first[strongest]).sum()), postings
+
+
+def kth(scores: np.ndarray, k: int) -> float:
+    """The k-th greatest score, 0 where there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
 
 
 NUMBERS = {
-    "bounds": np.int64, "term": np.int32, "impact": np.float64, "lists": np.int64, "posted": np.int32,
+    "bounds": np.int64, "term": np.int32, "impact": np.float64, "lists": np.int64, "posted": np.int32, "posted_impact": np.float64,
     "block_bounds": np.int64, "block_max": np.float64,
 }
 

@@ -16,12 +16,14 @@ SPREAD_BYTES = 256 << 20
 # Settings that can change on a running session. Wide projections compile to
 # methods the JVM will not optimise beyond 8000 bytes of code; under this limit
 # Spark compiles the columns in separate methods instead, which runs far faster.
+# Python gets at most so many bytes of rows at a time, which bounds a worker's memory where rows are long.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

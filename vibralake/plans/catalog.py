@@ -640,6 +640,27 @@ def processed_cache(spark, d):
     return found.select("id", "fault_category", _day("created_at").alias("day"), (F.to_date("created_at") == F.col("reading_date")).alias("in_its_day"))
 
 
+@query
+def cached_readings(spark, d):
+    """Readings from CSV through the cache: built by the first call, read by the second, which is given no CSV."""
+    raw = t.raw_readings(t.table(spark, d, "events"), domain.SENSORS)
+    path, cache = scratch_dir(spark, "raw"), scratch_dir(spark, "cache")
+    raw.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    readings_source.load_processed(spark, path, cache)
+    again = readings_source.load_processed(spark, f"{path}/gone", cache)
+    return again.select("id", "fault_category", "is_problem", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query
+def stored_texts(spark, d):
+    """One text per document stem, written and read back."""
+    path = scratch_dir(spark, "texts")
+    table_source.write_texts(t.named(t.table(spark, d, "documents")), path)
+    return spark.read.parquet(path).select("stem", F.length("text").alias("length"), F.md5("text").alias("digest"))
+
+
 @query
 def page_source(spark, d):
     """Pages written to files and discovered by name."""
@@ -659,7 +680,7 @@ def event_json_text(spark, d):
 @query
 def window_chunks(spark, d):
     """Texts without a paragraph, which are cut by length: all characters blanked."""
-    blank = t.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(?s).", " ").alias("text"))
+    blank = t.table(spark, d, "documents").select("doc_id", F.repeat(F.lit(" "), F.length("text")).alias("text"))
     cut = documents.with_chunks(blank).withColumn("lengths", F.transform("chunks", F.length))
     return cut.select("doc_id", F.size("lengths").alias("chunks"), F.try_element_at("lengths", F.lit(1)).alias("first"), F.try_element_at("lengths", F.lit(-1)).alias("last"))
 

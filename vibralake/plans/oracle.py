@@ -536,6 +536,13 @@ def statements() -> dict[str, str]:
             "FROM (SELECT *, k % 23 = 6 AS short, k % 19 = 4 AS long FROM ev))", "ev"
         ),
         "processed_cache": build("SELECT id, fault_category, strftime(created_at, '%Y-%m-%d') AS day, true AS in_its_day FROM readings", "readings"),
+        "cached_readings": build(
+            "SELECT id, fault_category, fault_category NOT IN ('normal', 'desconhecido') AS is_problem, created_at FROM "
+            f"(SELECT id, {category('clean')} AS fault_category, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM "
+            f"(SELECT id, created_at, lower({strip('fault')}) AS clean FROM (SELECT id, created_at, CASE WHEN fault NOT IN ({', '.join(text(x) for x in domain.MISSING_TOKENS)}) THEN fault END AS fault FROM raw)))",
+            "raw",
+        ),
+        "stored_texts": "SELECT 'Doc' || doc_id AS stem, CAST(length(text) AS INT) AS length, md5(text) AS digest FROM documents",
         "page_source": build(
             "SELECT 'Doc' || conv_id || '.pdf' AS doc_name, CAST(turn AS INT) AS page_idx, CAST(length(CASE WHEN role = 'user' THEN text END) AS INT) AS digital, CAST(length(CASE WHEN role <> 'system' THEN text END) AS INT) AS ocr FROM conversations"
         ),

@@ -219,3 +219,18 @@ def test_near_copies_without_ids_and_with_one_id(spark):
     copies = [(5, near), (None, " ".join(base)), (3, far), (3, " ".join(base) + " end")]
     found = {(x.doc_id, x.n_shingles): x.component_id for x in ngram_join.link(docs(spark, copies)).collect()}
     assert found[5, 117] == 3 and found[None, 117] == 3 and found[3, 118] == 3
+
+
+def test_repeats_of_texts_without_an_id_or_with_one_id(spark):
+    r = random.Random(6)
+    passage, *rest = ["".join(r.choice("abcdefgh ") for _ in range(260)) for _ in range(6)]
+    for texts in (
+        [(None, rest[0] + passage), (1, passage + rest[1]), (2, rest[2])],
+        [(7, rest[0] + passage), (7, rest[1]), (1, passage + rest[2]), (7, rest[3] + passage), (None, rest[4])],
+    ):
+        got = {(x.doc_id, x.kept_sha256): (x.n_removed, x.n_spans) for x in suffix_dedup.removed(docs(spark, texts)).collect()}
+        want = {}
+        for i, t in texts:
+            left = t.replace(passage, "")
+            want[i, hashlib.sha256(left.encode()).hexdigest()] = (len(t) - len(left), int(left != t))
+        assert got == want

@@ -18,7 +18,7 @@ cost one sorted suffix per task. A name with more than ``CROWD`` anchors, as of
 sorted: its strings are counted by 128-bit digests, so that it does not gather in one task either.
 
 Null text counts as empty. Documents with the same text as another are removed whole if long enough, and one of them stands for all.
-Rows that repeat an id are documents of their own when whole texts are compared; a null id is allowed.
+Texts are told apart by their id, and by a hash where there is none or one id has several texts; so null and repeated ids change no result.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vibralake.llm.texts import U64, Rolling, Slice, mapped, mix, owners, signed
-from vibralake.session import written
+from vibralake.session import small_side, written
 
 LENGTH = 200
 SPAN = 100
@@ -227,13 +227,26 @@ def spans_digest(data: bytes, covered: np.ndarray) -> tuple[int, int, str]:
     return int(covered.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~covered].tobytes()).hexdigest()
 
 
+def own_ids(rows: DataFrame, several: DataFrame, hashed: Column) -> DataFrame:
+    """Add doc_id, one for each text: the given id, or a negative hash of the text where there is none or ``several`` texts have it."""
+    alone = F.col("given").isNotNull()
+    if not several.isEmpty():
+        rows = rows.join(small_side(several), F.col("given") == F.col("_given"), "left")
+        alone = alone & F.col("_given").isNull()
+    return rows.withColumn("doc_id", F.when(alone, F.col("given")).otherwise(hashed)).drop("_given")
+
+
 def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     known_bytes = length - span + 1
     content = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
-    described = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
+    given = docs.select(F.col("doc_id").cast("long").alias("given"), content.alias("text"))
+    hashed = F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))
+    described = given.select("given", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"), hashed.alias("hashed"))
     known = written(described, "digests")
+    texts_of = known.filter("given is not null").groupBy("given").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
+    several = written(texts_of.filter("x <> y").select(F.col("given").alias("_given")), "several")
+    known, plain = own_ids(known, several, F.col("hashed")), own_ids(given, several, hashed).select("doc_id", "text")
     first = written(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "first")
 
     def names(piece: Slice) -> pa.RecordBatch:
@@ -326,6 +339,7 @@ def removed(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     texts = some.select("doc_id", "text").join(gone, "doc_id")
     parts = texts.mapInArrow(cut, "_id long, n_removed long, n_spans long, kept string")
     rows = known.join(first, "digest").join(parts, F.col("doc_id") == F.col("_id"), "left")
+    rows = rows.drop("doc_id").withColumnRenamed("given", "doc_id")
     copy = (F.col("n_bytes") >= length) & (F.col("copies") > 1)
     none = F.lit(0).cast("long")
     return rows.select(

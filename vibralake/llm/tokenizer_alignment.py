@@ -39,7 +39,7 @@ from vibralake.session import fits, scratch_dir, written
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLANK = 32
 CLOSING = b'.,;:!?)]"'
 # Stretches that are tokenised at a time, and bytes of a row group of blocks.
@@ -355,9 +355,10 @@ def counted(row: dict, known: np.ndarray) -> pa.RecordBatch:
     sums = np.zeros((len(sequence) + 1, 6), np.int64)
     np.cumsum(stats[sequence], axis=0, out=sums[1:])
     each = sums[windows[1:]] - sums[windows[:-1]]
-    text, ends = gathered(np.frombuffer(row["texts"].as_py(), np.uint8), np.concatenate([[0], np.cumsum(numbers["text_sizes"])]), sequence)
-    whole, ends = text.tobytes(), ends[windows].tolist()
-    groups = [whole[a : b - 1] if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]  # less the last semicolon
+    whole, ends = row["texts"].as_py(), np.cumsum(numbers["text_sizes"]).tolist()
+    texts = [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    order, bounds = sequence.tolist(), windows.tolist()
+    groups = [b"".join([texts[c] for c in order[a:b]])[:-1] for a, b in zip(bounds, bounds[1:], strict=False)]  # less the last semicolon
     columns = [row["doc_id"].values, *(pa.array(each[:, k]) for k in range(6)), pa.array(groups, pa.binary()).cast(pa.string())]
     return pa.RecordBatch.from_arrays(columns, ALIGNED_NAMES)
 

@@ -42,9 +42,9 @@ VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 1 << 20
 BLANK = 32
 CLOSING = b'.,;:!?)]"'
-# Stretches that are tokenised at a time, and bytes of a row group of blocks.
+# Stretches that are tokenised at a time, and blocks of a row group.
 AT_ONCE = 2_000
-GROUP_BYTES = 16 << 20
+GROUP_ROWS = 4
 # Pairs, of 16 bytes each, that are sent to every task.
 FEW_PAIRS = 2_000_000
 
@@ -318,7 +318,8 @@ def blocks(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
     )
     # blocks are long rows: small row groups, so that a writing task holds few of them
     path = scratch_dir(docs.sparkSession, "token_blocks")
-    rows.mapInArrow(cut, BLOCK_SCHEMA).write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(path)
+    small = {"parquet.block.row.count.limit": GROUP_ROWS, "compression": "zstd"}
+    rows.mapInArrow(cut, BLOCK_SCHEMA).write.options(**small).parquet(path)
     return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 

@@ -1,7 +1,7 @@
-"""Inverted lists in impact order, by shard, with a stored maximum per block.
+"""Inverted lists in impact order, by shard, with a maximum per block.
 
 A shard holds some megabytes of texts: its vocabulary, the terms of every item (to score one in full), and per term the
-items that have it, by falling impact, cut into blocks whose greatest impact is stored. The impact of a term in an item is its
+items that have it, by falling impact, cut into blocks whose greatest impact is known. The impact of a term in an item is its
 share of the item's vector of unit length, so a score is the sum of a query's shares times impacts.
 
 For the best k items of a query the first blocks of its strongest terms are scored in full, which gives a k-th score to beat. A block then matters only if
@@ -53,14 +53,17 @@ def counted(keys: pa.Array, groups: pa.Array, words: pa.Array) -> dict:
     }
 
 
-def weighed(raw: dict, idf: np.ndarray) -> dict:
-    """The searchable shard: impacts per item, and per term the items by falling impact with the maximum of each block."""
+def weighed(raw: dict, idf: np.ndarray, order: np.ndarray | None = None) -> dict:
+    """The searchable shard: impacts per item, and per term the items by falling impact with the maximum of each block.
+
+    Only ``order`` takes long to find; a stored shard has it, and the rest is worked out when the shard is opened.
+    """
     bounds, term = np.frombuffer(raw["bounds"], np.int64), np.frombuffer(raw["term"], np.int32)
     weight = np.frombuffer(raw["tf"], np.int32) * idf[term]
     item = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     norm = np.sqrt(np.bincount(item, weight * weight, minlength=len(bounds) - 1))
     impact = weight / np.where(norm > 0, norm, 1.0)[item]
-    kept = np.lexsort((item, -impact, term))
+    kept = np.lexsort((item, -impact, term)) if order is None else order
     kept = kept[impact[kept] > 0]
     lists = np.searchsorted(term[kept], np.arange(len(idf) + 1))
     blocks = -(-np.diff(lists) // BLOCK)
@@ -68,6 +71,7 @@ def weighed(raw: dict, idf: np.ndarray) -> dict:
     of = np.repeat(np.arange(len(blocks)), blocks)
     heads = lists[of] + (np.arange(block_bounds[-1]) - block_bounds[of]) * BLOCK
     return {
+        "order": kept.astype(np.int32).tobytes(),
         "bounds": raw["bounds"], "term": raw["term"], "impact": impact.tobytes(),
         "lists": lists.astype(np.int64).tobytes(), "posted": item[kept].astype(np.int32).tobytes(), "posted_impact": impact[kept].tobytes(),
         "block_bounds": block_bounds.astype(np.int64).tobytes(), "block_max": impact[kept][heads].tobytes(),
@@ -83,7 +87,8 @@ class Shard:
         self.names = {name: code for code, name in enumerate(groups.dictionary.to_pylist())}
         self.group = pc.fill_null(groups.indices, -1).to_numpy(zero_copy_only=False)
         self.vocabulary: pa.Array = row["vocabulary"].values
-        numbers = {n: np.frombuffer(row[n].as_py(), t) for n, t in NUMBERS.items()}
+        made = weighed({n: row[n].as_py() for n in ("bounds", "term", "tf")}, *(np.frombuffer(row[n].as_py(), STORED[n]) for n in ("idf", "order")))
+        numbers = {n: np.frombuffer(made[n], t) for n, t in NUMBERS.items()}
         self.bounds, self.term, self.impact = numbers["bounds"], numbers["term"], numbers["impact"]
         self.lists, self.posted, self.posted_impact = numbers["lists"], numbers["posted"], numbers["posted_impact"]
         self.block_bounds, self.block_max = numbers["block_bounds"], numbers["block_max"]
@@ -147,6 +152,8 @@ NUMBERS = {
     "bounds": np.int64, "term": np.int32, "impact": np.float64, "lists": np.int64, "posted": np.int32, "posted_impact": np.float64,
     "block_bounds": np.int64, "block_max": np.float64,
 }
+# What a stored shard has; the rest follows from it.
+STORED = {"bounds": np.int64, "term": np.int32, "tf": np.int32, "idf": np.float64, "order": np.int32}
 
 
 def answers(shards: Iterator[dict], asked: pa.Table, k: int, costs: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ EVERY = "\x00all"
 
 # Bytes of words in a shard.
 SHARD_BYTES = 4 << 20
+# A shard is one long row: a task that writes or reads shards holds a row group, and left alone Parquet looks at a group's size after 100 rows only.
+SHARD_FILES = {"parquet.block.row.count.limit": 1, "compression": "zstd"}
 # Queries, and bytes of their terms, that are sent to all tasks.
 FEW_QUERIES = 4_096
 FEW_BYTES = 32 << 20
@@ -85,18 +87,15 @@ def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         yield shard()
 
 
-def finished(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Searchable shards of raw ones with the idf of their terms."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i] for n in batch.schema.names}
-            weights = np.zeros(len(row["vocabulary"]))
-            if len(weights):
-                found = row["found"].values
-                weights[found.field("place").to_numpy()] = found.field("idf").to_numpy()
-            made = postings.weighed({n: row[n].as_py() for n in ("bounds", "term", "tf")}, weights)
-            made |= {n: row[n] for n in ("shard", "keys", "groups", "vocabulary")}
-            yield one_row(made, schema)
+def finished(held: pa.Table, found: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The searchable shard of a raw one, given the places and idf of its terms."""
+    row = {n: held[n][0] for n in held.column_names}
+    weights = np.zeros(len(row["vocabulary"]))
+    weights[found["place"].to_numpy()] = found["idf"].to_numpy()
+    raw = {n: row[n].as_py() for n in ("bounds", "term", "tf")}
+    made = raw | {"idf": weights.tobytes(), "order": postings.weighed(raw, weights)["order"]}
+    made |= {n: row[n] for n in ("shard", "keys", "groups", "vocabulary")}
+    return pa.Table.from_batches([one_row(made, schema)])
 
 
 def shard_types(key: DataType, numbers: dict[str, str]) -> tuple[str, pa.Schema]:
@@ -119,17 +118,22 @@ def build_index(
     rows = chunks.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), named.alias("group"), words.alias("words"))
     kind = rows.schema["key"].dataType
     ddl, schema = shard_types(kind, {"df": "array<int>", "bounds": "binary", "term": "binary", "tf": "binary"})
-    raw = written(rows.mapInArrow(partial(gathered, schema=schema), ddl), "raw_shards")
+    raw = written(rows.mapInArrow(partial(gathered, schema=schema), ddl), "raw_shards", **SHARD_FILES)
     size = raw.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
 
     zipped = F.posexplode(F.arrays_zip("vocabulary", "df")).alias("place", "x")
     each = raw.select("shard", zipped).select("shard", "place", F.col("x.vocabulary").alias("term"), F.col("x.df").alias("df"))
     terms = written(each.groupBy("term").agg(idf(F.sum("df"), size).alias("idf")), "terms")
-    found = each.join(terms, "term").groupBy("shard").agg(F.collect_list(F.struct("place", "idf")).alias("found"))
-    ddl, schema = shard_types(kind, dict.fromkeys(postings.NUMBERS, "binary"))
-    full = raw.drop("df").join(found, "shard", "left").mapInArrow(partial(finished, schema=schema), ddl)
+    found = each.join(terms, "term").select(F.col("shard").alias("of_shard"), "place", "idf")
+    ddl, schema = shard_types(kind, dict.fromkeys(postings.STORED, "binary"))
+
+    def finish(held: pa.Table, found: pa.Table) -> pa.Table:
+        return finished(held, found, schema)
+
+    # a shard's terms meet it as sorted rows; gathered in an array each would be an object of the executor
+    full = raw.drop("df").groupBy("shard").cogroup(found.groupBy("of_shard")).applyInArrow(finish, ddl)
     items = raw.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("groups").alias("group"))))
-    return Index(written(full, "shards"), terms, items, size)
+    return Index(written(full, "shards", **SHARD_FILES), terms, items, size)
 
 
 def query_terms(queries: DataFrame, index: Index, query_id: str, text: str, group: str | None, pattern: str) -> DataFrame:

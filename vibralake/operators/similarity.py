@@ -18,6 +18,8 @@ from vibralake.session import durable, fits, small_side
 PIVOTS, MOST_PIVOTS = 256, 4096
 # Cells that hold rows a distance cannot place.
 ZERO_ITEMS, ZERO_QUERIES = -1, -2
+# Items and queries of a piece in which whole cells lie together, at most (a last cell may go over), and tasks a core that pieces are made for.
+PIECE_ROWS, TASKS = 32_768, 3
 # Allowance for rounding, in score and in angle.
 SLACK = 1e-6
 
@@ -118,7 +120,9 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     Every item belongs to the cell of its nearest pivot, and a cell knows the
     widest angle of its items. An event first meets the cells around it, which
     gives an upper bound for its k-th angle; by the triangle inequality on
-    angles it then needs only cells that reach inside this bound.
+    angles it then needs only cells that reach inside this bound. For that cells lie together in pieces: an event
+    goes once to each piece that has a cell it needs, and meets these cells there. So events and items travel once per piece and not
+    once per cell, and pieces grow with the items up to a bound.
     """
     spark = queries.sparkSession
     id_type = items.schema[key].dataType.simpleString()
@@ -155,52 +159,115 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     stored = placed.filter(F.col("cell") >= 0).unionByName(lowest_zero).unionByName(lowest_any).drop("reach")
     item_counts = durable(stored.groupBy("cell").agg(F.count("*").alias("n")))
 
-    def visits(batches, first: bool):
+    def visits(batches):
         for batch in batches:
-            rows = unit_rows(topk.matrix(batch.column(features)), scale) if first else topk.matrix(batch.column(features))
+            rows = unit_rows(topk.matrix(batch.column(features)), scale)
             zero = np.linalg.norm(rows, axis=1) == 0
-            if len(numbers):
-                angle = _angles(rows, pivots[numbers])
-                near = np.argsort(angle, axis=1, kind="stable")
-                enough = np.cumsum(sizes[near], axis=1) - sizes[near] < k
-                home = np.zeros_like(enough)
-                np.put_along_axis(home, near, enough, axis=1)
             cells = np.append(numbers, [ZERO_ITEMS, ZERO_QUERIES]).astype(np.int32)
             mask = np.zeros((len(rows), len(cells)), bool)
-            if first:
-                mask[:, -2] = True
-                if len(numbers):
-                    mask[:, :-2] = home
-                mask[zero] = False
-                mask[zero, -1] = True
-            elif len(numbers):
-                bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                mask[:, :-2] = (angle - radii <= bound[:, None] + SLACK) & ~home
-                mask[zero] = False
-            offsets = np.append(0, np.cumsum(mask.sum(axis=1))).astype(np.int32)
-            visited = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.nonzero(mask)[1]]))
-            columns = [batch.column(key), _lists(rows), visited]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, features, "cells"])
-
-    visit_ddl = f"{key} {q_type}, {features} array<double>, cells array<int>"
-
-    def search(asked: DataFrame) -> DataFrame:
-        counts = asked.groupBy("cell").agg(F.count("*").alias("n"))
-        pieces = durable(topk.piece_plan(counts, item_counts, "cell"))
-        return topk.grid(asked, stored, k, _unit_scorer(features), key, key, "cell", pieces)
-
-    around = durable(queries.mapInArrow(lambda b: visits(b, True), visit_ddl))
-    near = durable(topk.rank(search(around.select(key, features, F.explode("cells").alias("cell"))), k))
-    # With fewer than k rows so far nothing is ruled out: the bound is the half turn.
-    worst = near.groupBy(F.col("query_id").alias(key)).agg(
-        F.when(F.count("*") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("score") - SLACK))))
-        .otherwise(F.lit(float(np.pi)))
-        .alias("bound")
-    )
-    bounded = around.drop("cells").join(worst, key, "left").na.fill({"bound": float(np.pi)})
-    beyond = bounded.mapInArrow(lambda b: visits(b, False), visit_ddl)
-    far = search(durable(beyond.select(key, features, F.explode("cells").alias("cell"))))
-    return near.drop("rank").unionByName(far)
+            mask[:, -2] = True
+            if len(numbers):
+                near = np.argsort(_angles(rows, pivots[numbers]), axis=1, kind="stable")
+                enough = np.cumsum(sizes[near], axis=1) - sizes[near] < k
+                np.put_along_axis(mask[:, :-2], near, enough, axis=1)
+            yield visited(batch, rows, zero, mask, cells, [])
+
+    def visited(batch, rows, zero, mask, places, more):
+        """The rows with the places that each goes to; a zero row only to the last one."""
+        mask[zero] = False
+        mask[zero, -1] = True
+        offsets = np.append(0, np.cumsum(mask.sum(axis=1))).astype(np.int32)
+        chosen = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[np.nonzero(mask)[1]]))
+        return pa.RecordBatch.from_arrays([batch.column(key), _lists(rows), *[batch.column(c) for c in more], chosen], names=[key, features, *more, "places"])
+
+    around = durable(queries.mapInArrow(visits, f"{key} {q_type}, {features} array<double>, places array<int>"))
+    asked = around.select(key, features, F.explode("places").alias("cell"))
+    first = durable(topk.piece_plan(asked.groupBy("cell").agg(F.count("*").alias("n")), item_counts, "cell"))
+    near = topk.rank(topk.grid(asked, stored, k, _unit_scorer(features), key, key, "cell", first), k)
+    # With fewer than k rows so far nothing is ruled out: there is no score to reach.
+    worst = near.groupBy(F.col("query_id").alias(key)).agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
+    bounded = around.drop("places").join(worst, key, "left")
+
+    side = max(-(-int(sizes.sum()) // PIECE_ROWS), math.isqrt(TASKS * spark.sparkContext.defaultParallelism) + 1)
+    begins, parts = _pieces(sizes, side)
+    n = int((begins + parts).max()) if len(sizes) else 0
+    place_of = np.full(len(pivots) + 1, -1)
+    place_of[numbers] = np.arange(len(numbers))
+
+    def bounds(bar: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Score to reach and widest angle."""
+        bar = np.nan_to_num(bar.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+        return bar, np.arccos(np.clip(bar - SLACK, -1.0, 1.0))
+
+    def reached(rows: np.ndarray, bound: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return _angles(rows, pivots[numbers[cells]]) - radii[cells] <= bound[:, None] + SLACK
+
+    def laid(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            piece, own = cell.copy(), np.flatnonzero(cell >= 0)
+            at = place_of[cell[own]]
+            piece[own] = begins[at] + np.arange(len(own)) % parts[at]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(features), batch.column("cell"), pa.array(piece, pa.int32())], names=[key, features, "cell", "piece"])
+
+    def needed(batches):
+        for batch in batches:
+            rows = topk.matrix(batch.column(features))
+            zero = np.linalg.norm(rows, axis=1) == 0
+            mask = np.ones((len(rows), n + 2), bool)
+            if n:
+                hit = reached(rows, bounds(batch.column("bar"))[1], np.arange(len(numbers)))
+                mask[:, :n] = False
+                for c in range(len(numbers)):
+                    mask[:, begins[c] : begins[c] + parts[c]] |= hit[:, c : c + 1]
+            mask[:, -1] = False
+            places = np.append(np.arange(n), [ZERO_ITEMS, ZERO_QUERIES]).astype(np.int32)
+            yield visited(batch, rows, zero, mask, places, ["bar"])
+
+    def meet(held: pa.Table, found: pa.Table, schema: pa.Schema) -> list[pa.RecordBatch]:
+        if not held.num_rows or not found.num_rows:
+            return []
+        cell = found["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
+        items, ids, cell = topk.matrix(found[features])[order], topk._array(found[key])[order], cell[order]
+        starts = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+        runs = list(zip(cell[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True))
+        here = np.array([place_of[c] for c, _, _ in runs if c >= 0], int)
+        out = []
+        for at in range(0, held.num_rows, topk.QUERIES_PER_PIECE):
+            part = held.slice(at, topk.QUERIES_PER_PIECE).combine_chunks()
+            rows, (bar, bound) = topk.matrix(part[features]), bounds(part["bar"].combine_chunks())
+            best = topk.Best(len(rows), k)
+            best.bar = bar
+            hit = reached(rows, bound, here) if len(here) else None
+            for c, a, b in runs:
+                asked = np.flatnonzero(hit[:, np.searchsorted(here, place_of[c])]) if c >= 0 else np.arange(len(rows))
+                step = topk.block_rows(len(asked))
+                for low in range(a, b if len(asked) else a, step):
+                    high = min(b, low + step)
+                    best.offer_to(asked, ids[low:high], items[low:high] @ rows[asked].T)
+            out.append(topk._frame(best, topk._array(part[key]), schema))
+        return out
+
+    by_piece = stored.mapInArrow(laid, f"{key} {id_type}, {features} array<double>, cell int, piece int")
+    beyond = durable(bounded.mapInArrow(needed, f"{key} {q_type}, {features} array<double>, bar double, places array<int>"))
+    asked = beyond.select(key, features, "bar", F.explode("places").alias("piece"))
+    per = max(topk.QUERIES_PER_PIECE, min(PIECE_ROWS, -(-beyond.count() // side)))
+    counts = asked.groupBy("piece").agg(F.ceil(F.count("*") / per).cast("int").alias("query_pieces"), F.lit(1).alias("item_pieces"))
+    return topk.grid(asked, by_piece, k, _unit_scorer(features), key, key, "piece", durable(counts), meet=meet)
+
+
+def _pieces(sizes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """First piece and number of pieces of each cell: small cells lie together, a large one is dealt out."""
+    most = max(1, -(-int(sizes.sum()) // side))
+    parts = -(-sizes // most)
+    small = parts == 1
+    begins = np.zeros(len(sizes), np.int64)
+    held = np.where(small, sizes, 0)
+    begins[small] = ((np.cumsum(held) - held) // most)[small]
+    first = int(begins.max()) + 1 if len(sizes) else 0
+    begins[~small] = first + (np.cumsum(parts[~small]) - parts[~small])
+    return begins, parts.astype(np.int64)
 
 
 def with_rows(found: DataFrame, history: DataFrame, key: str = "id") -> DataFrame:

@@ -55,8 +55,22 @@ class Best:
             own = np.partition(scores, len(items) - self.k, axis=0)[len(items) - self.k]
             bar = np.maximum(bar, own)
         rows, cols = np.nonzero((scores >= bar) & (scores > -np.inf))
+        self._merge(items, rows, cols, scores[rows, cols])
+
+    def offer_to(self, asked: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        """The same for the queries ``asked`` only, with scores that are not rounded yet: few reach the bar, and only they are rounded."""
+        bar = self.bar[asked]
+        if len(items) > self.k and np.isneginf(bar).any():
+            bar = np.maximum(bar, np.partition(scores, len(items) - self.k, axis=0)[len(items) - self.k])
+        rows, cols = np.nonzero(scores >= bar - 10.0**-SCORE_DIGITS)
+        rounded, cols = np.round(scores[rows, cols], SCORE_DIGITS), asked[cols]
+        kept = rounded >= self.bar[cols]
+        if kept.any():
+            self._merge(items, rows[kept], cols[kept], rounded[kept])
+
+    def _merge(self, items: np.ndarray, rows: np.ndarray, cols: np.ndarray, scores: np.ndarray) -> None:
         query = np.concatenate([self.query, cols])
-        score = np.concatenate([self.score, scores[rows, cols]])
+        score = np.concatenate([self.score, scores])
         item = items[rows] if self.item is None else np.concatenate([self.item, items[rows]])
         order = np.lexsort((item, -score, query))
         query, score, item = query[order], score[order], item[order]
@@ -144,9 +158,12 @@ def grid(
     cell: str,
     pieces: DataFrame,
     entries: int = 1,
+    meet: Callable[[pa.Table, pa.Table, pa.Schema], list[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """Many queries: score each cell's queries against the cell's items.
 
+    ``meet`` may do so in its own way; it returns batches of the result.
+
     Both sides carry ``cell``. ``pieces`` has one row per cell with
     ``item_pieces`` and ``query_pieces``, chosen from counts so that a piece is
     bounded; a hot cell simply gets more pieces. A task sees one query piece
@@ -167,6 +184,8 @@ def grid(
     right = spread(items, item_id, "item_pieces", "query_pieces").withColumnsRenamed({"_own": "_ip", "_other": "_qp"})
 
     def run(held: pa.Table, found: pa.Table) -> pa.Table:
+        if meet is not None:
+            return pa.Table.from_batches(meet(held, found, schema), schema=schema)
         best, step = Best(held.num_rows, k), block_rows(held.num_rows, entries)
         if held.num_rows and found.num_rows:
             score = scorer(held)

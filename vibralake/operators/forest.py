@@ -214,6 +214,65 @@ def numbers_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+@dataclass
+class Small:
+    """A grown tree in some 20 bytes a node: children lie side by side, and only leaves have counts, of the classes they hold."""
+
+    feature: np.ndarray  # -1 at a leaf
+    cut: np.ndarray
+    left: np.ndarray  # place of the left child, of a leaf its number
+    starts: np.ndarray  # per leaf where its classes begin
+    held: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, node: np.ndarray, feature: np.ndarray, cut: np.ndarray, counts: np.ndarray) -> Small:
+        """From the columns of a wholly grown tree, by node number."""
+        leaf = feature < 0
+        left = np.where(leaf, np.cumsum(leaf) - 1, np.searchsorted(node, 2 * node)).astype(np.int32)
+        own, held = np.nonzero(counts[leaf])
+        starts = np.searchsorted(own, np.arange(leaf.sum() + 1)).astype(np.int32)
+        return cls(feature.astype(np.int32), cut.astype(np.int8), left, starts, held.astype(np.int16), counts[leaf][own, held])
+
+    def reached(self, bins: np.ndarray) -> np.ndarray:
+        """Number of the leaf at which each row ends."""
+        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        while True:
+            feature = self.feature[at]
+            going = feature >= 0
+            if not going.any():
+                return self.left[at]
+            right = bins[rows, np.maximum(feature, 0)] > self.cut[at]
+            at = np.where(going, self.left[at] + right, at)
+
+    def drawn(self, leaves: np.ndarray, classes: int) -> np.ndarray:
+        """Draws of each class at some leaves."""
+        sizes = self.starts[leaves + 1] - self.starts[leaves]
+        row = np.repeat(np.arange(len(leaves)), sizes)
+        place = np.arange(len(row)) + np.repeat(self.starts[leaves] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.zeros((len(leaves), classes), np.int64)
+        out[row, self.held[place]] = self.counts[place]
+        return out
+
+
+@dataclass
+class Scorer:
+    """What a scoring task needs of a forest."""
+
+    scale: scaling.Scale
+    edges: list[np.ndarray]
+    weights: np.ndarray
+    trees: list[Small]
+
+    def probabilities(self, values: np.ndarray) -> np.ndarray:
+        """Class shares averaged over the trees."""
+        bins, out = binned(values, self.scale, self.edges), np.zeros((len(values), self.weights.shape[1]))
+        for k, tree in enumerate(self.trees):
+            held = tree.drawn(tree.reached(bins), out.shape[1]) * self.weights[k]
+            out += held / held.sum(axis=1, keepdims=True)
+        return out / len(self.trees)
+
+
 @dataclass
 class Model:
     """A fitted forest: features, classes in alphabetical order, scale, bin edges and the nodes of every tree."""
@@ -224,22 +283,20 @@ class Model:
     edges: list[np.ndarray]
     nodes: pa.Table  # tree, node, feature, bin, gain, counts
     weights: np.ndarray  # of classes, a row per tree
-    _opened: tuple | None = field(default=None, repr=False)
+    _opened: Scorer | None = field(default=None, repr=False)
 
-    def opened(self) -> tuple[list[Packed], list[np.ndarray]]:
-        """Per tree its nodes and the class shares at each."""
+    def opened(self) -> Scorer:
+        """The forest as it scores."""
         if self._opened is None:
             tree = self.nodes["tree"].to_numpy()
-            columns = np.stack([self.nodes[c].to_numpy() for c in ("node", "feature", "bin")], axis=1).astype(np.int64)
+            node, feature, cut = (self.nodes[c].to_numpy() for c in ("node", "feature", "bin"))
             counts = numbers_of(self.nodes["counts"].combine_chunks(), len(self.classes))
-            trees, shares = [], []
+            trees = []
             for k in range(len(self.weights)):
                 mine = np.flatnonzero(tree == k)
-                mine = mine[np.argsort(columns[mine, 0])]
-                trees.append(Packed.of([tuple(x) for x in columns[mine].tolist()]))
-                held = counts[mine] * self.weights[k]
-                shares.append(held / held.sum(axis=1, keepdims=True))
-            self._opened = trees, shares
+                mine = mine[np.argsort(node[mine])]
+                trees.append(Small.of(node[mine], feature[mine], cut[mine], counts[mine]))
+            self._opened = Scorer(self.scale, self.edges, self.weights, trees)
         return self._opened
 
     def importances(self) -> np.ndarray:
@@ -254,11 +311,7 @@ class Model:
 
     def probabilities(self, values: np.ndarray) -> np.ndarray:
         """Class shares averaged over the trees."""
-        bins, out = binned(values, self.scale, self.edges), np.zeros((len(values), len(self.classes)))
-        trees, shares = self.opened()
-        for nodes, share in zip(trees, shares, strict=True):
-            out += share[nodes.reached(bins)]
-        return out / len(trees)
+        return self.opened().probabilities(values)
 
 
 def packed_rows(rows: DataFrame, columns: Sequence[str], label: str, classes: Sequence[str], scale: scaling.Scale, edges: Sequence[np.ndarray]) -> DataFrame:
@@ -447,7 +500,7 @@ def fit(
 
 def with_probabilities(model: Model, events: DataFrame, name: str) -> DataFrame:
     """Add the class shares of every row as an array; a batch at a time, on batch and streaming frames."""
-    held = events.sparkSession.sparkContext.broadcast(model)
+    held = events.sparkSession.sparkContext.broadcast(model.opened())
     width = len(model.features)
 
     @F.pandas_udf("array<double>")

@@ -11,6 +11,10 @@ from vibralake.session import written
 
 # Folders of a keyed table.
 BUCKETS = 64
+# Parts of a folder while an upsert shuffles.
+PARTS = 8
+# Of its files, which hold texts.
+PACKED = {"compression": "zstd"}
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -23,16 +27,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = (), near: Sequence[str] = ()) -> DataFrame:
     """``current`` with the rows of ``incoming`` put in by key.
 
     Incoming rows win over current ones; among incoming rows of one key the
-    greatest ``order`` wins.
+    greatest ``order`` wins. Rows come out dealt by ``near``, columns that follow from the key.
     """
     stacked = current.withColumn("_new", F.lit(0)).unionByName(
         incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
-    return latest_per_key(stacked, keys, ["_new", *order]).drop("_new")
+    dealt = stacked.repartition(*near) if near else stacked
+    return latest_per_key(dealt, [*near, *keys], ["_new", *order]).drop("_new")
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
@@ -43,7 +48,7 @@ def bucket_of(keys: Sequence[str], buckets: int) -> Column:
 def write_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
     """Lay a keyed table down in ``bucket=`` folders."""
     placed = rows.withColumn("bucket", bucket_of(keys, buckets))
-    placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    placed.hint("rebalance", "bucket").write.mode("overwrite").options(**PACKED).partitionBy("bucket").parquet(path)
 
 
 def upsert_keyed(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int = BUCKETS) -> list[int]:
@@ -52,13 +57,16 @@ def upsert_keyed(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
     Returns the folders touched. The merged rows are written aside first and then replace their folders, each
     as a whole; run again after a failure, the same rows come out.
     """
-    placed = written(incoming.withColumn("bucket", bucket_of(keys, buckets)), "incoming")
+    placed = written(incoming.withColumn("bucket", bucket_of(keys, buckets)), "incoming", **PACKED)
     touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
     if not touched:
         return []
     current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    merged = written(upsert(current, placed, keys, order).select(*current.columns), "merged")
-    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    part = F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(PARTS)).cast("int")
+    # rows meet by folder and part, so that a merged file holds few folders and is not shuffled again to be laid down
+    every = upsert(current.withColumn("_part", part), placed.withColumn("_part", part), keys, order, ["bucket", "_part"])
+    merged = written(every.select(*current.columns), "merged", **PACKED)
+    merged.write.mode("overwrite").options(**PACKED).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     return touched
 
 

@@ -77,3 +77,20 @@ def test_prescription_log(spark, tmp_path):
 
     assert run("log", None) == [1, 1, 2]
     assert run("once", "1 day") == [1, 2]
+
+
+def test_ids_seen_by_a_stream_lie_in_files(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("events", "log", "state"))
+    rows = [(i % 50, dt.datetime(2024, 1, 1), "normal", 99.0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "id long, created_at timestamp, fault_category string, confidence double")
+    registry = spark.createDataFrame([], schemas.FAULT_DOCUMENTS)
+    texts = spark.createDataFrame([], "fault_category string, excerpts array<string>")
+    mapping = prescribe.document_map(spark)
+    for _ in range(2):
+        frame.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(frame.schema).parquet(path)
+        jobs.write_prescriptions(stream, lambda b: prescribe.prescribe(b, registry, mapping, texts), out, state, "1 day").awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == list(range(50))
+    kept = {f.suffix for f in (tmp_path / "state" / "state").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))}
+    # snapshots of a store with a bounded cache, not deltas of a map of all keys on the heap
+    assert ".zip" in kept and ".delta" not in kept

@@ -36,3 +36,16 @@ def test_a_scoring_task_holds_a_small_forest(spark):
     tree = model.nodes["tree"].to_numpy() == 0
     counts = np.array(model.nodes["counts"].to_pylist())[tree & (model.nodes["feature"].to_numpy() < 0)]
     assert (model.opened().trees[0].drawn(np.arange(len(counts)), 10) == counts).all()
+
+
+def test_a_task_holds_few_angles_at_once():
+    import pyarrow as pa
+
+    from vibralake.operators import similarity
+
+    batch = pa.record_batch({"id": pa.array(range(10_000))})
+    parts = list(similarity._blocks([batch], 4_096))
+    # ten thousand rows against all pivots were 328 MB of angles, several times over
+    assert max(p.num_rows for p in parts) * 4_096 <= similarity.BLOCK_ANGLES
+    assert pa.Table.from_batches(parts)["id"].to_pylist() == list(range(10_000))
+    assert len(list(similarity._blocks([batch], 0))) == 1

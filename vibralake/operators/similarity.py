@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ PIVOTS, MOST_PIVOTS = 256, 4096
 ZERO_ITEMS, ZERO_QUERIES = -1, -2
 # Items and queries of a piece in which whole cells lie together, at most (a last cell may go over), and tasks a core that pieces are made for.
 PIECE_ROWS, TASKS = 32_768, 3
+# Angles that a task holds at once while it places rows among the pivots.
+BLOCK_ANGLES = 1_000_000
 # Allowance for rounding, in score and in angle.
 SLACK = 1e-6
 
@@ -110,6 +113,14 @@ def by_vector(queries: DataFrame, items: DataFrame, k: int, group: str, vector:
     return topk.rank(topk.grid(asked, stored, k, prepare, query_id, item_id, "cell", pieces), k)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], angles: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``angles`` numbers a row stay within ``BLOCK_ANGLES``: pivots grow with the items, what a task holds does not."""
+    step = max(1, BLOCK_ANGLES // max(angles, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
@@ -133,7 +144,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     pivots = pivots[np.linalg.norm(pivots, axis=1) > 0]
 
     def place(batches):
-        for batch in batches:
+        for batch in _blocks(batches, len(pivots)):
             rows = unit_rows(topk.matrix(batch.column(features)), scale)
             if len(pivots):
                 angle = _angles(rows, pivots)
@@ -160,7 +171,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     item_counts = durable(stored.groupBy("cell").agg(F.count("*").alias("n")))
 
     def visits(batches):
-        for batch in batches:
+        for batch in _blocks(batches, len(numbers)):
             rows = unit_rows(topk.matrix(batch.column(features)), scale)
             zero = np.linalg.norm(rows, axis=1) == 0
             cells = np.append(numbers, [ZERO_ITEMS, ZERO_QUERIES]).astype(np.int32)
@@ -211,7 +222,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(features), batch.column("cell"), pa.array(piece, pa.int32())], names=[key, features, "cell", "piece"])
 
     def needed(batches):
-        for batch in batches:
+        for batch in _blocks(batches, len(numbers)):
             rows = topk.matrix(batch.column(features))
             zero = np.linalg.norm(rows, axis=1) == 0
             mask = np.ones((len(rows), n + 2), bool)

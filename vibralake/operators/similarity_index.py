@@ -51,7 +51,7 @@ def build(history: DataFrame, path: str, features: str = "features", key: str =
     held = held[np.linalg.norm(held, axis=1) > 0]
 
     def place(batches):
-        for batch in batches:
+        for batch in similarity._blocks(batches, len(held)):
             rows = similarity.unit_rows(topk.matrix(batch.column("features")), scale)
             cell, reach = np.full(len(rows), NO_DIRECTION, np.int32), np.zeros(len(rows))
             there = np.flatnonzero(np.linalg.norm(rows, axis=1) > 0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vibralake.llm import queries
 from vibralake.llm import tokenizer_alignment as ta
 from vibralake.llm.texts import slices
+from vibralake.llm.token_pieces import stretches
 
 tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -126,3 +127,31 @@ def test_many_small_blocks_and_a_forgetful_worker(spark, monkeypatch):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op12_tokenizer_alignment(spark, str(tmp_path)).collect() == []
+
+
+def test_cut_texts_have_the_ids_of_whole_texts():
+    both = ta.Aligner(ta.VOCABULARY_A, ta.VOCABULARY_B)
+    assert both.marks
+    r = random.Random(5)
+    signs = [
+        "the", "Re", "ó", "ß", "É", "ǅ", "ɏ", "ɐ", "Ω", "ж", "\u0301", "×", "÷", "²", "ª", "1", "20", ".", ",", "'", "'s", "'ll", "_", "-", "%%%", "<|endoftext|>",
+        "<s>", "<0x0A>", "▁", " ", " ", " ", "  ", "\n", ".\n", "\r\n", "\t", "\x0b", "\x85", "\xa0", "\u3000", "\0", "中", "🙂",
+    ]
+    texts = ["é .", "é.", "×.", "é", "a.", ".", "don't.", "\u00e9 \n", "a\xa0 b", "é\xa0  b."] + ["".join(r.choices(signs, k=r.randint(1, 40))) for _ in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" " + t for t in texts])], ["text"])
+    for marks in (True, False):
+        distinct, codes, firsts = stretches(next(slices(iter([batch]), "text")), marks=marks)
+        sides = [(ids.tolist(), starts.tolist()) for ids, starts in both.of(distinct.to_pylist())]
+        for i, text in enumerate(texts):
+            mine = codes[firsts[i] : firsts[i + 1]].tolist()
+            got = [[x for c in mine for x in ids[starts[c] : starts[c + 1]]] for ids, starts in sides]
+            assert got == [both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)], (marks, text)
+
+
+def test_words_are_tokenised_once_whatever_marks_follow():
+    both = ta.Aligner(ta.VOCABULARY_A, ta.VOCABULARY_B)
+    words, marks = ["nandeo", "quéren", "straße"], [".", ",", "***", "%%%", ".\nA"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["".join(f" {w}{m}" for w in words for m in marks), " é ó é ó"])], ["doc_id", "text"])
+    row = ta.block_of(next(slices(iter([batch]), "text")), 0, both)
+    assert set(both.known) == {f" {w}".encode() for w in [*words, "é", "ó"]} | {m.encode() for m in marks}
+    assert row["windows"].tolist() == [0, 30, 34]

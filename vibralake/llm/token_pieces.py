@@ -1,9 +1,10 @@
 """Token ids of whole texts, with equal stretches tokenised once.
 
-A text is cut at blanks that follow an ASCII graphic character. Tokenizers whose tokens never reach over such a blank give the same
+A text is cut at blanks that follow an ASCII graphic character or one of two bytes from U+00C0 on (none of these is white space), and
+on demand between a letter and an ASCII mark. Tokenizers whose tokens never reach over such a place give the same
 ids for the text as for its stretches one after another, so a stretch that comes up again is looked up. That holds for the three vocabularies
 used here: the byte-level one and the one with word ends split there before they merge, and the pieces of the third have blanks at
-their beginning only.
+their beginning only and no mark behind a letter.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 from vibralake.llm.texts import Slice
 
 # Stretches that a worker remembers at most before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
-WHITE, CLOSING, LETTER = np.zeros((3, 256), bool)
+WHITE, CLOSING, LETTER, MARK = np.zeros((4, 256), bool)
 WHITE[list(b" \t\n\v\f\r")] = True
 CLOSING[list(b'.,;:!?)]"')] = True
 LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,12 +37,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def stretches(piece: Slice, words: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def stretches(piece: Slice, words: bool = False, marks: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct stretches of a slice's texts as bytes, the code of each stretch, and the first stretch of every row.
 
     Every text has to begin with a blank of its own, or be empty. With ``words`` texts are cut at all ASCII white space and between an ASCII
     letter and a closing mark, and A-Z are lower-cased where no special token can be meant: for tokenizers that
-    do all that before they merge. Otherwise every stretch begins with a blank.
+    do all that before they merge. Otherwise every stretch begins with a blank, or with ``marks`` with an ASCII mark that follows
+    a letter (up to U+024F).
     """
     data = piece.data
     before = np.empty(len(data), np.uint8)
@@ -51,7 +54,14 @@ def stretches(piece: Slice, words: bool = False) -> tuple[pa.Array, np.ndarray,
         if not ((data == 124) & (before == 60)).any():  # <|
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     else:
-        start = (data == 32) & (before > 32) & (before < 127)
+        lead = np.empty(len(data), np.uint8)  # the byte before that
+        lead[:1] = 33
+        lead[1:] = before[:-1]
+        pair = (before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
+        start = (data == 32) & ((before > 32) & (before < 127) | pair)
+        if marks:
+            sign = (lead == 0xC3) & ((before == 0x97) | (before == 0xB7))
+            start |= MARK[data] & (LETTER[before] | pair & (lead <= 0xC9) & ~sign)
     firsts = piece.offsets[:-1][np.diff(piece.offsets) > 0]
     start[firsts] = True
     starts = np.flatnonzero(start)

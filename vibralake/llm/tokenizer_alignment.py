@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' ids over whole texts.
 
 Tokenizer A is byte-level and sees a blank before the text; tokenizer B adds one itself. After a text is tokenised in full by both, the places where
-tokens of both end are compared by their bytes. Such a shared end before a token that begins with a blank, in A and in B, is an anchor;
-anchors split the text into windows of token ids. A window's groups (cut at all its shared ends) depend on its
+tokens of both end are compared by their bytes. Such a shared end before a token that begins with a blank, in A and in B, or where a text is
+cut to be tokenised, is an anchor; anchors split the text into windows of token ids. A window's groups (cut at all its shared ends) depend on its
 ids alone, so windows are numbered by their pair of id tuples and each number of a block is aligned once, all of a block at a time. Stretches of
 text whose ids a worker remembers are not tokenised again.
 
@@ -22,6 +22,7 @@ pairs with how often each occurs.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -41,7 +42,10 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 1 << 20
 BLANK = 32
-CLOSING = b'.,;:!?)]"'
+# A blank and letters of one or two bytes, up to U+024F: one piece to A's merges.
+WORD = re.compile(rb" (?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC9][\x80-\xBF])+")
+# In a piece of B: an ASCII mark behind a letter, or a line's end. Where there is none, texts are cut before such marks too.
+REACHING = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F][!-/:-@\[-`{-~]|\n")
 # Stretches that are tokenised at a time, and blocks of a row group.
 AT_ONCE = 2_000
 GROUP_ROWS = 4
@@ -91,11 +95,13 @@ class Aligner:
         self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(vocabulary_b))
         symbols = byte_symbols()
-        self.blank = next(c for c, b in symbols.items() if b == BLANK)
+        self.symbols = "".join(" " if b == 0 else c for b, c in sorted((b, c) for c, b in symbols.items()))
         names = sorted((i, t) for t, i in self.a.get_vocab().items())
-        self.opens = np.array([t.startswith(self.blank) for _, t in names])
         self.of_a = Spelling([bytes(symbols[c] for c in t) if all(c in symbols for c in t) else b"" for _, t in names])
-        self.of_b = Spelling([self.piece_bytes(i) for i in range(self.b.get_piece_size())])
+        pieces = range(self.b.get_piece_size())
+        self.of_b = Spelling([self.piece_bytes(i) for i in pieces])
+        named = (i for i in pieces if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+        self.marks = not any(REACHING.search(self.b.id_to_piece(i)) for i in named)
         self.start()
 
     def piece_bytes(self, i: int) -> bytes:
@@ -109,9 +115,11 @@ class Aligner:
 
     def learn(self, keys: list[bytes], a: np.ndarray, ends_a: np.ndarray) -> None:
         """Remember stretches whose ids by A are given, and encode them by B."""
-        # B adds a blank, but not to an empty text; at the end of a text the blank is a piece of its own
-        found = self.b.encode([k[1:].decode("utf-8", "replace") for k in keys], num_threads=1) if keys else []
-        found = [ids if len(k) > 1 else [self.b.piece_to_id("▁")] for k, ids in zip(keys, found, strict=True)]
+        # B adds a blank, but not to an empty text; at the end of a text the blank is a piece of its own. A stretch without a blank goes behind
+        # a line's end, which B never joins to anything: the added blank and that end are the first two ids
+        texts = [k[1:].decode("utf-8", "replace") if k[0] == BLANK else "\n" + k.decode("utf-8", "replace") for k in keys]
+        found = self.b.encode(texts, num_threads=1) if keys else []
+        found = [ids if k[0] == BLANK and len(k) > 1 else ids[2:] or [self.b.piece_to_id("▁")] for k, ids in zip(keys, found, strict=True)]
         ends_b = np.cumsum([len(x) for x in found], dtype=np.int64)
         b = np.fromiter(chain.from_iterable(found), np.int32, int(ends_b[-1]) if found else 0)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
@@ -122,23 +130,20 @@ class Aligner:
     def of(self, keys: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and for B the ids of the stretches end to end, and where each stretch begins.
 
-        A blank and ASCII letters are one piece to A's merges, and so are closing marks behind them; many such words are taken at a time. Other
-        stretches go A's full way.
+        A blank and letters are one piece to A's merges; many such words are taken at a time. Other stretches go A's full way.
         """
         if len(self.known) > REMEMBERED:
             self.start()
         plain, other = [], []
         for k in dict.fromkeys(keys):
             if k not in self.known:
-                word = k.rstrip(CLOSING)
-                if word[1:].isalpha():
-                    plain.append((k, f"{self.blank}{word[1:].decode()} {k[len(word):].decode()}"))
-                else:
-                    other.append(k)
+                (plain if WORD.fullmatch(k) else other).append(k)
         for at in range(0, len(plain), AT_ONCE):
-            part, words = zip(*plain[at : at + AT_ONCE], strict=True)
-            ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids)
-            self.learn(part, ids, np.append(np.flatnonzero(self.opens[ids])[1:], len(ids)))
+            part = plain[at : at + AT_ONCE]
+            words = b"\0".join(part).decode("latin-1").translate(self.symbols)
+            ids = np.array(self.merges.encode_batch_fast([words], add_special_tokens=False)[0].ids)
+            # the merges lose no byte
+            self.learn(part, ids, np.searchsorted(np.cumsum(self.of_a.size[ids]), np.cumsum([len(k) for k in part])) + 1)
         for at in range(0, len(other), AT_ONCE):
             part = other[at : at + AT_ONCE]
             found = [x.ids for x in self.a.encode_batch_fast([k.decode("utf-8", "replace") for k in part], add_special_tokens=False)]
@@ -266,7 +271,7 @@ def short(numbers: np.ndarray) -> bytes:
 
 def block_of(held: Slice, number: int, both: Aligner) -> dict:
     """One block's row from the texts of a slice."""
-    distinct, codes, firsts = stretches(held)
+    distinct, codes, firsts = stretches(held, marks=both.marks)
     a, b = both.of(distinct.to_pylist())
     bounds = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
     data = np.frombuffer(distinct.buffers()[2], np.uint8) if len(distinct) else np.zeros(1, np.uint8)

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from vibralake.functions import numeric
 from vibralake.operators import scaling
-from vibralake.session import written
+from vibralake.session import PACKED as FILES
+from vibralake.session import discard, written
 
 BINS = 32
 # A node of up to so many rows is finished in one group.
@@ -35,6 +36,8 @@ LOCAL_ROWS = 100_000
 PASS_CELLS = 16_000_000
 # Cells that a group holds at once while it finishes a subtree.
 LEVEL_CELLS = 2_000_000
+# Rows that are dealt out at once to finish subtrees, at least, and bootstraps that they come to beyond that: disk does not grow with rows times trees.
+DEALT_ROWS, DEALT_TREES = 16_000_000, 4
 MOST_CLASSES = 32_000
 # Cumulative chances of drawing a row 0, 1, 2, ... times.
 DRAWS = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
@@ -329,7 +332,7 @@ def packed_rows(rows: DataFrame, columns: Sequence[str], label: str, classes: Se
 
     kept = rows.filter(F.col(label).isNotNull())
     values = kept.select(feature_values(columns).alias("x"), F.col(label).cast("string").alias("y"), F.xxhash64(*kept.columns).alias("draw"))
-    return written(values.mapInArrow(pack, PACKED), "forest_rows")
+    return written(values.mapInArrow(pack, PACKED), "forest_rows", **FILES)
 
 
 def summed_cells(rows: DataFrame, trees: dict[int, Packed], wanted: dict[int, list[tuple[int, int]]], weights: np.ndarray, limits: Limits) -> list:
@@ -405,6 +408,20 @@ def finished(rows: DataFrame, trees: dict[int, Packed], wanted: dict[int, list[i
     return dealt.groupBy("tree", "node").applyInArrow(grow, NODES)
 
 
+def rounds(local: dict[int, dict[int, int]], most: int) -> Iterator[dict[int, list[int]]]:
+    """The subtrees (tree, node: rows) in parts of some ``most`` rows at most, a larger subtree alone."""
+    part, held = {}, 0
+    for tree, nodes in local.items():
+        for node, n in nodes.items():
+            if part and held + n > most:
+                yield part
+                part, held = {}, 0
+            part.setdefault(tree, []).append(node)
+            held += n
+    if part:
+        yield part
+
+
 def bootstrap_counts(rows: DataFrame, trees: int, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Draws per class, and rows, of every tree's bootstrap."""
 
@@ -442,19 +459,19 @@ def fit(
         raise ValueError(f"a forest needs 1 to {MOST_CLASSES} classes, there are {len(classes)}")
     edges = quantile_edges(rows.filter(F.col(label).isNotNull()), features, scale)
     limits = Limits(len(classes), len(features), depth, leaf_rows, split_rows, seed)
-    packed = packed_rows(rows, features, label, classes, scale, edges)
+    stored = packed = packed_rows(rows, features, label, classes, scale, edges)
     # small data lie in few files; the trees' work is dealt out all the same
     packed = packed.repartition(packed.sparkSession.sparkContext.defaultParallelism) if packed.rdd.getNumPartitions() == 1 else packed
     counts, sizes = bootstrap_counts(packed, trees, limits)
     weights = balanced(counts)
     made: list[tuple] = []
-    local: dict[int, list[int]] = {}
+    local: dict[int, dict[int, int]] = {}
     waiting = []
     for tree in range(trees):
         if sizes[tree] > LOCAL_ROWS:
             waiting.append((tree, 1, 0))
         elif sizes[tree]:
-            local[tree] = [1]
+            local[tree] = {1: int(sizes[tree])}
         else:  # an empty bootstrap knows nothing
             made.append((tree, 1, -1, -1, 0.0, [1] * len(classes)))
             weights[tree] = 1.0
@@ -489,12 +506,13 @@ def fit(
                 elif n > LOCAL_ROWS:
                     waiting.append((r.tree, child, 0))
                 else:
-                    local.setdefault(r.tree, []).append(child)
+                    local.setdefault(r.tree, {})[child] = n
     opened = {t: Packed.of(partly[t]) for t in local if t in partly}
     fields = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64()), ("counts", pa.list_(pa.int64()))])
     table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True) if made else [[]] * 6, fields, strict=True)], schema=fields)
-    if local:
-        table = pa.concat_tables([table, finished(packed, opened, local, weights, limits).toArrow().cast(fields)])
+    for part in rounds(local, max(DEALT_ROWS, DEALT_TREES * int(sizes.max(initial=0)))):
+        table = pa.concat_tables([table, finished(packed, opened, part, weights, limits).toArrow().cast(fields)])
+    discard(stored)
     return Model(list(features), classes, scale, edges, table.sort_by([("tree", "ascending"), ("node", "ascending")]), weights)
 
 

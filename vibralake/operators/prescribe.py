@@ -156,12 +156,14 @@ def prompt_text(category: Column, confidence: Column, title: Column, sensors: Co
     )
 
 
-def prescribe(events: DataFrame, registry: DataFrame, mapping: DataFrame, texts: DataFrame, prompts: bool = False) -> DataFrame:
+def prescribe(
+    events: DataFrame, registry: DataFrame, mapping: DataFrame, texts: DataFrame, prompts: bool = False, kept: Sequence[str] = ()
+) -> DataFrame:
     """Result record per event.
 
     ``events`` has ``id, fault_category`` (the predicted one), ``confidence``
     and, where known, sensor and similarity columns. ``texts`` is the output
-    of ``excerpts``. All joined tables have one row per category.
+    of ``excerpts``. All joined tables have one row per category. ``kept`` names columns of the events that are shown beside the result.
     """
     have = events.columns
     status = availability(events, registry, mapping)
@@ -196,6 +198,7 @@ def prescribe(events: DataFrame, registry: DataFrame, mapping: DataFrame, texts:
         F.when(documented, F.size("excerpts")).alias("chunks_used"),
         *[c(name) for name in ("similar_count", "raw_event_json") if name in have],
         *extra,
+        *[c(name) for name in kept],
     )
 
 

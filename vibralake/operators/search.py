@@ -23,7 +23,7 @@ from pyspark.sql.types import DataType
 from vibralake import domain
 from vibralake.functions import text as tx
 from vibralake.operators import postings, topk
-from vibralake.session import small_side, written
+from vibralake.session import discard, small_side, written, written_parts
 
 WORDS = r"[^\p{L}]+"
 EVERY = "\x00all"
@@ -32,6 +32,8 @@ EVERY = "\x00all"
 # Bytes of words in a shard.
 SHARD_BYTES = 4 << 20
 # A shard is one long row: a task that writes or reads shards holds a row group, and left alone Parquet looks at a group's size after 100 rows only.
+# Shards meet their terms in so many parts at most, of so many bytes at least: only a part is shuffled at a time.
+MEETINGS, MEETING_BYTES = 8, 256 << 20
 SHARD_FILES = {"parquet.block.row.count.limit": 1, "compression": "zstd"}
 # Queries, and bytes of their terms, that are sent to all tasks.
 FEW_QUERIES = 4_096
@@ -119,21 +121,32 @@ def build_index(
     kind = rows.schema["key"].dataType
     ddl, schema = shard_types(kind, {"df": "array<int>", "bounds": "binary", "term": "binary", "tf": "binary"})
     raw = written(rows.mapInArrow(partial(gathered, schema=schema), ddl), "raw_shards", **SHARD_FILES)
-    size = raw.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    bytes_ = F.octet_length("bounds") + F.octet_length("term") + F.octet_length("tf")
+    made = raw.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("bytes")).first()
+    size, meetings = made["n"], min(MEETINGS, -(-made["bytes"] // MEETING_BYTES))
 
     zipped = F.posexplode(F.arrays_zip("vocabulary", "df")).alias("place", "x")
     each = raw.select("shard", zipped).select("shard", "place", F.col("x.vocabulary").alias("term"), F.col("x.df").alias("df"))
     terms = written(each.groupBy("term").agg(idf(F.sum("df"), size).alias("idf")), "terms")
-    found = each.join(terms, "term").select(F.col("shard").alias("of_shard"), "place", "idf")
+    # shards by number, so that a file's other row groups are passed over
+    shares = [i / meetings for i in range(1, meetings)]
+    cuts = sorted(set(raw.agg(F.percentile_approx("shard", shares, 10_000).alias("x")).first()["x"])) if shares else []
     ddl, schema = shard_types(kind, dict.fromkeys(postings.STORED, "binary"))
 
     def finish(held: pa.Table, found: pa.Table) -> pa.Table:
         return finished(held, found, schema)
 
-    # a shard's terms meet it as sorted rows; gathered in an array each would be an object of the executor
-    full = raw.drop("df").groupBy("shard").cogroup(found.groupBy("of_shard")).applyInArrow(finish, ddl)
-    items = raw.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("groups").alias("group"))))
-    return Index(written(full, "shards", **SHARD_FILES), terms, items, size)
+    def meeting(low: int | None, high: int | None) -> DataFrame:
+        """The shards whose numbers are over ``low`` and up to ``high``."""
+        own = (F.lit(True) if low is None else F.col("shard") > low) & (F.lit(True) if high is None else F.col("shard") <= high)
+        found = each.filter(own).join(terms, "term").select(F.col("shard").alias("of_shard"), "place", "idf")
+        # a shard's terms meet it as sorted rows; gathered in an array each would be an object of the executor
+        return raw.drop("df").filter(own).groupBy("shard").cogroup(found.groupBy("of_shard")).applyInArrow(finish, ddl)
+
+    shards = written_parts((meeting(a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)), "shards", **SHARD_FILES)
+    discard(raw)
+    items = shards.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("groups").alias("group"))))
+    return Index(shards, terms, items, size)
 
 
 def query_terms(queries: DataFrame, index: Index, query_id: str, text: str, group: str | None, pattern: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vibralake import domain
 from vibralake.functions import numeric
 from vibralake.operators import dashboard, scaling, topk
-from vibralake.session import durable, fits, small_side
+from vibralake.session import PACKED, discard, durable, fits, small_side, written
 
 # Reference rows that divide a large history into cells: as many as the root of its rows, within these.
 PIVOTS, MOST_PIVOTS = 256, 4096
@@ -76,10 +76,8 @@ def nearest(
     if scale is None:
         scale = scaling.fit_array(history, features)
     if fits(queries, few):
-        found = topk.scan(queries, items, k, _scorer(features, scale), key, key)
-    else:
-        found = _nearest_by_cells(queries, items, k, scale, features, key)
-    return topk.rank(found, k)
+        return topk.rank(topk.scan(queries, items, k, _scorer(features, scale), key, key), k)
+    return _nearest_by_cells(queries, items, k, scale, features, key)
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -121,6 +119,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], angles: int) -> Iterator[pa.Recor
             yield batch.slice(at, step)
 
 
+def _side_by_side(rows: np.ndarray, most: int = 8) -> np.ndarray:
+    """An order in which near rows follow each other: halves along the widest direction, and so on within each half."""
+    out, waiting = [], [np.arange(len(rows))]
+    while waiting:
+        own = waiting.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        centred = rows[own] - rows[own].mean(axis=0)
+        widest = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        own = own[np.argsort(centred @ widest, kind="stable")]
+        waiting += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate(out)
+
+
 def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
@@ -132,8 +145,10 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     widest angle of its items. An event first meets the cells around it, which
     gives an upper bound for its k-th angle; by the triangle inequality on
     angles it then needs only cells that reach inside this bound. For that cells lie together in pieces: an event
-    goes once to each piece that has a cell it needs, and meets these cells there. So events and items travel once per piece and not
-    once per cell, and pieces grow with the items up to a bound.
+    goes once to each piece that has a cell it needs, and meets these cells there. Cells whose pivot is farther from the event than the nearest
+    pivot by more than twice the bound are ruled out too: a row within the bound would lie nearer to that one. So events and items travel once per piece and not
+    once per cell, and pieces grow with the items up to a bound. Pivots are numbered so that near cells lie in one piece. What is
+    written on the way is deleted when the neighbours are written.
     """
     spark = queries.sparkSession
     id_type = items.schema[key].dataType.simpleString()
@@ -142,14 +157,15 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     chosen = items.orderBy(F.xxhash64(key), key).limit(wanted).select(features).toArrow()
     pivots = unit_rows(topk.matrix(chosen[features]), scale)
     pivots = pivots[np.linalg.norm(pivots, axis=1) > 0]
+    pivots = pivots[_side_by_side(pivots)]
 
     def place(batches):
         for batch in _blocks(batches, len(pivots)):
             rows = unit_rows(topk.matrix(batch.column(features)), scale)
             if len(pivots):
-                angle = _angles(rows, pivots)
-                cell = angle.argmin(axis=1).astype(np.int32)
-                reach = angle[np.arange(len(rows)), cell]
+                near = rows @ pivots.T
+                cell = near.argmax(axis=1).astype(np.int32)
+                reach = np.arccos(np.clip(near[np.arange(len(rows)), cell], -1.0, 1.0))
             else:
                 cell, reach = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows))
             zero = np.linalg.norm(rows, axis=1) == 0
@@ -159,8 +175,10 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
                 names=[key, features, "cell", "reach"],
             )
 
-    placed = durable(items.mapInArrow(place, f"{key} {id_type}, {features} array<double>, cell int, reach double"))
-    cells = placed.filter(F.col("cell") >= 0).groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).orderBy("cell").toPandas()
+    placed = written(items.mapInArrow(place, f"{key} {id_type}, {features} array<double>, cell int, reach double"), "placed", **PACKED)
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).orderBy("cell").toPandas()
+    zero_items = bool((cells["cell"] == ZERO_ITEMS).any())
+    cells = cells[cells["cell"] >= 0]
     numbers, sizes, radii = cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["reach"].to_numpy()
 
     # Zero rows score 0 against everything, so only the k lowest ids can matter;
@@ -178,9 +196,14 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
             mask = np.zeros((len(rows), len(cells)), bool)
             mask[:, -2] = True
             if len(numbers):
-                near = np.argsort(_angles(rows, pivots[numbers]), axis=1, kind="stable")
-                enough = np.cumsum(sizes[near], axis=1) - sizes[near] < k
-                np.put_along_axis(mask[:, :-2], near, enough, axis=1)
+                score = rows @ pivots[numbers].T
+                best = score.argmax(axis=1)
+                mask[np.arange(len(rows)), best] = True
+                few = np.flatnonzero(sizes[best] < k)
+                near = np.argsort(-score[few], axis=1, kind="stable")
+                more = np.zeros(near.shape, bool)
+                np.put_along_axis(more, near, np.cumsum(sizes[near], axis=1) - sizes[near] < k, axis=1)
+                mask[few, :-2] |= more
             yield visited(batch, rows, zero, mask, cells, [])
 
     def visited(batch, rows, zero, mask, places, more):
@@ -191,7 +214,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
         chosen = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[np.nonzero(mask)[1]]))
         return pa.RecordBatch.from_arrays([batch.column(key), _lists(rows), *[batch.column(c) for c in more], chosen], names=[key, features, *more, "places"])
 
-    around = durable(queries.mapInArrow(visits, f"{key} {q_type}, {features} array<double>, places array<int>"))
+    around = written(queries.mapInArrow(visits, f"{key} {q_type}, {features} array<double>, places array<int>"), "around", **PACKED)
     asked = around.select(key, features, F.explode("places").alias("cell"))
     first = durable(topk.piece_plan(asked.groupBy("cell").agg(F.count("*").alias("n")), item_counts, "cell"))
     near = topk.rank(topk.grid(asked, stored, k, _unit_scorer(features), key, key, "cell", first), k)
@@ -199,7 +222,8 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
     worst = near.groupBy(F.col("query_id").alias(key)).agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
     bounded = around.drop("places").join(worst, key, "left")
 
-    side = max(-(-int(sizes.sum()) // PIECE_ROWS), math.isqrt(TASKS * spark.sparkContext.defaultParallelism) + 1)
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    side = max(-(-int(sizes.sum()) // PIECE_ROWS), math.isqrt(tasks) + 1)
     begins, parts = _pieces(sizes, side)
     n = int((begins + parts).max()) if len(sizes) else 0
     place_of = np.full(len(pivots) + 1, -1)
@@ -211,7 +235,9 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
         return bar, np.arccos(np.clip(bar - SLACK, -1.0, 1.0))
 
     def reached(rows: np.ndarray, bound: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return _angles(rows, pivots[numbers[cells]]) - radii[cells] <= bound[:, None] + SLACK
+        """Whether a cell can hold a row within the bound: its items lie within its radius, and nearer to its pivot than to any other one."""
+        angle, bound = _angles(rows, pivots[numbers[cells]]), bound[:, None] + SLACK
+        return (angle - radii[cells] <= bound) & (angle - angle.min(axis=1, keepdims=True) <= 2 * bound)
 
     def laid(batches):
         for batch in batches:
@@ -231,7 +257,7 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
                 mask[:, :n] = False
                 for c in range(len(numbers)):
                     mask[:, begins[c] : begins[c] + parts[c]] |= hit[:, c : c + 1]
-            mask[:, -1] = False
+            mask[:, -2:] = [zero_items, False]
             places = np.append(np.arange(n), [ZERO_ITEMS, ZERO_QUERIES]).astype(np.int32)
             yield visited(batch, rows, zero, mask, places, ["bar"])
 
@@ -261,11 +287,16 @@ def _nearest_by_cells(queries, items, k, scale, features, key) -> DataFrame:
         return out
 
     by_piece = stored.mapInArrow(laid, f"{key} {id_type}, {features} array<double>, cell int, piece int")
-    beyond = durable(bounded.mapInArrow(needed, f"{key} {q_type}, {features} array<double>, bar double, places array<int>"))
+    beyond = written(bounded.mapInArrow(needed, f"{key} {q_type}, {features} array<double>, bar double, places array<int>"), "beyond", **PACKED)
+    discard(around)
     asked = beyond.select(key, features, "bar", F.explode("places").alias("piece"))
-    per = max(topk.QUERIES_PER_PIECE, min(PIECE_ROWS, -(-beyond.count() // side)))
+    # each piece of queries gets items of its own, so there are no more of them than the cores ask for
+    per = PIECE_ROWS if n >= tasks else max(topk.QUERIES_PER_PIECE, min(PIECE_ROWS, -(-beyond.count() // side)))
     counts = asked.groupBy("piece").agg(F.ceil(F.count("*") / per).cast("int").alias("query_pieces"), F.lit(1).alias("item_pieces"))
-    return topk.grid(asked, by_piece, k, _unit_scorer(features), key, key, "piece", durable(counts), meet=meet)
+    met = topk.grid(asked, by_piece, k, _unit_scorer(features), key, key, "piece", durable(counts), meet=meet)
+    found = written(topk.rank(met, k), "nearest", **PACKED)
+    discard(placed, beyond)
+    return found
 
 
 def _pieces(sizes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +318,7 @@ def with_rows(found: DataFrame, history: DataFrame, key: str = "id") -> DataFram
     The neighbours are few next to the history. They are written out and
     counted first, so that a small set goes to the history, not the reverse.
     """
-    found = durable(found)
+    found = written(found, "neighbours", **PACKED)
     score = F.round(numeric.clamp(F.col("score") * 100.0, 0.0, 100.0), 2)
     shown = history.select(
         F.col(key).alias("item_id"), "created_at", "fault", "fault_category", "rpm", "temperature_c",

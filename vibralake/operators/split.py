@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def row_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def place_hash(df: DataFrame, key: str, seed: int) -> Column:
-    """Order of rows in a split: by key hash, then by a hash of the whole row.
+def place_hash(df: DataFrame, key: str, seed: int, columns: Sequence[str] | None = None) -> Column:
+    """Order of rows in a split: by key hash, then by a hash of the whole row, or of the ``columns`` given.
 
-    Rows that repeat a key, or have none, are so told apart unless they are equal in all columns.
+    Rows that repeat a key, or have none, are so told apart unless they are equal in all these columns.
     """
-    whole = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in sorted(df.columns)])), 16, "0")
+    whole = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in sorted(columns or df.columns)])), 16, "0")
     return F.concat(row_hash(key, seed), whole)
 
 
@@ -58,6 +60,7 @@ def stratified_split(
     key: str,
     fraction: float = domain.TEST_FRACTION,
     seed: int = domain.SPLIT_SEED,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``is_test``: the rows with the smallest key hash of each class.
 
@@ -65,9 +68,9 @@ def stratified_split(
     counted per class and hash bucket; running sums of these counts name the
     bucket in which the class quota runs out, and only that bucket's rows, one
     in 16^4 of the class, are ranked to find the last hash that is taken. The
-    final pass compares hashes and moves no rows.
+    final pass compares hashes and moves no rows. ``columns`` tell rows of one key apart, all of them unless given.
     """
-    hashed = df.withColumn("_hash", place_hash(df, key, seed))
+    hashed = df.withColumn("_hash", place_hash(df, key, seed, columns))
     keyed = hashed.select(label, "_hash", F.substring("_hash", 1, BUCKET_DIGITS).alias("_bucket"))
     buckets = durable(keyed.groupBy(label, "_bucket").agg(F.count("*").alias("n")))
     sizes = test_sizes(buckets.groupBy(label).agg(F.sum("n").alias("n")), label, fraction)
@@ -90,15 +93,15 @@ def stratified_split(
     )
     last = durable(ranked)
     joined = hashed.join(small_side(last), F.col(label).eqNullSafe(F.col("_label")), "left")
-    columns = [*df.columns, "is_test"]
+    shown = [*df.columns, "is_test"]
     sure = joined.withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
     if last.filter("_of < _same").isEmpty():
-        return sure.select(columns)
+        return sure.select(shown)
     # of rows equal in all columns only so many are taken as the quota asks for
     open_ = F.coalesce((F.col("_hash") == F.col("_last")) & (F.col("_of") < F.col("_same")), F.lit(False))
     number = F.row_number().over(Window.partitionBy("_label", "_hash").orderBy("_hash"))
     some = joined.filter(open_).withColumn("is_test", number <= F.col("_of"))
-    return sure.filter(~open_).select(columns).unionByName(some.select(columns))
+    return sure.filter(~open_).select(shown).unionByName(some.select(shown))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

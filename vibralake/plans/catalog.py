@@ -28,7 +28,7 @@ from vibralake.operators import (
 )
 from vibralake.plans import pipeline
 from vibralake.plans import tables as t
-from vibralake.session import durable, scratch_dir, small_side, written
+from vibralake.session import PACKED, discard, durable, scratch_dir, small_side, written
 from vibralake.sources import pages as pages_source
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables as table_source
@@ -436,10 +436,12 @@ def guardrail_route(spark, d):
 
 def _manual_texts(spark, d) -> DataFrame:
     """Best excerpts per documented category."""
-    chunks = written(documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark))), "chunks")
+    chunks = written(documents.index_rows(t.matched_manuals(t.spread_table(spark, d, "documents"), t.manual_map(spark))), "chunks", **PACKED)
     index = search.build_index(chunks, group="fault_category")
     categories = chunks.select("fault_category").distinct()
-    return durable(prescribe.excerpts(categories, chunks, index))
+    texts = durable(prescribe.excerpts(categories, chunks, index))
+    discard(index.shards, index.terms, chunks)
+    return texts
 
 
 SHOWN_SENSORS = (
@@ -548,9 +550,12 @@ def forest_train_score(spark, d):
 
 
 def _graded(spark, d) -> DataFrame:
-    """The readings with a label, each for training or for the test."""
-    rows = t.graded(t.table(spark, d, "events")).filter("fault is not null")
-    return durable(split.stratified_split(rows, "fault_category", "id"))
+    """The events whose reading has a label, each for training or for the test."""
+    return t.graded_split(t.table(spark, d, "events"))
+
+
+def _train_rows(marked: DataFrame) -> DataFrame:
+    return t.graded(marked.filter("not is_test")).withColumn("is_test", F.lit(False))
 
 
 @query
@@ -572,28 +577,30 @@ def model_evaluation(spark, d):
 @query
 def feature_importance(spark, d):
     """The ten features that a forest draws most on."""
-    model = classifier.train(_graded(spark, d).filter("not is_test"), forest=classifier.Forest(trees=20))
+    model = classifier.train(_train_rows(_graded(spark, d)), forest=classifier.Forest(trees=20))
     return classifier.importance_frame(spark, model)
 
 
-def _knowledge(spark, d, rows: DataFrame) -> pipeline.Knowledge:
+def _knowledge(spark, d, marked: DataFrame) -> pipeline.Knowledge:
     """What events are answered with: a stored model, the history of the train rows, manuals and excerpts."""
-    history = rows.filter("not is_test")
+    # the manuals come first: nothing of the history lies on disk yet while they are indexed
+    registry = durable(t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    texts = _manual_texts(spark, d)
+    history = _train_rows(marked)
     folder = scratch_dir(spark, "knowledge")
     classifier.save(classifier.train(history), f"{folder}/model")
-    pipeline.history_rows(history).write.parquet(f"{folder}/history")
-    stored = spark.read.parquet(f"{folder}/history")
-    registry = durable(t.registry(t.spread_table(spark, d, "documents"), t.manual_map(spark)))
+    pipeline.store_history(history, f"{folder}/history")
+    stored = pipeline.stored_history(spark, f"{folder}/history")
     return pipeline.Knowledge(
-        classifier.load(f"{folder}/model"), stored, scaling.fit_array(stored, "features"), registry, prescribe.document_map(spark), _manual_texts(spark, d)
+        classifier.load(f"{folder}/model"), stored, scaling.fit_array(stored, "features"), registry, prescribe.document_map(spark), texts
     )
 
 
 @query
 def event_prescriptions(spark, d):
     """Events from features to recommendation: forest, similar readings, manuals."""
-    rows = _graded(spark, d)
-    answers = pipeline.answer(rows.filter("is_test").drop("is_test"), _knowledge(spark, d, rows))
+    marked = _graded(spark, d)
+    answers = pipeline.answer(t.graded(marked.filter("is_test")), _knowledge(spark, d, marked))
     best = F.element_at("top_matches", 1)
     return answers.select(
         "event_id", "fault_category", "route", "has_document", F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"), "similar_count",
@@ -736,12 +743,13 @@ def stream_prescriptions(spark, d):
 @query
 def stream_scored_prescriptions(spark, d):
     """The prescribing stream with a stored model and the stored history: what the log has of each event."""
-    rows = _graded(spark, d)
-    known = _knowledge(spark, d, rows)
-    asked = durable(rows.filter("is_test").select("id"))
+    marked = _graded(spark, d)
+    known = _knowledge(spark, d, marked)
+    asked = marked.filter("is_test").select("event_id")
 
     def answer(batch: DataFrame) -> DataFrame:
-        return pipeline.answer(t.graded(batch).join(small_side(asked), "id"), known)
+        # events meet the ids before they become readings, which are ten times as wide
+        return pipeline.answer(t.graded(batch.join(small_side(asked), "event_id")), known)
 
     path = scratch_dir(spark, "scored")
     jobs.write_prescriptions(_event_stream(spark, d), answer, path, scratch_dir(spark, "scored-state")).awaitTermination()

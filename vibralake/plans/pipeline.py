@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vibralake import domain
 from vibralake.operators import classifier, documents, event_json, features, prescribe, scaling, search, similarity
-from vibralake.session import durable
+from vibralake.session import PACKED, discard, durable, written
 from vibralake.sources import readings as readings_source
 from vibralake.sources import tables
 
@@ -33,6 +33,18 @@ def history_rows(processed: DataFrame) -> DataFrame:
     )
 
 
+def store_history(processed: DataFrame, path: str) -> None:
+    """Write the history as one column a sensor: these pack better than feature arrays, and what follows from them is not stored."""
+    rows = processed.select("id", "created_at", "fault", "fault_category", *domain.SENSORS)
+    rows.write.options(**PACKED).mode("overwrite").parquet(path)
+
+
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history that ``store_history`` wrote, as ``history_rows``; a folder that holds such rows is read as it is."""
+    rows = spark.read.parquet(path)
+    return rows if "features" in rows.columns else history_rows(features.add_features(rows))
+
+
 def build(
     spark: SparkSession,
     csv_path: str,
@@ -46,8 +58,7 @@ def build(
     model, record = classifier.train_and_evaluate(processed, forest=forest)
     classifier.save(model, f"{folder}/model")
     tables.write_json(record, f"{folder}/evaluation")
-    history = f"{folder}/history"
-    history_rows(processed).write.mode("overwrite").parquet(history)
+    store_history(processed, f"{folder}/history")
     index_manuals(spark, pages, folder)
     return load(spark, folder)
 
@@ -66,17 +77,19 @@ def index_manuals(spark: SparkSession, pages: DataFrame, folder: str) -> None:
 
 def load(spark: SparkSession, folder: str) -> Knowledge:
     """Stored results as ``Knowledge``; excerpts are retrieved once per category."""
-    history = spark.read.parquet(f"{folder}/history")
+    history = stored_history(spark, f"{folder}/history")
     registry = spark.read.parquet(f"{folder}/fault_documents")
     chunks = spark.read.parquet(f"{folder}/chunks")
     index = search.build_index(chunks, group="fault_category")
+    texts = durable(prescribe.excerpts(registry, chunks, index))
+    discard(index.shards, index.terms)
     return Knowledge(
         classifier.load(f"{folder}/model"),
         history,
         scaling.fit_array(history, "features"),
         registry,
         prescribe.document_map(spark),
-        durable(prescribe.excerpts(registry, chunks, index)),
+        texts,
     )
 
 
@@ -87,17 +100,19 @@ def answer(events: DataFrame, known: Knowledge, k: int = domain.SIMILAR_TOP_K, *
     repeated, so rows are told apart by a number of their own.
     """
     kept = [c for c in events.columns if c not in ("fault", "fault_category", "is_problem")]
-    numbered = durable(
-        events.select(*kept, event_json.to_json(*kept).alias("raw_event_json")).withColumn("_event", F.monotonically_increasing_id())
-    )
+    # files hold no column without a type; the JSON text is some times the size of what it is made from
+    plain = [F.col(c).cast("string").alias(c) if kind == "void" else F.col(c) for c, kind in events.select(*kept).dtypes]
+    numbered = written(events.select(*plain).withColumn("_event", F.monotonically_increasing_id()), "events", **PACKED)
+    numbered = numbered.withColumn("raw_event_json", event_json.to_json(*kept))
     scored = classifier.score(known.model, numbered).withColumnRenamed("predicted_category", "fault_category")
     asked = numbered.select(F.col("_event").alias("id"), features.feature_array().alias("features"))
     found = similarity.similar_events(asked, known.history, k, scale=known.scale, **options).withColumnRenamed("query_id", "_event")
-    joined = durable(scored.join(found, "_event"))
-    rows = prescribe.prescribe(joined.withColumnsRenamed({"id": "_given", "_event": "id"}), known.registry, known.mapping, known.texts)
-    shown = joined.select(
-        F.col("_event").alias("event_id"), F.col("id").alias("_id"), "probabilities", "top_probabilities", "top_matches", "time_distribution",
+    joined = scored.join(found, "_event").withColumnsRenamed({"id": "_given", "_event": "id"})
+    shown = (
+        "_given", "probabilities", "top_probabilities", "top_matches", "time_distribution",
         "total_historical_occurrences", "avg_rpm", "min_rpm", "max_rpm", "avg_temp_c", "min_temp_c", "max_temp_c",
         "avg_z_rms_velocity", "avg_x_rms_velocity", "primary_historical_fault", "events_per_active_day", "first_seen", "last_seen",
     )
-    return rows.join(shown, "event_id").withColumn("event_id", F.col("_id")).drop("_id")
+    # an event's rows meet once; what is shown goes through the texts with it, and what is not asked for is never made
+    rows = prescribe.prescribe(joined, known.registry, known.mapping, known.texts, kept=shown)
+    return rows.withColumn("event_id", F.col("_given")).drop("_given")

@@ -17,8 +17,9 @@ from vibralake.functions import arrays, labels
 from vibralake.operators import documents as docs
 from vibralake.operators import event_json
 from vibralake.operators.features import add_features
+from vibralake.operators.split import stratified_split
 from vibralake.operators.upsert import latest_per_key
-from vibralake.session import small_side, spread
+from vibralake.session import PACKED, small_side, spread, written
 
 
 
@@ -65,17 +66,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 K = "cast(get_json_object(props, '$.k') as int)"
 
 
-def raw_readings(events: DataFrame, sensors: Sequence[str] = (), fault: Column | None = None) -> DataFrame:
-    """Events as readings with a raw label and the sensor values asked for."""
+def raw_readings(events: DataFrame, sensors: Sequence[str] = (), fault: Column | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """Events as readings with a raw label and the sensor values asked for; other columns only as ``kept`` names them."""
     if fault is None:
         choices = F.array(*[F.lit(x).cast("string") for x in RAW_LABELS])
         fault = F.element_at(choices, F.col("k") % len(RAW_LABELS) + 1)
-    base = events.select("event_id", "ts", "user_id", "value", F.expr(K).alias("k"))
+    base = events.select("event_id", "ts", "user_id", "value", F.expr(K).alias("k"), *kept)
     return base.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         *[F.expr(sensor_formula(domain.SENSORS.index(s), "value", "k", "user_id")).alias(s) for s in sensors],
         fault.alias("fault"),
+        *kept,
     )
 
 
@@ -87,9 +89,20 @@ def readings(events: DataFrame, sensors: Sequence[str] = ()) -> DataFrame:
 GRADE = "CASE WHEN k = 7 THEN NULL WHEN value < 15e0 THEN 'Normal 1' WHEN value >= 30e0 AND value < 60e0 THEN ' polia_b' WHEN value >= 90e0 THEN 'VENTOINHA' END"
 
 
-def graded(events: DataFrame) -> DataFrame:
+def graded(events: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Events as readings with all features, whose label can be told from the sensors."""
-    return add_features(labels.with_category(raw_readings(events, domain.SENSORS, F.expr(GRADE))))
+    return add_features(labels.with_category(raw_readings(events, domain.SENSORS, F.expr(GRADE), kept)))
+
+
+def graded_split(events: DataFrame) -> DataFrame:
+    """The events that have a label, as they came, and whether each is for the test. Written once.
+
+    A reading has ten times the bytes of its event, so it is worked out again where it is read.
+    """
+    source = ("event_id", "ts", "user_id", "value", "props")
+    rows = graded(events.withColumn("_event", F.struct(*source)), ["_event"]).filter("fault is not null")
+    marked = stratified_split(rows, "fault_category", "id", columns=[c for c in rows.columns if c != "_event"])
+    return written(marked.select("_event.*", "is_test"), "graded_split", **PACKED)
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

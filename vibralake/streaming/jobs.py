@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vibralake.operators import event_json, features, prescribe
-from vibralake.session import spread
+from vibralake.session import PACKED, spread
 
 # What is there is read and the job ends; ``{"processingTime": "10 seconds"}`` keeps it running.
 ALL_THERE_IS = {"availableNow": True}
@@ -112,7 +112,7 @@ def write_prescriptions(
 
     def write(batch: DataFrame, number: int) -> None:
         rows = prescribe.log_rows(answer(spread(batch)))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.write.options(**PACKED).mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         events.writeStream.foreachBatch(write)
